@@ -1,0 +1,183 @@
+"""k most similar vectors of every vector by an inverted multi-index.
+
+A vector is scaled to length 1 and cut into two halves; each half is quantised with its own codebook, and the pair
+of codes names the vector's cell. A query walks the cells in order of the summed distances of its halves to the two
+centroids, with a heap, until the cells it has passed hold ``candidates`` vectors; these are ranked by exact cosine.
+
+Codebooks are fitted on a bounded sample (``sample`` vectors); every vector is indexed and every vector is a query.
+Equal vectors form one class, so a third of all rows being copies costs one index entry. A cell with more than
+``CHUNK`` classes is split into chunks that are ranked in separate groups, so no group grows with the data.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from corpusloom.runtime import cut
+
+#: Index entries of one ranking group; queries meet a group in slices of as many.
+CHUNK = 2048
+
+
+def _kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    points = np.unique(points, axis=0)
+    rng = np.random.default_rng(seed)
+    centres = points[rng.permutation(len(points))[: min(k, len(points))]].copy()
+    for _ in range(rounds):
+        near = (centres**2).sum(1)[None] - 2 * points @ centres.T
+        code = near.argmin(1)
+        for c in range(len(centres)):
+            own = points[code == c]
+            if len(own):
+                centres[c] = own.mean(0)
+    return centres
+
+
+def _distances(half: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (half**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * half @ centres.T
+
+
+def walk_cells(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int) -> list[tuple[int, int]]:
+    """Non-empty cells in order of ``first[i] + second[j]`` until they hold ``wanted`` entries: a heap over the two
+    sorted distance lists, each pop opening its right and lower neighbour."""
+    a, b = first.argsort(kind="stable"), second.argsort(kind="stable")
+    fa, sb = first[a].tolist(), second[b].tolist()
+    a, b = a.tolist(), b.tolist()
+    heap, held, out = [(fa[0] + sb[0], 0, 0)], 0, []
+    while heap and held < wanted:
+        _, i, j = heapq.heappop(heap)
+        size = sizes[a[i], b[j]]
+        if size:
+            out.append((a[i], b[j]))
+            held += size
+        if j + 1 < len(b):
+            heapq.heappush(heap, (fa[i] + sb[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(a):
+            heapq.heappush(heap, (fa[i + 1] + sb[0], i + 1, 0))
+    return out
+
+
+def nearest_vectors(vectors: DataFrame, level: str, id_col: str, vec_col: str, *, dim: int = 64, k: int = 5, codes: int = 32, sample: int = 20000, candidates: int = 6000, digits: int = 6) -> DataFrame:
+    """``(level, id, rank, neighbour, cosine)``: the ``k`` most similar vectors of the same level for every vector.
+
+    Cosine is rounded to ``digits`` decimals, ties go to the smaller id. Null ids, null, all-zero, non-finite and
+    wrong-length vectors take no part; repeated rows of an id count once. Fewer than two vectors: no rows.
+    ``sample`` bounds the vectors that the codebooks are fitted on, ``candidates`` the work of a query.
+    """
+    spark = vectors.sparkSession
+    v = F.col(vec_col)
+    usable = vectors.select(F.col(level).alias("level"), F.col(id_col).alias("id"), v.cast("array<double>").alias("vec")).where(F.col("level").isNotNull() & F.col("id").isNotNull() & (F.size("vec") == dim) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0))
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    usable = usable.dropDuplicates(["level", "id"]).withColumn("norm", norm)
+    usable = usable.select("level", "id", F.transform("vec", lambda x: x / F.col("norm")).alias("vec"))
+    usable = cut(usable)
+    # Equal vectors are one class: its smallest id names it and its k + 1 smallest ids stand for all of its members.
+    # The row_number filter is applied within each input partition first (window group limit), so copies don't pile up.
+    same = W.partitionBy("level", "vec")
+    heads = usable.withColumn("nth", F.row_number().over(same.orderBy("id"))).where(F.col("nth") <= k + 1)
+    heads = cut(heads.withColumn("cls", F.min("id").over(same)).withColumnRenamed("id", "neighbour"))
+    classes = heads.where("neighbour = cls").select("level", "cls", "vec")
+    members = usable.join(classes, ["level", "vec"]).select("level", "cls", "id")
+    heads = heads.select("level", "cls", "neighbour")
+
+    books = {}
+    for (name,) in classes.select("level").distinct().collect():  # one row for each level
+        rows = classes.where(F.col("level") == name)
+        share = min(1.0, 1.2 * sample / max(1, rows.count()))
+        got = np.array([r[0] for r in rows.sample(share, seed=11).select("vec").limit(sample).collect()] or [r[0] for r in rows.limit(sample).select("vec").collect()])
+        books[name] = (_kmeans(got[:, : dim // 2], codes), _kmeans(got[:, dim // 2 :], codes))
+    if not books:
+        return spark.createDataFrame([], "level string, id bigint, rank int, neighbour bigint, cosine double")
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, part in pdf.groupby("level", sort=False):
+                m = np.stack(part["vec"].to_numpy())
+                a, b = books[name]
+                yield pd.DataFrame({"level": part["level"], "cls": part["cls"], "ca": _distances(m[:, : dim // 2], a).argmin(1), "cb": _distances(m[:, dim // 2 :], b).argmin(1), "vec": part["vec"]})
+
+    indexed = cut(classes.mapInPandas(assign, "level string, cls bigint, ca int, cb int, vec array<double>"))
+    # At most levels x codes^2 rows, whatever the size of the data.
+    counted = indexed.groupBy("level", "ca", "cb").count().collect()
+    sizes = {name: np.zeros((len(a), len(b)), dtype=np.int64) for name, (a, b) in books.items()}
+    for r in counted:
+        sizes[r["level"]][r["ca"], r["cb"]] = r["count"]
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, part in pdf.groupby("level", sort=False):
+                m = np.stack(part["vec"].to_numpy())
+                a, b = books[name]
+                da, db = _distances(m[:, : dim // 2], a), _distances(m[:, dim // 2 :], b)
+                out = []
+                for n in range(len(m)):
+                    for i, j in walk_cells(da[n], db[n], sizes[name], candidates):
+                        for part_no in range(-(-int(sizes[name][i, j]) // CHUNK)):
+                            out.append((n, i, j, part_no))
+                at, i, j, p = map(list, zip(*out, strict=True))
+                yield pd.DataFrame({"level": name, "cls": part["cls"].to_numpy()[at], "ca": i, "cb": j, "chunk": p, "vec": part["vec"].to_numpy()[at], "side": 1})
+
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = np.array([sizes[lv][i, j] for lv, i, j in zip(pdf["level"], pdf["ca"], pdf["cb"], strict=True)], dtype=np.int64)
+            mixed = (pdf["cls"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            yield pdf.assign(chunk=(mixed % (-(-n // CHUNK)).astype(np.uint64)).astype(np.int32), side=0)
+
+    shape = "level string, cls bigint, ca int, cb int, chunk int, vec array<float>, side int"
+    both = indexed.mapInPandas(chunked, shape).unionByName(indexed.mapInPandas(probe, shape))
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by cell chunk, entries before queries: a chunk's entries are kept until the next chunk."""
+        key, ids, mat = None, [], []
+        full: tuple[np.ndarray, np.ndarray] | None = None
+        for pdf in batches:
+            lv, ca, cb, ch, side, cls = (pdf[c].to_numpy() for c in ("level", "ca", "cb", "chunk", "side", "cls"))
+            vec = np.stack(pdf["vec"].to_numpy())
+            edge = np.flatnonzero((lv[1:] != lv[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1]) | (ch[1:] != ch[:-1]) | (side[1:] != side[:-1])) + 1
+            for s, e in zip([0, *edge], [*edge, len(pdf)], strict=True):
+                now = (lv[s], ca[s], cb[s], ch[s])
+                if now != key:
+                    key, ids, mat, full = now, [], [], None
+                if side[s] == 0:
+                    ids.append(cls[s:e])
+                    mat.append(vec[s:e])
+                    full = None
+                    continue
+                if not ids:
+                    continue
+                if full is None:
+                    full = np.concatenate(ids), np.concatenate(mat)
+                own, entries = full
+                for at in range(s, e, 256):
+                    q, to = cls[at : min(e, at + 256)], vec[at : min(e, at + 256)]
+                    sim = to @ entries.T
+                    sim[q[:, None] == own[None]] = -2
+                    keep = min(2 * k + 2, len(own))
+                    top = np.argpartition(-sim, keep - 1, axis=1)[:, :keep]
+                    exact = np.round(np.einsum("qd,qkd->qk", to.astype(np.float64), entries[top].astype(np.float64)), digits)
+                    out = pd.DataFrame({"level": lv[s], "cls": np.repeat(q, keep), "other": own[top].ravel(), "cosine": exact.ravel()})
+                    yield out[out["cls"] != out["other"]]
+
+    found = both.repartition("level", "ca", "cb", "chunk").sortWithinPartitions("level", "ca", "cb", "chunk", "side").mapInPandas(rank, "level string, cls bigint, other bigint, cosine double")
+    best = W.partitionBy("level", "cls").orderBy(F.desc("cosine"), "other")
+    near = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("level", "cls", "other")
+    # Exact cosine once more in double, from the vectors themselves, for the few pairs that are left.
+    one, two = classes.select("level", "cls", F.col("vec").alias("va")), classes.select("level", F.col("cls").alias("other"), F.col("vec").alias("vb"))
+    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scored = near.join(one, ["level", "cls"]).join(two, ["level", "other"]).select("level", "cls", "other", F.round(dot, digits).alias("cosine"))
+    scored = scored.unionAll(classes.select("level", "cls", F.col("cls").alias("other"), F.lit(1.0).alias("cosine")))
+    options = scored.join(heads.withColumnRenamed("cls", "other"), ["level", "other"]).select("level", "cls", "neighbour", "cosine")
+    # The k + 1 best of a class hold the k best of each of its members, whichever member is left out.
+    best = W.partitionBy("level", "cls").orderBy(F.desc("cosine"), "neighbour")
+    options = options.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+    mine = members.select("level", "cls", "id").join(options, ["level", "cls"]).where("id <> neighbour")
+    best = W.partitionBy("level", "id").orderBy(F.desc("cosine"), "neighbour")
+    return mine.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("level", "id", "rank", "neighbour", "cosine")
+

@@ -1,0 +1,262 @@
+"""Long exact spans shared between records, by suffix automata over reference shards.
+
+Any span of ``min_len`` characters holds at least one anchor: the smallest hash among the ``GRAM``-grams of that
+span (winnowing). The anchors decide which records can share a span at all, so instead of broadcasting automata of
+the whole collection to every document, records are brought together by anchor. All records that hold an anchor
+form its reference shard: a generalised suffix automaton over anchor-aligned pieces of their surroundings. The shard's
+documents are streamed through it; the matching statistics give, for every pair, how far the match reaches to either
+side, and the last piece is settled character by character. So the result is exact and no shard is broadcast.
+
+Equal texts are one class and are compared once. An anchor held by more than ``BLOCK`` classes is split into blocks,
+each pair of blocks being a shard of its own, so that hot anchors spread over many tasks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from corpusloom.functions.rolling import code_points, window_argmin, window_hashes
+from corpusloom.runtime import cut
+
+GRAM = 64
+BLOCK = 256
+#: Characters of one automaton symbol.
+PIECE = 17
+#: Characters of text hashed at a time by one task.
+SLICE_CHARS = 4_000_000
+
+
+class SuffixAutomaton:
+    """Generalised suffix automaton; ``mask`` of a state has a bit for each reference that holds its strings."""
+
+    def __init__(self) -> None:
+        self.next: list[dict] = [{}]
+        self.link, self.length, self.mask = [-1], [0], [0]
+
+    def _state(self, length: int, link: int, edges: dict) -> int:
+        self.next.append(edges)
+        self.link.append(link)
+        self.length.append(length)
+        self.mask.append(0)
+        return len(self.next) - 1
+
+    def _split(self, p: int, q: int, symbol: str) -> int:
+        clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        self.mask[clone] = self.mask[q]
+        while p >= 0 and self.next[p].get(symbol) == q:
+            self.next[p][symbol] = clone
+            p = self.link[p]
+        self.link[q] = clone
+        return clone
+
+    def add(self, symbols: list[str], bit: int) -> None:
+        last = 0
+        for symbol in symbols:
+            q = self.next[last].get(symbol)
+            if q is not None:
+                last = q if self.length[q] == self.length[last] + 1 else self._split(last, q, symbol)
+            else:
+                now, p = self._state(self.length[last] + 1, 0, {}), last
+                while p >= 0 and symbol not in self.next[p]:
+                    self.next[p][symbol] = now
+                    p = self.link[p]
+                if p >= 0:
+                    q = self.next[p][symbol]
+                    self.link[now] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, symbol)
+                last = now
+            state = last
+            while state > 0 and not self.mask[state] & bit:
+                self.mask[state] |= bit
+                state = self.link[state]
+
+    def statistics(self, symbols: list[str]) -> Iterator[tuple[int, int, int]]:
+        """For each symbol: ``(index, state, length)`` of the longest reference string that ends there."""
+        state, length = 0, 0
+        for i, symbol in enumerate(symbols):
+            while state and symbol not in self.next[state]:
+                state = self.link[state]
+                length = self.length[state]
+            nxt = self.next[state].get(symbol)
+            if nxt is None:
+                state, length = 0, 0
+            else:
+                state, length = nxt, length + 1
+            yield i, state, length
+
+
+def _pieces(context: str, at: int, gram: int) -> tuple[list[str], int]:
+    """The surroundings cut into pieces counted from the anchor outwards, and the anchor's index."""
+    left = [context[i : i + PIECE] for i in range(at % PIECE, at, PIECE)]
+    end = at + gram
+    right = [context[i : i + PIECE] for i in range(end, len(context) - PIECE + 1, PIECE)]
+    return [*left, context[at:end], *right], len(left)
+
+
+def shard_matches(contexts: list[tuple[str, int]], gram: int, min_len: int) -> Iterator[tuple[int, int, int, int]]:
+    """``(i, j, left, right)`` with i < j: how many characters before and after the anchor two contexts share."""
+    automaton, cut_up = SuffixAutomaton(), [_pieces(c, at, gram) for c, at in contexts]
+    for n, (symbols, _) in enumerate(cut_up):
+        automaton.add(symbols, 1 << n)
+    link, length_of, mask = automaton.link, automaton.length, automaton.mask
+    for n, (symbols, anchor) in enumerate(cut_up):
+        reach: dict[int, list[int]] = {}
+        for i, state, matched in automaton.statistics(symbols):
+            if i < anchor:
+                continue
+            ahead = i - anchor
+            while state > 0 and matched > ahead:
+                others, back = mask[state] & ((1 << n) - 1), matched - ahead - 1
+                while others:
+                    low = others & -others
+                    got = reach.setdefault(low.bit_length() - 1, [0, 0])
+                    got[0], got[1] = max(got[0], back), max(got[1], ahead)
+                    others ^= low
+                state = link[state]
+                matched = length_of[state]
+        text, at = contexts[n]
+        for m, (back, ahead) in reach.items():
+            other, at2 = contexts[m]
+            left, right = back * PIECE, gram + ahead * PIECE
+            if left + right + 2 * (PIECE - 1) < min_len:
+                continue
+            while left < at and left < at2 and text[at - left - 1] == other[at2 - left - 1]:
+                left += 1
+            most = min(len(text) - at, len(other) - at2)
+            while right < most and text[at + right] == other[at2 + right]:
+                right += 1
+            if left + right >= min_len:
+                yield m, n, left, right
+
+
+def _batched(pdf: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
+    sizes = pdf[text].str.len().cumsum().to_numpy()
+    for _, part in pdf.groupby(sizes // SLICE_CHARS, sort=False):
+        yield part
+
+
+def shared_spans(records: DataFrame, id_col: str, text_col: str, group_cols: list[str] | None = None, *, min_len: int = 200) -> dict[str, DataFrame]:
+    """Exact spans of ``min_len`` or more characters that stand in more than one record.
+
+    Returns ``members`` (id, cls, grp, n_chars): every record and the class of its text; ``spans`` (a, b, a_start, a_end,
+    b_start, b_end): matches between two classes, a < b, at least one row for every stretch of ``min_len`` characters
+    the two share; matches reach at most ``min_len - GRAM`` beyond their anchor, so longer spans are unions of rows.
+
+    Null ids and null texts are left out; repeated rows of an id count once (of different texts the one with the
+    smallest digest stays). Texts shorter than ``min_len`` have no spans. An empty table gives empty results.
+    """
+    gram = min(GRAM, max(1, min_len // 3))
+    window, reach = min_len - gram + 1, min_len - gram
+    grp = F.to_json(F.struct(*group_cols)) if group_cols else F.col(id_col).cast("string")
+    rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), grp.alias("grp")).where("id is not null and text is not null").withColumn("digest", F.sha2("text", 256))
+    members = rows.groupBy("id").agg(F.min(F.struct("digest", "grp", F.length("text").alias("n_chars"))).alias("m")).select("id", "m.*")
+    reps = members.groupBy("digest").agg(F.min("id").alias("cls"), F.count("*").alias("n"))
+    members = cut(members.join(reps, "digest").select("id", "cls", "grp", "n_chars"))
+    chosen = members.where(f"id = cls and n_chars >= {min_len}").select("id")
+    texts = cut(rows.where(F.length("text") >= min_len).join(chosen, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).withColumnRenamed("id", "cls"))
+
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for pdf in _batched(whole, "text"):
+                points, starts = code_points(pdf["text"].tolist())
+                if len(points) < min_len:
+                    continue
+                hashes = window_hashes(points, gram)
+                least = window_argmin(hashes, window)
+                begin = np.arange(len(least))
+                owner = np.searchsorted(starts, begin, side="right") - 1
+                picked = np.unique(least[begin + min_len <= starts[owner + 1]])
+                owner = np.searchsorted(starts, picked, side="right") - 1
+                yield pd.DataFrame({"h": hashes[picked].view(np.int64), "cls": pdf["cls"].to_numpy()[owner], "pos": (picked - starts[owner]).astype(np.int32)})
+
+    found = cut(texts.mapInPandas(anchors, "h bigint, cls bigint, pos int"))
+    # An anchor counts when two classes hold it; one class alone repeats only itself.
+    shared = found.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    held = found.join(shared, "h").groupBy("cls").agg(F.collect_list(F.struct("pos", "h", "blocks")).alias("held"))
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for cls, text, held_here in zip(pdf["cls"], pdf["text"], pdf["held"], strict=True):
+                for one in held_here:
+                    pos, start = one["pos"], max(0, one["pos"] - reach)
+                    own = (int(cls) * 2654435761 >> 7) % one["blocks"]
+                    for other in range(one["blocks"]):
+                        out.append((one["h"], min(own, other), max(own, other), own, cls, pos, text[start : pos + gram + reach], pos - start))
+            if out:
+                yield pd.DataFrame(out, columns=["h", "b1", "b2", "own", "cls", "pos", "ctx", "at"])
+
+    placed = texts.join(held, "cls").mapInPandas(contexts, "h bigint, b1 int, b2 int, own int, cls bigint, pos int, ctx string, at int")
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, group = None, []
+
+        def settle() -> list[tuple]:
+            alike: dict[tuple[str, int], list] = {}
+            for own, cls, pos, ctx, at in group:
+                alike.setdefault((ctx, at), []).append((own, cls, pos))
+            kinds, out = list(alike), []
+            pairs = [(n, n, at, len(ctx) - at) for n, (ctx, at) in enumerate(kinds) if len(ctx) >= min_len and len(alike[ctx, at]) > 1]
+            if len(kinds) > 1:
+                pairs.extend(shard_matches(kinds, gram, min_len))
+            for i, j, left, right in pairs:
+                one, two = alike[kinds[i]], alike[kinds[j]]
+                for x, (own1, cls1, pos1) in enumerate(one):
+                    for own2, cls2, pos2 in one[x + 1 :] if i == j else two:
+                        if cls1 != cls2 and (key[1] == key[2] or own1 != own2):
+                            row = (cls1, cls2, pos1 - left, pos1 + right, pos2 - left, pos2 + right)
+                            out.append(row if cls1 < cls2 else (cls2, cls1, *row[4:], *row[2:4]))
+            return out
+
+        names, done = ["a", "b", "a_start", "a_end", "b_start", "b_end"], []
+        for pdf in batches:
+            for h, b1, b2, *rest in pdf[["h", "b1", "b2", "own", "cls", "pos", "ctx", "at"]].itertuples(index=False, name=None):
+                if (h, b1, b2) != key:
+                    if len(group) > 1:
+                        done.extend(settle())
+                    key, group = (h, b1, b2), []
+                    if len(done) > 20000:
+                        yield pd.DataFrame(done, columns=names)
+                        done = []
+                group.append(rest)
+        if len(group) > 1:
+            done.extend(settle())
+        if done:
+            yield pd.DataFrame(done, columns=names)
+
+    spans = placed.repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2").mapInPandas(match, "a bigint, b bigint, a_start int, a_end int, b_start int, b_end int")
+    return {"members": members, "spans": cut(spans)}
+
+
+def shared_pairs(parts: dict[str, DataFrame], *, min_len: int = 200) -> DataFrame:
+    """``(id_a, id_b)``, id_a < id_b: records of different groups that share a span of ``min_len`` characters."""
+    members = parts["members"]
+    one, two = (members.select(F.col("cls").alias(f"cls_{x}"), F.col("id").alias(f"id_{x}"), F.col("grp").alias(f"grp_{x}"), F.col("n_chars").alias(f"n_{x}")) for x in "ab")
+    links = parts["spans"].select("a", "b").distinct()
+    across = links.join(one, links["a"] == one["cls_a"]).join(two, links["b"] == two["cls_b"])
+    within = one.where(f"n_a >= {min_len}").join(two, (F.col("cls_a") == F.col("cls_b")) & (F.col("id_a") < F.col("id_b")))
+    got = across.select("id_a", "id_b", "grp_a", "grp_b").unionByName(within.select("id_a", "id_b", "grp_a", "grp_b")).where("grp_a <> grp_b")
+    return got.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+
+
+def shared_share(parts: dict[str, DataFrame], *, min_len: int = 200) -> DataFrame:
+    """``(id, n_chars, shared_chars, share)`` for every record: how much of it also stands in another record.
+
+    Records whose whole text of ``min_len`` or more characters has a copy are shared entirely; other spans are merged
+    by gaps and islands. Groups do not matter here.
+    """
+    spans = parts["spans"]
+    sides = spans.select(F.col("a").alias("cls"), F.col("a_start").alias("s"), F.col("a_end").alias("e")).unionAll(spans.select("b", "b_start", "b_end")).groupBy("cls", "s").agg(F.max("e").alias("e"))
+    order = W.partitionBy("cls").orderBy("s", "e")
+    before = sides.withColumn("top", F.coalesce(F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    merged = before.groupBy("cls").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "top"))).alias("covered"))
+    members = parts["members"]
+    copies = members.groupBy("cls").agg(F.count("*").alias("n"))
+    out = members.join(copies, "cls").join(merged, "cls", "left")
+    shared = F.when((F.col("n") > 1) & (F.col("n_chars") >= min_len), F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).cast("bigint")
+    return out.select("id", F.col("n_chars").cast("bigint").alias("n_chars"), shared.alias("shared_chars")).withColumn("share", F.round(F.coalesce(F.try_divide(F.col("shared_chars"), F.col("n_chars")), F.lit(0.0)), 6))

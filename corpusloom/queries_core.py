@@ -1,0 +1,64 @@
+"""Named queries of the general problems 3, 4 and 6."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.operators.components import connected_components
+from corpusloom.operators.knn import nearest_vectors
+from corpusloom.operators.shared_spans import shared_pairs, shared_share, shared_spans
+from corpusloom.runtime import read_table
+
+
+def project_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row (level, id, vec) for each vector of either level."""
+    table = read_table(spark, sf_dir, "project_embedding")
+    levels = [table.select(F.lit(name).alias("level"), F.explode(F.arrays_zip(F.col(f"{name}_ids").alias("id"), F.col(f"{name}_embeddings").alias("vec"))).alias("x")).select("level", "x.id", "x.vec") for name in ("function", "file")]
+    return levels[0].unionByName(levels[1])
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(project_vectors(spark, sf_dir), "level", "id", "vec")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p3_neighbours(spark, sf_dir)
+    return near.select("level", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, DataFrame]]:
+    return {
+        "block": shared_spans(read_table(spark, sf_dir, "code_block"), "block_id", "normalized", ["repo", "file_path"]),
+        "profile": shared_spans(read_table(spark, sf_dir, "repo_code_profile"), "scan_id", "all_code_normalized"),
+    }
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (shared_pairs(parts).select(F.lit(level).alias("level"), "id_a", "id_b") for level, parts in _spans(spark, sf_dir).items())
+    return a.unionByName(b)
+
+
+def p4_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (shared_share(parts).select(F.lit(level).alias("level"), "id", "n_chars", "shared_chars", "share") for level, parts in _spans(spark, sf_dir).items())
+    return a.unionByName(b)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "code_match")
+    name = lambda c: F.lower(F.trim(c))
+    usable = table.select(name("repo1").alias("a"), name("repo2").alias("b")).where("a <> '' and b <> '' and a <> b")
+    return connected_components(usable, "a", "b", "repo", "group_repo")
+
+
+P6_FOUND_SQL = """
+WITH RECURSIVE m AS (
+  SELECT DISTINCT lower(trim(repo1)) a, lower(trim(repo2)) b FROM code_match
+  WHERE lower(trim(repo1)) <> '' AND lower(trim(repo2)) <> '' AND lower(trim(repo1)) <> lower(trim(repo2))),
+e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
+r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y)
+SELECT x AS repo, min(y) AS group_repo FROM r GROUP BY x
+"""
+
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_shared_share": p4_shared_share, "p6_found": p6_found}
+ORACLE = {"p6_found": P6_FOUND_SQL}
