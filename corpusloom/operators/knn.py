@@ -24,6 +24,8 @@ from corpusloom.runtime import cut
 
 #: Index entries of one ranking group; queries meet a group in slices of as many.
 CHUNK = 2048
+PER_CELL = 200
+MOST_CODES = 1024
 
 
 def _kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -64,12 +66,13 @@ def walk_cells(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted:
     return out
 
 
-def nearest_vectors(vectors: DataFrame, level: str, id_col: str, vec_col: str, *, dim: int = 64, k: int = 5, codes: int = 32, sample: int = 20000, candidates: int = 6000, digits: int = 6) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, level: str, id_col: str, vec_col: str, *, dim: int = 64, k: int = 5, codes: int | None = None, sample: int = 20000, candidates: int = 4000, digits: int = 6) -> DataFrame:
     """``(level, id, rank, neighbour, cosine)``: the ``k`` most similar vectors of the same level for every vector.
 
     Cosine is rounded to ``digits`` decimals, ties go to the smaller id. Null ids, null, all-zero, non-finite and
     wrong-length vectors take no part; repeated rows of an id count once. Fewer than two vectors: no rows.
-    ``sample`` bounds the vectors that the codebooks are fitted on, ``candidates`` the work of a query.
+    ``sample`` bounds the vectors that the codebooks are fitted on, ``candidates`` the work of a query. ``codes`` is the
+    size of each codebook; by default it grows with the root of the vectors, so that a cell holds ``PER_CELL`` on average.
     """
     spark = vectors.sparkSession
     v = F.col(vec_col)
@@ -90,9 +93,11 @@ def nearest_vectors(vectors: DataFrame, level: str, id_col: str, vec_col: str, *
     books = {}
     for (name,) in classes.select("level").distinct().collect():  # one row for each level
         rows = classes.where(F.col("level") == name)
-        share = min(1.0, 1.2 * sample / max(1, rows.count()))
+        n = rows.count()
+        share = min(1.0, 1.2 * sample / max(1, n))
+        size = codes or min(MOST_CODES, max(4, round((n / PER_CELL) ** 0.5)))
         got = np.array([r[0] for r in rows.sample(share, seed=11).select("vec").limit(sample).collect()] or [r[0] for r in rows.limit(sample).select("vec").collect()])
-        books[name] = (_kmeans(got[:, : dim // 2], codes), _kmeans(got[:, dim // 2 :], codes))
+        books[name] = (_kmeans(got[:, : dim // 2], size), _kmeans(got[:, dim // 2 :], size))
     if not books:
         return spark.createDataFrame([], "level string, id bigint, rank int, neighbour bigint, cosine double")
 
@@ -130,7 +135,7 @@ def nearest_vectors(vectors: DataFrame, level: str, id_col: str, vec_col: str, *
             mixed = (pdf["cls"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             yield pdf.assign(chunk=(mixed % (-(-n // CHUNK)).astype(np.uint64)).astype(np.int32), side=0)
 
-    shape = "level string, cls bigint, ca int, cb int, chunk int, vec array<float>, side int"
+    shape = "level string, cls bigint, ca int, cb int, chunk int, vec array<double>, side int"
     both = indexed.mapInPandas(chunked, shape).unionByName(indexed.mapInPandas(probe, shape))
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,22 +162,24 @@ def nearest_vectors(vectors: DataFrame, level: str, id_col: str, vec_col: str, *
                 own, entries = full
                 for at in range(s, e, 256):
                     q, to = cls[at : min(e, at + 256)], vec[at : min(e, at + 256)]
-                    sim = to @ entries.T
-                    sim[q[:, None] == own[None]] = -2
-                    keep = min(2 * k + 2, len(own))
+                    sim = np.round(to @ entries.T, digits)
+                    sim[q[:, None] == own[None]] = -9
+                    keep = min(k + 3, len(own))
                     top = np.argpartition(-sim, keep - 1, axis=1)[:, :keep]
-                    exact = np.round(np.einsum("qd,qkd->qk", to.astype(np.float64), entries[top].astype(np.float64)), digits)
-                    out = pd.DataFrame({"level": lv[s], "cls": np.repeat(q, keep), "other": own[top].ravel(), "cosine": exact.ravel()})
-                    yield out[out["cls"] != out["other"]]
+                    values, names = np.take_along_axis(sim, top, 1), own[top]
+                    order = np.lexsort((names, -values))[:, :k]
+                    values, names = np.take_along_axis(values, order, 1), np.take_along_axis(names, order, 1)
+                    # Where more than ``keep`` entries tie with the last one taken, the whole row is ordered.
+                    for n in np.flatnonzero((sim >= values[:, -1:]).sum(1) > keep):
+                        order = np.lexsort((own, -sim[n]))[:k]
+                        values[n], names[n] = sim[n][order], own[order]
+                    out = pd.DataFrame({"level": lv[s], "cls": np.repeat(q, values.shape[1]), "other": names.ravel(), "cosine": values.ravel()})
+                    yield out[out["cosine"] > -9]
 
     found = both.repartition("level", "ca", "cb", "chunk").sortWithinPartitions("level", "ca", "cb", "chunk", "side").mapInPandas(rank, "level string, cls bigint, other bigint, cosine double")
     best = W.partitionBy("level", "cls").orderBy(F.desc("cosine"), "other")
-    near = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("level", "cls", "other")
-    # Exact cosine once more in double, from the vectors themselves, for the few pairs that are left.
-    one, two = classes.select("level", "cls", F.col("vec").alias("va")), classes.select("level", F.col("cls").alias("other"), F.col("vec").alias("vb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = near.join(one, ["level", "cls"]).join(two, ["level", "other"]).select("level", "cls", "other", F.round(dot, digits).alias("cosine"))
-    scored = scored.unionAll(classes.select("level", "cls", F.col("cls").alias("other"), F.lit(1.0).alias("cosine")))
+    near = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("level", "cls", "other", "cosine")
+    scored = near.unionAll(classes.select("level", "cls", F.col("cls").alias("other"), F.lit(1.0).alias("cosine")))
     options = scored.join(heads.withColumnRenamed("cls", "other"), ["level", "other"]).select("level", "cls", "neighbour", "cosine")
     # The k + 1 best of a class hold the k best of each of its members, whichever member is left out.
     best = W.partitionBy("level", "cls").orderBy(F.desc("cosine"), "neighbour")
