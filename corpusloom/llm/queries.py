@@ -7,9 +7,27 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.leakage import leaked_items
 from corpusloom.llm.packing import pack, rule_tokens
+from corpusloom.llm.parse_check import check_files
 from corpusloom.runtime import read_table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read_table(spark, sf_dir, "file_embedding")
+    return check_files(files, "file_id", "path", "content").where("not parses").select("file_id").distinct()
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, invalid files and blocks cut from them for each repository and extension."""
+    files = read_table(spark, sf_dir, "file_embedding").select("file_id", "repo", "path", "content")
+    checked = check_files(files, "file_id", "path", "content").dropDuplicates(["file_id"])
+    named = files.select("file_id", "repo", "path").dropDuplicates(["file_id"]).join(checked, "file_id")
+    blocks = read_table(spark, sf_dir, "code_block").select("block_id", "repo", F.col("file_path").alias("path")).dropDuplicates(["block_id"]).groupBy("repo", "path").agg(F.count("*").alias("blocks"))
+    joined = named.join(blocks, ["repo", "path"], "left")
+    bad = ~F.col("parses")
+    out = joined.groupBy("repo", "ext").agg(F.count("*").alias("files"), F.count_if(bad).alias("invalid"), F.coalesce(F.sum(F.when(bad, F.col("blocks"))), F.lit(0)).alias("invalid_blocks"))
+    return out.withColumn("rate", F.round(F.col("invalid") / F.col("files"), 6))
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_tokens", rule_tokens("text")).alias("size"))
     # container_spec has a fixed number of rows.
@@ -39,5 +57,5 @@ g AS (SELECT doc_id, n, array_to_string(w[s:s + n - 1], ' ') g
 SELECT DISTINCT doc_id, item_id FROM g JOIN r USING (n, g)
 """
 
-QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
+QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
 ORACLE = {"p9_found": P9_FOUND_SQL}
