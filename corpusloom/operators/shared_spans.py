@@ -7,8 +7,10 @@ form its reference shard: a generalised suffix automaton over anchor-aligned pie
 documents are streamed through it; the matching statistics give, for every pair, how far the match reaches to either
 side, and the last piece is settled character by character. So the result is exact and no shard is broadcast.
 
-Equal texts are one class and are compared once. An anchor held by more than ``BLOCK`` classes is split into blocks,
-each pair of blocks being a shard of its own, so that hot anchors spread over many tasks.
+Equal texts are one class and are compared once. An anchor held more than ``BLOCK`` times is too common to compare
+its holders with each other: its shard is split further by the hashes of the ``min_len``-grams around it, so that only
+records that do share a span meet. Where even those are more than ``BLOCK``, they are split into blocks, each pair of
+blocks being a shard of its own: such groups are pairs of the result and spread over many tasks.
 """
 
 from __future__ import annotations
@@ -17,17 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.rolling import code_points, window_argmin, window_hashes
 from corpusloom.runtime import cut
 
-GRAM = 64
+GRAM = 100
 BLOCK = 256
 #: Characters of one automaton symbol.
-PIECE = 17
+PIECE = 25
 #: Characters of text hashed at a time by one task.
 SLICE_CHARS = 4_000_000
 
@@ -99,39 +101,56 @@ def _pieces(context: str, at: int, gram: int) -> tuple[list[str], int]:
 
 
 def shard_matches(contexts: list[tuple[str, int]], gram: int, min_len: int) -> Iterator[tuple[int, int, int, int]]:
-    """``(i, j, left, right)`` with i < j: how many characters before and after the anchor two contexts share."""
-    automaton, cut_up = SuffixAutomaton(), [_pieces(c, at, gram) for c, at in contexts]
-    for n, (symbols, _) in enumerate(cut_up):
-        automaton.add(symbols, 1 << n)
+    """``(i, j, left, right)`` with i < j: how many characters before and after the anchor two contexts share.
+
+    Each context is streamed through the automaton of those before it. The states on the suffix chain at the anchor
+    give what precedes it in common with each reference; at a later piece, the shallowest state that still reaches
+    back to the anchor holds every reference that shares all the pieces up to there.
+    """
+    automaton = SuffixAutomaton()
     link, length_of, mask = automaton.link, automaton.length, automaton.mask
-    for n, (symbols, anchor) in enumerate(cut_up):
-        reach: dict[int, list[int]] = {}
-        for i, state, matched in automaton.statistics(symbols):
-            if i < anchor:
+    for n, (text, at) in enumerate(contexts):
+        symbols, anchor = _pieces(text, at, gram)
+        back: dict[int, int] = {}
+        holders: list[int] = []
+        for i, state, matched in automaton.statistics(symbols) if n else ():
+            ahead, widest = i - anchor, 0
+            if ahead < 0:
                 continue
-            ahead = i - anchor
             while state > 0 and matched > ahead:
-                others, back = mask[state] & ((1 << n) - 1), matched - ahead - 1
-                while others:
-                    low = others & -others
-                    got = reach.setdefault(low.bit_length() - 1, [0, 0])
-                    got[0], got[1] = max(got[0], back), max(got[1], ahead)
-                    others ^= low
+                if ahead == 0:
+                    for one in _bits(mask[state] & ~widest):
+                        back[one] = matched - 1
+                widest |= mask[state]
                 state = link[state]
                 matched = length_of[state]
-        text, at = contexts[n]
-        for m, (back, ahead) in reach.items():
-            other, at2 = contexts[m]
-            left, right = back * PIECE, gram + ahead * PIECE
-            if left + right + 2 * (PIECE - 1) < min_len:
-                continue
-            while left < at and left < at2 and text[at - left - 1] == other[at2 - left - 1]:
-                left += 1
-            most = min(len(text) - at, len(other) - at2)
-            while right < most and text[at + right] == other[at2 + right]:
-                right += 1
-            if left + right >= min_len:
-                yield m, n, left, right
+            if not widest:
+                break
+            holders.append(widest)
+        seen = 0
+        for ahead in range(len(holders) - 1, -1, -1):
+            for m in _bits(holders[ahead] & ~seen):
+                left, right = back[m] * PIECE, gram + ahead * PIECE
+                if left + right + 2 * (PIECE - 1) < min_len:
+                    continue
+                other, at2 = contexts[m]
+                while left < at and left < at2 and text[at - left - 1] == other[at2 - left - 1]:
+                    left += 1
+                most = min(len(text) - at, len(other) - at2)
+                while right < most and text[at + right] == other[at2 + right]:
+                    right += 1
+                if left + right >= min_len:
+                    yield m, n, left, right
+            seen |= holders[ahead]
+        if n + 1 < len(contexts):
+            automaton.add(symbols, 1 << n)
+
+
+def _bits(mask: int) -> Iterator[int]:
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
 
 
 def _batched(pdf: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
@@ -150,7 +169,7 @@ def shared_spans(records: DataFrame, id_col: str, text_col: str, group_cols: lis
     Null ids and null texts are left out; repeated rows of an id count once (of different texts the one with the
     smallest digest stays). Texts shorter than ``min_len`` have no spans. An empty table gives empty results.
     """
-    gram = min(GRAM, max(1, min_len // 3))
+    gram = min(GRAM, max(1, min_len // 2))
     window, reach = min_len - gram + 1, min_len - gram
     grp = F.to_json(F.struct(*group_cols)) if group_cols else F.col(id_col).cast("string")
     rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), grp.alias("grp")).where("id is not null and text is not null").withColumn("digest", F.sha2("text", 256))
@@ -175,34 +194,59 @@ def shared_spans(records: DataFrame, id_col: str, text_col: str, group_cols: lis
                 yield pd.DataFrame({"h": hashes[picked].view(np.int64), "cls": pdf["cls"].to_numpy()[owner], "pos": (picked - starts[owner]).astype(np.int32)})
 
     found = cut(texts.mapInPandas(anchors, "h bigint, cls bigint, pos int"))
-    # An anchor counts when two classes hold it; one class alone repeats only itself.
-    shared = found.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    held = found.join(shared, "h").groupBy("cls").agg(F.collect_list(F.struct("pos", "h", "blocks")).alias("held"))
 
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def held_twice(keys: DataFrame) -> DataFrame:
+        """Keys that two classes hold; one class alone repeats only itself."""
+        return keys.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n")
+
+    def by_class(keys: DataFrame, blocks: Column) -> DataFrame:
+        return keys.groupBy("cls").agg(F.collect_list(F.struct("pos", "h", blocks.cast("int").alias("blocks"))).alias("held"))
+
+    shared = found.join(held_twice(found), "h")
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The ``min_len``-grams around a text's hot anchors."""
         for pdf in batches:
-            out = []
             for cls, text, held_here in zip(pdf["cls"], pdf["text"], pdf["held"], strict=True):
-                for one in held_here:
-                    pos, start = one["pos"], max(0, one["pos"] - reach)
-                    own = (int(cls) * 2654435761 >> 7) % one["blocks"]
-                    for other in range(one["blocks"]):
-                        out.append((one["h"], min(own, other), max(own, other), own, cls, pos, text[start : pos + gram + reach], pos - start))
-            if out:
-                yield pd.DataFrame(out, columns=["h", "b1", "b2", "own", "cls", "pos", "ctx", "at"])
-
-    placed = texts.join(held, "cls").mapInPandas(contexts, "h bigint, b1 int, b2 int, own int, cls bigint, pos int, ctx string, at int")
+                hashes = window_hashes(code_points([text])[0], min_len)
+                at = np.unique(np.concatenate([np.arange(max(0, x["pos"] - reach), min(x["pos"] + 1, len(hashes))) for x in held_here]))
+                yield pd.DataFrame({"h": hashes[at].view(np.int64), "cls": cls, "pos": at.astype(np.int32)})
+
+    hot = texts.join(by_class(shared.where(F.col("n") > BLOCK), F.lit(1)), "cls").mapInPandas(grams, "h bigint, cls bigint, pos int")
+    hot = cut(hot)
+    hot = hot.join(held_twice(hot), "h")
+
+    def contexts_of(exact: bool):  # noqa: ANN202
+        before, after = (0, min_len) if exact else (reach, gram + reach)
+
+        def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for cls, text, held_here in zip(pdf["cls"], pdf["text"], pdf["held"], strict=True):
+                    for one in held_here:
+                        pos, blocks = one["pos"], one["blocks"]
+                        start, own = max(0, pos - before), (int(cls) * 2654435761 >> 7) % blocks
+                        for other in range(blocks):
+                            out.append((one["h"], min(own, other), max(own, other), own, cls, pos, text[start : pos + after], pos - start, exact))
+                if out:
+                    yield pd.DataFrame(out, columns=["h", "b1", "b2", "own", "cls", "pos", "ctx", "at", "exact"])
+
+        return contexts
+
+    shape = "h bigint, b1 int, b2 int, own int, cls bigint, pos int, ctx string, at int, exact boolean"
+    placed = texts.join(by_class(shared.where(F.col("n") <= BLOCK), F.lit(1)), "cls").mapInPandas(contexts_of(False), shape)
+    placed = placed.unionAll(texts.join(by_class(hot, F.ceil(F.col("n") / BLOCK)), "cls").mapInPandas(contexts_of(True), shape))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, group = None, []
 
         def settle() -> list[tuple]:
             alike: dict[tuple[str, int], list] = {}
-            for own, cls, pos, ctx, at in group:
+            for own, cls, pos, ctx, at, _ in group:
                 alike.setdefault((ctx, at), []).append((own, cls, pos))
             kinds, out = list(alike), []
             pairs = [(n, n, at, len(ctx) - at) for n, (ctx, at) in enumerate(kinds) if len(ctx) >= min_len and len(alike[ctx, at]) > 1]
-            if len(kinds) > 1:
+            if len(kinds) > 1 and not group[0][-1]:
                 pairs.extend(shard_matches(kinds, gram, min_len))
             for i, j, left, right in pairs:
                 one, two = alike[kinds[i]], alike[kinds[j]]
@@ -215,21 +259,21 @@ def shared_spans(records: DataFrame, id_col: str, text_col: str, group_cols: lis
 
         names, done = ["a", "b", "a_start", "a_end", "b_start", "b_end"], []
         for pdf in batches:
-            for h, b1, b2, *rest in pdf[["h", "b1", "b2", "own", "cls", "pos", "ctx", "at"]].itertuples(index=False, name=None):
-                if (h, b1, b2) != key:
+            for h, b1, b2, *rest in zip(*(pdf[c].tolist() for c in ("h", "b1", "b2", "exact", "own", "cls", "pos", "ctx", "at", "exact")), strict=True):
+                if (h, b1, b2, rest[0]) != key:
                     if len(group) > 1:
                         done.extend(settle())
-                    key, group = (h, b1, b2), []
+                    key, group = (h, b1, b2, rest[0]), []
                     if len(done) > 20000:
                         yield pd.DataFrame(done, columns=names)
                         done = []
-                group.append(rest)
+                group.append(rest[1:])
         if len(group) > 1:
             done.extend(settle())
         if done:
             yield pd.DataFrame(done, columns=names)
 
-    spans = placed.repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2").mapInPandas(match, "a bigint, b bigint, a_start int, a_end int, b_start int, b_end int")
+    spans = placed.repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2", "exact").mapInPandas(match, "a bigint, b bigint, a_start int, a_end int, b_start int, b_end int")
     return {"members": members, "spans": cut(spans)}
 
 
