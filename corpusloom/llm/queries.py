@@ -5,12 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.credentials import credentials, redacted, word_costs
+from corpusloom.llm.function_docs import pair_functions
 from corpusloom.llm.leakage import leaked_items
 from corpusloom.llm.packing import pack, rule_tokens
 from corpusloom.llm.parse_check import check_files
 from corpusloom.runtime import read_table
 
 
+def _code_texts(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, float]]:
+    files, blocks = read_table(spark, sf_dir, "file_embedding"), read_table(spark, sf_dir, "code_block")
+    texts = {"file": files.select(F.col("file_id").alias("id"), F.col("top_level_code").alias("text")), "block": blocks.select(F.col("block_id").alias("id"), F.col("code").alias("text"))}
+    return texts, word_costs(blocks.select("name"), "name")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, costs = _code_texts(spark, sf_dir)
+    a, b = (credentials(rows, "id", "text", costs).select(F.lit(src).alias("src"), "row_id", "line_no") for src, rows in texts.items())
+    return a.unionByName(b).distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text that holds credentials, with them replaced."""
+    texts, costs = _code_texts(spark, sf_dir)
+    a, b = (redacted(rows, "id", "text", costs).where("credentials > 0").select(F.lit(src).alias("src"), "row_id", "text", "credentials") for src, rows in texts.items())
+    return a.unionByName(b).dropDuplicates(["src", "row_id"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = read_table(spark, sf_dir, "file_embedding")
     return check_files(files, "file_id", "path", "content").where("not parses").select("file_id").distinct()
@@ -28,6 +49,16 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rate", F.round(F.col("invalid") / F.col("files"), 6))
 
 
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = pair_functions(read_table(spark, sf_dir, "function_embedding"), read_table(spark, sf_dir, "file_embedding"))
+    return pairs.dropDuplicates(["function_id"])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = pair_functions(read_table(spark, sf_dir, "function_embedding"), read_table(spark, sf_dir, "file_embedding"))
+    return pairs.select("function_id").distinct()
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_tokens", rule_tokens("text")).alias("size"))
     # container_spec has a fixed number of rows.
@@ -57,5 +88,5 @@ g AS (SELECT doc_id, n, array_to_string(w[s:s + n - 1], ' ') g
 SELECT DISTINCT doc_id, item_id FROM g JOIN r USING (n, g)
 """
 
-QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
 ORACLE = {"p9_found": P9_FOUND_SQL}
