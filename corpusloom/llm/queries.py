@@ -10,6 +10,7 @@ from corpusloom.llm.function_docs import pair_functions
 from corpusloom.llm.leakage import leaked_items
 from corpusloom.llm.packing import pack, rule_tokens
 from corpusloom.llm.parse_check import check_files
+from corpusloom.llm.personal_data import masked, personal_spans
 from corpusloom.runtime import read_table
 
 
@@ -77,6 +78,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "eval_item"), "item_id", "text")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_spans(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return masked(documents, "doc_id", "text", personal_spans(documents, "doc_id", "text"))
+
+
 P9_FOUND_SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM eval_item WHERE text IS NOT NULL),
@@ -88,5 +98,5 @@ g AS (SELECT doc_id, n, array_to_string(w[s:s + n - 1], ' ') g
 SELECT DISTINCT doc_id, item_id FROM g JOIN r USING (n, g)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_masked": p10_masked}
 ORACLE = {"p9_found": P9_FOUND_SQL}
