@@ -11,9 +11,29 @@ from corpusloom.llm.leakage import leaked_items
 from corpusloom.llm.packing import pack, rule_tokens
 from corpusloom.llm.parse_check import check_files
 from corpusloom.llm.personal_data import masked, personal_spans
+from corpusloom.llm.provenance import unwritten_files
 from corpusloom.runtime import read_table
 
 
+def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unwritten_files(read_table(spark, sf_dir, "file_embedding"), "file_id", "repo", "path", "content")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_reasons(spark, sf_dir).select("file_id")
+
+
+def p1_repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each scan, how many of its listed files nobody wrote by hand; paths are compared in one style."""
+    style = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\\\", "/"), r"^(?:\./|/)+", ""), r"/{2,}", "/")
+    scans = read_table(spark, sf_dir, "repo_analysis").select("scan_id", "repo", "files").where("scan_id is not null").dropDuplicates(["scan_id"])
+    listed = scans.select("scan_id", "repo", F.explode_outer("files").alias("path")).select("scan_id", "repo", style(F.col("path")).alias("path")).distinct()
+    files = read_table(spark, sf_dir, "file_embedding").select("file_id", "repo", style(F.col("path")).alias("path")).dropDuplicates(["file_id"])
+    found = p1_reasons(spark, sf_dir)
+    joined = listed.join(files.join(found, "file_id"), ["repo", "path"], "left")
+    return joined.groupBy("scan_id").agg(F.count("path").alias("listed"), F.count("reason").alias("unwritten"))
+
+
 def _code_texts(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, float]]:
     files, blocks = read_table(spark, sf_dir, "file_embedding"), read_table(spark, sf_dir, "code_block")
     texts = {"file": files.select(F.col("file_id").alias("id"), F.col("top_level_code").alias("text")), "block": blocks.select(F.col("block_id").alias("id"), F.col("code").alias("text"))}
@@ -98,5 +118,5 @@ g AS (SELECT doc_id, n, array_to_string(w[s:s + n - 1], ' ') g
 SELECT DISTINCT doc_id, item_id FROM g JOIN r USING (n, g)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_masked": p10_masked}
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p1_repository_files": p1_repository_files, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_masked": p10_masked}
 ORACLE = {"p9_found": P9_FOUND_SQL}
