@@ -36,13 +36,13 @@ SHARED: dict[str, str] = {
     # Weighted match score and verdict of every matched pair.
     "plagiarism_verdicts": f"WITH {_PAIRS}, {_SCORE} SELECT repo_a, repo_b, matches, score, verdict FROM v",
     # Conditional counts per verdict.
-    "verdict_summary": f"WITH {_PAIRS}, {_SCORE} SELECT verdict, count(*) AS pairs, sum(matches) AS matches, max(score) AS top_score FROM v GROUP BY verdict",
+    "verdict_summary": f"WITH {_PAIRS}, {_SCORE} SELECT verdict, count(*) AS pairs, CAST(sum(matches) AS BIGINT) AS matches, max(score) AS top_score FROM v GROUP BY verdict",
     # Risk class from the best match of each kind.
     "risk_classes": f"WITH {_PAIRS}, g AS (SELECT repo_a, repo_b, coalesce(max(CASE WHEN kind = 'exact' THEN sim END), 0) * count(CASE WHEN kind = 'exact' THEN 1 END) / count(*) AS fp, coalesce(max(CASE WHEN kind = 'structural' THEN sim END), 0) AS sem, coalesce(max(CASE WHEN kind = 'near_exact' THEN sim END), 0) AS api FROM p GROUP BY repo_a, repo_b) SELECT repo_a, repo_b, CASE WHEN fp >= 0.15 THEN 'HIGH' WHEN fp >= 0.08 OR (sem >= 0.5 AND api >= 0.6) THEN 'MEDIUM' WHEN fp >= 0.03 OR (sem >= 0.4 AND api >= 0.5) THEN 'LOW' ELSE 'OK' END AS risk FROM g",
     # O3: an unordered pair keeps its best row.
     "best_unordered_pair": f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_a, repo_b ORDER BY sim DESC NULLS LAST, match_id) AS nth FROM p) SELECT repo_a, repo_b, match_id, sim, kind FROM r WHERE nth = 1",
     # The first five matches of each pair.
-    "top_matches_per_pair": f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_a, repo_b ORDER BY sim DESC NULLS LAST, match_id) AS nth FROM p) SELECT repo_a, repo_b, nth AS position, match_id, kind, sim FROM r WHERE nth <= 5",
+    "top_matches_per_pair": f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_a, repo_b ORDER BY sim DESC NULLS LAST, match_id) AS nth FROM p) SELECT repo_a, repo_b, CAST(nth AS BIGINT) AS position, match_id, kind, sim FROM r WHERE nth <= 5",
     # Union of the two sides, best score per name.
     "max_score_per_name": f"WITH {_PAIRS} SELECT repo, max(sim) AS top_score, count(*) AS matches FROM (SELECT repo_a AS repo, sim FROM p UNION ALL SELECT repo_b, sim FROM p) u GROUP BY repo",
     # Matches grouped by pair.
@@ -50,29 +50,29 @@ SHARED: dict[str, str] = {
     # Pair with its verdict, order of the sides irrelevant, missing verdicts kept.
     "pair_verdict_lookup": f"WITH {_PAIRS}, {_SCORE}, q AS (SELECT DISTINCT repo_a, repo_b FROM p) SELECT q.repo_a, q.repo_b, coalesce(v.verdict, 'unknown') AS verdict FROM q LEFT JOIN v ON q.repo_a = v.repo_a AND q.repo_b = v.repo_b",
     # Functions of one name in matched repositories and whether their bodies agree.
-    "common_name_agreement": f"WITH {_PAIRS}, h AS (SELECT repo, name, max(body_hash) AS body FROM function_embedding WHERE name IS NOT NULL GROUP BY repo, name), q AS (SELECT DISTINCT repo_a, repo_b FROM p) SELECT q.repo_a, q.repo_b, count(*) AS common, sum(CASE WHEN x.body = y.body THEN 1 ELSE 0 END) AS equal_bodies FROM q JOIN h x ON x.repo = q.repo_a JOIN h y ON y.repo = q.repo_b AND y.name = x.name GROUP BY q.repo_a, q.repo_b",
+    "common_name_agreement": f"WITH {_PAIRS}, h AS (SELECT repo, name, max(body_hash) AS body FROM function_embedding WHERE name IS NOT NULL GROUP BY repo, name), q AS (SELECT DISTINCT repo_a, repo_b FROM p) SELECT q.repo_a, q.repo_b, count(*) AS common, count(CASE WHEN x.body = y.body THEN 1 END) AS equal_bodies FROM q JOIN h x ON x.repo = q.repo_a JOIN h y ON y.repo = q.repo_b AND y.name = x.name GROUP BY q.repo_a, q.repo_b",
     # Names that only one side of a matched pair has.
     "anti_symmetric_difference": f"WITH {_PAIRS}, n AS (SELECT DISTINCT repo, name FROM function_embedding WHERE name IS NOT NULL), q AS (SELECT DISTINCT repo_a, repo_b FROM p), d AS (SELECT q.repo_a, q.repo_b, 'a' AS side, x.name FROM q JOIN n x ON x.repo = q.repo_a LEFT JOIN n y ON y.repo = q.repo_b AND y.name = x.name WHERE y.name IS NULL UNION ALL SELECT q.repo_a, q.repo_b, 'b', y.name FROM q JOIN n y ON y.repo = q.repo_b LEFT JOIN n x ON x.repo = q.repo_a AND x.name = y.name WHERE x.name IS NULL) SELECT repo_a, repo_b, side, count(*) AS names FROM d GROUP BY repo_a, repo_b, side",
     # M16 naming pattern: five or more shared names, held by no more than two repositories' worth of chance.
-    "naming_pattern_pairs": f"WITH n AS (SELECT DISTINCT repo, name FROM function_embedding WHERE name IS NOT NULL AND name NOT IN ('main', 'run', 'setup', 'init', 'get', 'create', 'update', 'delete')), z AS (SELECT repo, count(*) AS names FROM n GROUP BY repo), c AS (SELECT x.repo AS repo_a, y.repo AS repo_b, count(*) AS shared FROM n x JOIN n y ON x.name = y.name AND x.repo < y.repo GROUP BY x.repo, y.repo HAVING count(*) >= 5) SELECT c.repo_a, c.repo_b, c.shared, round(c.shared * 1.0 / greatest(a.names, b.names), 6) AS similarity FROM c JOIN z a ON a.repo = c.repo_a JOIN z b ON b.repo = c.repo_b",
+    "naming_pattern_pairs": f"WITH n AS (SELECT DISTINCT repo, name FROM function_embedding WHERE name IS NOT NULL AND name NOT IN ('main', 'run', 'setup', 'init', 'get', 'create', 'update', 'delete')), z AS (SELECT repo, count(*) AS names FROM n GROUP BY repo), c AS (SELECT x.repo AS repo_a, y.repo AS repo_b, count(*) AS shared FROM n x JOIN n y ON x.name = y.name AND x.repo < y.repo GROUP BY x.repo, y.repo HAVING count(*) >= 5) SELECT c.repo_a, c.repo_b, c.shared, round(CAST(c.shared AS DOUBLE) / greatest(a.names, b.names), 6) AS similarity FROM c JOIN z a ON a.repo = c.repo_a JOIN z b ON b.repo = c.repo_b",
     # Style of each repository.
-    "style_metrics": f"WITH {_FILES} SELECT repo, count(*) AS files, sum(line_count) AS lines, sum(code_line_count) AS code_lines, round(avg(line_count), 6) AS mean_lines, max(line_count) AS longest, round(sum(code_line_count) * 1.0 / nullif(sum(line_count), 0), 6) AS code_share FROM f GROUP BY repo",
+    "style_metrics": f"WITH {_FILES} SELECT repo, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines, CAST(sum(code_line_count) AS BIGINT) AS code_lines, round(avg(line_count), 6) AS mean_lines, max(line_count) AS longest, round(CAST(sum(code_line_count) AS DOUBLE) / nullif(sum(line_count), 0), 6) AS code_share FROM f GROUP BY repo",
     # G1: five most frequent extensions of each repository.
-    "language_mix_top5": f"WITH {_FILES}, c AS (SELECT repo, ext, count(*) AS files FROM f GROUP BY repo, ext), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY files DESC, ext) AS nth FROM c) SELECT repo, ext, files, nth AS position FROM r WHERE nth <= 5",
+    "language_mix_top5": f"WITH {_FILES}, c AS (SELECT repo, ext, count(*) AS files FROM f GROUP BY repo, ext), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY files DESC, ext) AS nth FROM c) SELECT repo, ext, files, CAST(nth AS BIGINT) AS position FROM r WHERE nth <= 5",
     # Kind of architecture.
-    "architecture_kind": f"WITH {_FILES}, g AS (SELECT repo, count(*) AS files, max(CASE WHEN path LIKE '%/api/%' OR path LIKE '%router%' THEN 1 ELSE 0 END) AS routers, max(CASE WHEN path LIKE '%/models/%' THEN 1 ELSE 0 END) AS models, max(CASE WHEN path LIKE '%/services/%' THEN 1 ELSE 0 END) AS services, max(length(path) - length(replace(path, '/', ''))) AS depth FROM f GROUP BY repo) SELECT repo, files, routers, models, services, depth, CASE WHEN routers = 1 AND models = 0 THEN 'router-based' WHEN models = 1 AND services = 1 THEN 'mvc' WHEN files <= 3 THEN 'single-file' ELSE 'modular' END AS kind FROM g",
+    "architecture_kind": f"WITH {_FILES}, g AS (SELECT repo, count(*) AS files, max(CASE WHEN path LIKE '%/api/%' OR path LIKE '%router%' THEN 1 ELSE 0 END) AS routers, max(CASE WHEN path LIKE '%/models/%' THEN 1 ELSE 0 END) AS models, max(CASE WHEN path LIKE '%/services/%' THEN 1 ELSE 0 END) AS services, max(length(path) - length(replace(path, '/', ''))) AS depth FROM f GROUP BY repo) SELECT repo, files, routers, models, services, CAST(depth AS BIGINT) AS depth, CASE WHEN routers = 1 AND models = 0 THEN 'router-based' WHEN models = 1 AND services = 1 THEN 'mvc' WHEN files <= 3 THEN 'single-file' ELSE 'modular' END AS kind FROM g",
     # Checklist of project files.
     "project_checklist": f"WITH {_SCANS}, g AS (SELECT repo, max(has_readme) AS readme, max(has_docker) AS docker, max(has_tests) AS tests, max(coalesce(test_files, 0)) AS test_files FROM a GROUP BY repo) SELECT repo, (CASE WHEN readme THEN 1 ELSE 0 END + CASE WHEN docker THEN 1 ELSE 0 END + CASE WHEN tests THEN 1 ELSE 0 END + CASE WHEN test_files > 0 THEN 1 ELSE 0 END) AS score, concat_ws(',', CASE WHEN NOT coalesce(readme, FALSE) THEN 'readme' END, CASE WHEN NOT coalesce(docker, FALSE) THEN 'docker' END, CASE WHEN NOT coalesce(tests, FALSE) THEN 'tests' END) AS missing FROM g",
     # Feature points and grade.
     "creativity_points_grade": f"WITH {_SCANS}, g AS (SELECT repo, CASE WHEN max(python_files) > 0 THEN least(10, 2 * max(python_files)) ELSE 2 END AS feature, CASE WHEN max(test_files) > 0 THEN least(10, 2 * max(test_files)) ELSE 1 END AS quality, CASE WHEN max(has_docker) THEN 8 ELSE 2 END AS technical, CASE WHEN max(has_readme) THEN 8 ELSE 1 END AS extra, CASE WHEN repo LIKE '%queue%' OR repo LIKE '%garden%' THEN 8 ELSE 5 END AS domain FROM a GROUP BY repo) SELECT repo, feature + quality + technical + extra + domain AS total, CASE WHEN feature + quality + technical + extra + domain >= 40 THEN 'A' WHEN feature + quality + technical + extra + domain >= 32 THEN 'B' WHEN feature + quality + technical + extra + domain >= 24 THEN 'C' WHEN feature + quality + technical + extra + domain >= 16 THEN 'D' ELSE 'F' END AS grade FROM g",
     # Snippets of a repository within a budget of characters, tests last, stop at the first overflow.
-    "budgeted_snippets": f"WITH {_FILES}, t AS (SELECT repo, path, file_id, CASE WHEN path LIKE '%test%' THEN 1 ELSE 0 END AS is_test, least(length(content), 800) AS size FROM f WHERE ext = '.py'), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY is_test, path, file_id) AS nth, sum(size) OVER (PARTITION BY repo ORDER BY is_test, path, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM t) SELECT repo, nth AS position, file_id, size, total FROM r WHERE nth <= 20 AND total <= 12000",
+    "budgeted_snippets": f"WITH {_FILES}, t AS (SELECT repo, path, file_id, CASE WHEN path LIKE '%test%' THEN 1 ELSE 0 END AS is_test, least(length(content), 800) AS size FROM f WHERE ext = '.py'), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY is_test, path, file_id) AS nth, sum(size) OVER (PARTITION BY repo ORDER BY is_test, path, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM t) SELECT repo, CAST(nth AS BIGINT) AS position, file_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS total FROM r WHERE nth <= 20 AND total <= 12000",
     # Endpoints declared by decorators.
-    "shared_docstring_evidence": f"WITH {_FUNCS}, d AS (SELECT trim(doc) AS doc, count(DISTINCT repo) AS repos, count(*) AS uses FROM f WHERE length(trim(doc)) > 20 GROUP BY trim(doc)) SELECT md5(doc) AS evidence, repos, uses, length(doc) AS size, CASE WHEN length(doc) > 50 THEN 'investigate' ELSE 'expected' END AS category FROM d WHERE repos > 1",
+    "shared_docstring_evidence": f"WITH {_FUNCS}, d AS (SELECT trim(doc) AS doc, count(DISTINCT repo) AS repos, count(*) AS uses FROM f WHERE length(trim(doc)) > 20 GROUP BY trim(doc)) SELECT md5(doc) AS evidence, repos, uses, CAST(length(doc) AS BIGINT) AS size, CASE WHEN length(doc) > 50 THEN 'investigate' ELSE 'expected' END AS category FROM d WHERE repos > 1",
     # Complexity bands.
-    "complexity_by_repo": f"WITH {_FUNCS} SELECT repo, count(*) AS functions, sum(complexity) AS total, max(complexity) AS most, sum(CASE WHEN complexity >= 10 THEN 1 ELSE 0 END) AS complex, round(avg(complexity), 6) AS mean FROM f GROUP BY repo",
+    "complexity_by_repo": f"WITH {_FUNCS} SELECT repo, count(*) AS functions, CAST(sum(complexity) AS BIGINT) AS total, max(complexity) AS most, count(CASE WHEN complexity >= 10 THEN 1 END) AS complex, round(avg(complexity), 6) AS mean FROM f GROUP BY repo",
     # Min-max normalisation to [87, 99] and rank; balances of 1 or less stay out of the range and get 0.
-    "minmax_normalize_rank": "WITH r AS (SELECT c_custkey, c_name, c_acctbal, min(CASE WHEN c_acctbal > 1 THEN c_acctbal END) OVER () AS lo, max(CASE WHEN c_acctbal > 1 THEN c_acctbal END) OVER () AS hi FROM customer), n AS (SELECT c_custkey, c_name, CASE WHEN c_acctbal <= 1 THEN 0.0 WHEN hi = lo THEN 99.0 ELSE round(87 + 12 * (c_acctbal - lo) / (hi - lo), 2) END AS normalized FROM r) SELECT c_custkey, c_name, normalized, row_number() OVER (ORDER BY normalized DESC, c_name, c_custkey) AS position FROM n",
+    "minmax_normalize_rank": "WITH r AS (SELECT c_custkey, c_name, c_acctbal, min(CASE WHEN c_acctbal > 1 THEN c_acctbal END) OVER () AS lo, max(CASE WHEN c_acctbal > 1 THEN c_acctbal END) OVER () AS hi FROM customer), n AS (SELECT c_custkey, c_name, CASE WHEN c_acctbal <= 1 THEN 0.0 WHEN hi = lo THEN 99.0 ELSE round(87 + 12 * (c_acctbal - lo) / (hi - lo), 2) END AS normalized FROM r) SELECT c_custkey, c_name, normalized, CAST(row_number() OVER (ORDER BY normalized DESC, c_name, c_custkey) AS BIGINT) AS position FROM n",
     # Fixed bands.
     "score_band_histogram": "SELECT CASE WHEN s >= 9.5 THEN '9.5' WHEN s >= 8.5 THEN '8.5' WHEN s >= 7.5 THEN '7.5' WHEN s >= 6.5 THEN '6.5' WHEN s >= 5.5 THEN '5.5' ELSE 'below' END AS band, count(*) AS orders FROM (SELECT least(10, o_totalprice / 20000) AS s FROM orders) q GROUP BY 1",
     # Twenty equal bins, the last one closed.
@@ -86,7 +86,7 @@ SHARED: dict[str, str] = {
     # Cleaned submissions, the latest of each address wins.
     "latest_submissions": "WITH s AS (SELECT DISTINCT submission_id, submitted_at, nullif(lower(trim(email)), '') AS email, nullif(trim(student_name), '') AS name, coalesce(nullif(trim(repo_url), ''), nullif(trim(repo), '')) AS url FROM submission), r AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY submitted_at DESC NULLS LAST, submission_id DESC) AS nth FROM s WHERE email IS NOT NULL AND url IS NOT NULL) SELECT submission_id, email, name, url FROM r WHERE nth = 1",
     # Suppliers by nation with severity order.
-    "nation_score_ranking": "SELECT n_name AS nation, r_name AS region, count(*) AS suppliers, round(avg(s_acctbal), 6) AS mean_score, row_number() OVER (PARTITION BY r_name ORDER BY avg(s_acctbal) DESC, n_name) AS position FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name",
+    "nation_score_ranking": "SELECT n_name AS nation, r_name AS region, count(*) AS suppliers, round(avg(s_acctbal), 6) AS mean_score, CAST(row_number() OVER (PARTITION BY r_name ORDER BY avg(s_acctbal) DESC, n_name) AS BIGINT) AS position FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name",
 }
 
 #: (Spark text, DuckDB text) where the dialects differ.
@@ -108,8 +108,8 @@ DIALECTS: dict[str, tuple[str, str]] = {
     ),
     # Use of frameworks in counts and percent.
     "framework_usage": (
-        "WITH x AS (SELECT DISTINCT repo, explode(frameworks) AS framework FROM repo_analysis), t AS (SELECT count(DISTINCT repo) AS n FROM repo_analysis) SELECT framework, count(*) AS repos, round(count(*) * 100.0 / max(n), 4) AS percent FROM x CROSS JOIN t GROUP BY framework",
-        "WITH x AS (SELECT DISTINCT repo, unnest(frameworks) AS framework FROM repo_analysis), t AS (SELECT count(DISTINCT repo) AS n FROM repo_analysis) SELECT framework, count(*) AS repos, round(count(*) * 100.0 / max(n), 4) AS percent FROM x CROSS JOIN t GROUP BY framework",
+        "WITH x AS (SELECT DISTINCT repo, explode(frameworks) AS framework FROM repo_analysis), t AS (SELECT count(DISTINCT repo) AS n FROM repo_analysis) SELECT framework, count(*) AS repos, round(CAST(count(*) AS DOUBLE) * 100 / max(n), 4) AS percent FROM x CROSS JOIN t GROUP BY framework",
+        "WITH x AS (SELECT DISTINCT repo, unnest(frameworks) AS framework FROM repo_analysis), t AS (SELECT count(DISTINCT repo) AS n FROM repo_analysis) SELECT framework, count(*) AS repos, round(CAST(count(*) AS DOUBLE) * 100 / max(n), 4) AS percent FROM x CROSS JOIN t GROUP BY framework",
     ),
     # Repositories listed by their set of frameworks.
     "groups_by_profile": (
