@@ -182,6 +182,7 @@ def delimit_functions(tokens: DataFrame) -> DataFrame:
     t = tokens.withColumn("depth", F.sum("delta").over(order.rowsBetween(W.unboundedPreceding, 0)))
     t = t.withColumn("docstring", F.when(F.lead("kind").over(order) == "D", F.lead("text").over(order)))
     t = t.withColumn("doc2", F.when((F.lead("kind").over(order) == "+") & (F.lead("kind", 2).over(order) == "D"), F.lead("text", 2).over(order)))
+    t = t.withColumn("opens", F.coalesce(F.lead("kind").over(order) == "+", F.lit(False)))
     # A function's body ends with the first return to its depth.
     level = W.partitionBy("file_id", "depth").orderBy("pos", "kind")
     t = t.withColumn("until", F.min(F.when(F.col("kind") == "-", F.col("line"))).over(level.rowsBetween(1, W.unboundedFollowing)))
@@ -190,7 +191,7 @@ def delimit_functions(tokens: DataFrame) -> DataFrame:
     new = F.coalesce((F.col("line") > F.lag("end_line").over(order) + 1) | (F.lag("kind").over(order) == "F") | (F.lag("indent").over(order) != F.col("indent")), F.lit(True))
     t = t.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     notes = F.array_sort(F.collect_list(F.when(F.col("kind") == "C", F.struct("pos", "text"))))
-    head = F.max(F.when(F.col("kind") == "F", F.struct("line", "name", F.coalesce("until", F.col("line")).alias("end_line"), F.coalesce("docstring", "doc2").alias("docstring"))))
+    head = F.max(F.when(F.col("kind") == "F", F.struct("line", "name", F.when(F.col("opens"), F.coalesce("until", F.col("line"))).otherwise(F.col("line")).alias("end_line"), F.coalesce("docstring", "doc2").alias("docstring"))))
     t = t.groupBy("file_id", "island").agg(head.alias("f"), F.array_join(notes["text"], "\n").alias("comment")).where("f is not null")
     return t.select("file_id", "f.name", "f.line", "f.end_line", "f.docstring", F.nullif("comment", F.lit("")).alias("comment"))
 

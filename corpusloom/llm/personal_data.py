@@ -124,6 +124,7 @@ def gazetteer_of(documents: DataFrame, text: str, most: int = GAZETTEER_WORDS, o
 
     texts = documents.select(F.col(text).alias("text")).where("text is not null")
     places = texts.mapInPandas(count, "word string, low bigint, cap bigint, held bigint").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("low", "cap", "held")))
+    places = cut(places.where("cap > 0"))
     names = places.where((F.col("held") > 0) & (F.col("held") >= NAME_SHARE * F.col("cap")) & (F.col("low") <= 0.1 * F.col("cap")))
     rest = places.where((F.col("cap") >= UNKNOWN_TIMES) | (F.col("low") > 0)).where((F.col("held") < NAME_SHARE * F.col("cap")) | (F.col("low") > 0.1 * F.col("cap"))).where("cap > 0")
     known = {r["word"] for r in names.orderBy(F.desc("held"), "word").limit(most).select("word").collect()}
