@@ -12,9 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.setsim import jaccard_join
+from corpusloom.runtime import cut
+
 #: A function or class becomes a block from this many lines on; fixed values of the job.
 LEAST_LINES = 5
 NEAR, STRUCTURAL = 0.85, 0.70
+LINES_SHARED = 0.4
 
 
 def normalized_code(code: str | Column) -> Column:
@@ -94,27 +98,44 @@ def extract_blocks(files: DataFrame, file_id: str, path: str, content: str) -> D
     return rows.mapInPandas(extract, "file_id bigint, block_type string, name string, code string, start_line int, end_line int, complexity int, calls string, shape string")
 
 
+def _ratio(x: str, y: str) -> float:
+    """The sequence matcher's ratio, or 0 where its upper bounds already stay below the least that counts."""
+    matcher = difflib.SequenceMatcher(None, x, y)
+    if matcher.real_quick_ratio() < STRUCTURAL or matcher.quick_ratio() < STRUCTURAL:
+        return 0.0
+    return matcher.ratio()
+
+
 def near_copies(blocks: DataFrame, block_id: str, repo: str, code: str) -> DataFrame:
     """``(id_a, id_b, similarity, match_type)``: blocks of different repositories that are alike but not equal.
 
-    Candidates share three consecutive normalised lines (the rarest such run of a block's windows is not needed: runs
-    held by one repository drop out first); the ratio is the sequence matcher's, from the smaller to the larger id.
+    Candidates have a Jaccard similarity of their normalised lines of ``LINES_SHARED`` or more and differ by at most a third of their lines (five at least).
+    The ratio is the sequence matcher's, from the smaller to the larger id of the equal texts' first blocks.
     """
     norm = blocks.select(F.col(block_id).alias("id"), F.col(repo).alias("repo"), normalized_code(code).alias("n")).where("id is not null and n is not null").dropDuplicates(["id"])
-    lines = norm.withColumn("l", F.split("n", "\n")).where(F.size("l") >= 3)
-    runs = lines.select("id", "repo", F.explode(F.sequence(F.lit(1), F.size("l") - 2)).alias("i"), "l").select("id", "repo", F.xxhash64(F.slice("l", F.col("i"), 3)).alias("h")).distinct()
-    shared = runs.join(runs.groupBy("h").agg(F.min("repo").alias("r1"), F.max("repo").alias("r2")).where("r1 <> r2").select("h"), "h")
-    a, b = shared.toDF("h", "id_a", "repo_a"), shared.toDF("h", "id_b", "repo_b")
-    pairs = a.join(b, "h").where("id_a < id_b and repo_a <> repo_b").select("id_a", "id_b").distinct()
-    texts = norm.select("id", "n")
+    # Equal texts of a repository are one candidate; their other members join the result at the end.
+    own = norm.groupBy("repo", "n").agg(F.min("id").alias("c"))
+    members = cut(norm.join(own, ["repo", "n"]).select("id", "c"))
+    classes = cut(own.withColumn("l", F.split("n", "\n")).where(F.size("l") >= 3).select(F.col("c").alias("id"), "repo", "n", F.size("l").alias("lines")))
+    # Candidates by an exact set join on lines: prefix filtering lets only rare lines meet.
+    lines = classes.select("id", F.explode(F.split("n", "\n")).alias("line"))
+    near = cut(jaccard_join(lines, "id", "line", LINES_SHARED).select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))
+    facts = classes.select("id", "repo", "lines")
+    pairs = near.join(facts.toDF("id_a", "repo_a", "lines_a"), "id_a").join(facts.toDF("id_b", "repo_b", "lines_b"), "id_b")
+    # The cheap rule on the number of lines comes before any text is looked at.
+    close = F.abs(F.col("lines_a") - F.col("lines_b")) <= F.greatest(F.lit(5.0), 0.3 * F.col("lines_a"))
+    pairs = pairs.where("repo_a <> repo_b").where(close).select("id_a", "id_b")
+    texts = classes.select("id", "n")
     both = pairs.join(texts.toDF("id_a", "ta"), "id_a").join(texts.toDF("id_b", "tb"), "id_b").where("ta <> tb")
 
     def ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(pdf["ta"], pdf["tb"], strict=True)]
+            got = [_ratio(x, y) for x, y in zip(pdf["ta"], pdf["tb"], strict=True)]
             yield pd.DataFrame({"id_a": pdf["id_a"], "id_b": pdf["id_b"], "similarity": got})
 
     scored = both.mapInPandas(ratio, f"id_a {dict(norm.dtypes)['id']}, id_b {dict(norm.dtypes)['id']}, similarity double").where(F.col("similarity") >= STRUCTURAL)
+    x, y = members.toDF("ia", "id_a"), members.toDF("ib", "id_b")
+    scored = scored.join(x, "id_a").join(y, "id_b").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity")
     return scored.withColumn("match_type", F.when(F.col("similarity") >= NEAR, "near_exact").otherwise("structural")).withColumn("similarity", F.round("similarity", 6))
 
 
