@@ -4,9 +4,10 @@ Every file becomes two sets of five-token shingles: one over its tokens, one ove
 numbers and strings masked. MinHash signatures of both are banded; files that share a band are linked after their
 signatures have been verified, and links are joined into clusters. Clusters are read as follows:
 
-* masked alike, tokens not: one tool wrote a family of files (within a repository and across);
+* masked alike, tokens not: one tool wrote a family of files, if members bear a tool's or data's mark, or if a family
+  stands in one directory of a repository (three differing members, or two beside a mark);
 * tokens alike across repositories: copies of a third party's file (vendoring), small patches included;
-* nothing but masked literals: data stored as code.
+* nothing but masked literals: data stored as code, shown by a file's size or by three differing members of a family.
 
 A family may also lie within one file, as the same masked unit over and over; the share of distinct masked shingles
 tells. Headers (generator banners, foreign licence notices) and the shape of lines (minified text) complete the evidence. Mentions of generators inside code, and banners that say the
@@ -34,6 +35,8 @@ SIMILAR = 0.8
 ROWS, BANDS = 5, 24
 #: Fewer tokens say too little to tell a family or a copy.
 LEAST_TOKENS = 30
+#: So many differing members of one directory, or of literals only, are a family by themselves; fewer may be coincidence.
+FAMILY = 3
 #: Largest share of distinct masked shingles in a file that repeats one unit.
 REPEATED = 0.35
 
@@ -128,6 +131,13 @@ def _defines(masked: np.ndarray) -> bool:
     return bool(((masked >= DEFINES_FROM) & (masked < DEFINES_END)).any())
 
 
+def _literal_only(masked: np.ndarray) -> bool:
+    """Whether a file is literals, the signs of lists and hardly a name."""
+    code = masked[masked != COMMENT]
+    literals, names = int(((code == NUMBER) | (code == STRING)).sum()), int((code == NAME).sum())
+    return literals > 0 and names <= 3 + 0.1 * literals and not _defines(code)
+
+
 def _repeats_a_unit(masked: np.ndarray, hashes: np.ndarray) -> bool:
     """Whether a file is one masked unit over and over; stretches of a mere list of literals don't count."""
     plain = np.concatenate(([0], np.cumsum((masked < LISTED_END) & (masked != NAME) & (masked != COMMENT))))
@@ -160,9 +170,8 @@ def evidence(path: str, text: str, tokens: list[str], masked: np.ndarray, hashes
             return "data" if program and literal >= 20 and not _defines(masked) else "minified"
     if not program:
         return None
-    code = masked[masked != COMMENT]
-    literals, names = int(((code == NUMBER) | (code == STRING)).sum()), int((code == NAME).sum())
-    if literals and names <= 3 + 0.1 * literals and not _defines(code):
+    if _literal_only(masked):
+        literals = int(((masked == NUMBER) | (masked == STRING)).sum())
         kinds = masked.tolist()
         size = sum(len(t) for t, m in zip(tokens, kinds, strict=True) if m in (NUMBER, STRING))
         told = sum(len(t) for t, m in zip(tokens, kinds, strict=True) if m == NAME)
@@ -175,7 +184,7 @@ def evidence(path: str, text: str, tokens: list[str], masked: np.ndarray, hashes
     return None
 
 
-_SHAPE = "file_id bigint, repo string, shown string, raw binary, masked binary"
+_SHAPE = "file_id bigint, repo string, place string, listed boolean, shown string, raw binary, masked binary"
 
 
 def file_marks(files: DataFrame, file_id: str, repo: str, path: str, content: str) -> DataFrame:
@@ -202,8 +211,8 @@ def file_marks(files: DataFrame, file_id: str, repo: str, path: str, content: st
                     if len(own):
                         raw, masked_set = signature(own).tobytes(), signature(np.unique(hashes)).tobytes()
                 if shown or raw:
-                    out.append((i, r, shown, raw, masked_set))
-            yield pd.DataFrame(out, columns=["file_id", "repo", "shown", "raw", "masked"])
+                    out.append((i, r, low[: low.rfind("/") + 1] + low[low.rfind(".") :], bool(raw) and _literal_only(masked), shown, raw, masked_set))
+            yield pd.DataFrame(out, columns=["file_id", "repo", "place", "listed", "shown", "raw", "masked"])
 
     return usable.mapInPandas(mark, _SHAPE)
 
@@ -252,16 +261,24 @@ def unwritten_files(files: DataFrame, file_id: str, repo: str, path: str, conten
     shown = marks.where("shown is not null").select("file_id", F.col("shown").alias("reason"))
 
     raw = _clusters(marks, "raw")
-    named = marks.where("raw is not null").select("file_id", "repo", "raw", "masked", "shown")
+    named = marks.where("raw is not null").select("file_id", "repo", "place", "listed", "raw", "masked", "shown")
     alike = named.join(raw.select(F.col("sig").alias("raw"), F.col("cluster").alias("c")), "raw").drop("raw")
     # Copies across repositories, equal signatures included.
     spread = alike.groupBy("c").agg(F.min("repo").alias("r1"), F.max("repo").alias("r2"), F.max(F.when(F.col("shown") == "vendored", 1).otherwise(0)).alias("noted"))
     vendored = alike.join(spread.where("r1 <> r2 or noted = 1").select("c"), "c").select("file_id", F.lit("vendored").alias("reason"))
 
-    # Families: masked alike, but several different token clusters; two members must show a tool's or data's mark.
+    # Families: masked alike, but several different token clusters. Two members that are at least half show a tool's or
+    # data's mark; or the members in one directory differ among themselves; or all are literals only.
     family = _clusters(marks, "masked")
     kin = alike.join(family.select(F.col("sig").alias("masked"), F.col("cluster").alias("f")), "masked").drop("masked")
-    size = kin.groupBy("f").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n"), F.max(F.when(F.col("shown").isin("tool", "data"), F.col("shown"))).alias("mark"), F.count_if(F.col("shown").isin("tool", "data")).alias("marked"))
+    marked = F.col("shown").isin("tool", "data")
+    size = kin.groupBy("f").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n"), F.max(F.when(marked, F.col("shown"))).alias("mark"), F.count_if(marked).alias("marked"))
     families = kin.join(size.where("c1 <> c2 and marked >= 2 and marked * 2 >= n").select("f", "mark"), "f").select("file_id", F.col("mark").alias("reason"))
-    every = shown.unionAll(vendored).unionAll(families)
+    apart = kin.where("shown is null or shown in ('tool', 'data')")
+    local = apart.groupBy("f", "repo", "place").agg(F.count_distinct("c").alias("differ"), F.max(F.when(marked, F.col("shown"))).alias("mark"), F.every("listed").alias("listed"))
+    own = local.where((F.col("differ") >= FAMILY) | (F.col("differ") >= 2) & F.col("mark").isNotNull()).withColumn("reason", F.coalesce("mark", F.when(F.col("listed"), "data").otherwise("tool")))
+    within = apart.join(own.select("f", F.col("repo").alias("r"), F.col("place").alias("p"), "reason"), "f").where("repo <=> r and place = p").select("file_id", "reason")
+    lists = apart.where("listed").groupBy("f").agg(F.count_distinct("c").alias("differ")).where(F.col("differ") >= FAMILY).select("f")
+    listed = apart.where("listed").join(lists, "f").select("file_id", F.lit("data").alias("reason"))
+    every = shown.unionAll(vendored).unionAll(families).unionAll(within).unionAll(listed)
     return every.groupBy("file_id").agg(F.min("reason").alias("reason"))
