@@ -1,8 +1,8 @@
 """Generated, minified, vendored and data-only source files.
 
 Every file becomes two sets of five-token shingles: one over its tokens, one over the same tokens with identifiers,
-numbers and strings masked. MinHash signatures of both are banded; files that share a band are linked after their
-signatures have been verified, and links are joined into clusters. Clusters are read as follows:
+numbers and strings masked. MinHash signatures of both are banded; any two files that share a band are linked if their
+shingles' exact Jaccard similarity is SIMILAR, and links are joined into clusters. Clusters are read as follows:
 
 * masked alike, tokens not: one tool wrote a family of files, if members bear a tool's or data's mark, or if a family
   stands in one directory of a repository (three differing members, or two beside a mark);
@@ -33,6 +33,10 @@ SHINGLE = 5
 SIMILAR = 0.8
 #: Values of a signature; BANDS bands of ROWS values: a pair at 0.8 shares a band with probability 0.9999.
 ROWS, BANDS = 5, 24
+#: Pairs whose signatures agree in a smaller share are not looked at; a pair at 0.8 falls below with probability 2e-5.
+AGREE = 0.64
+#: Counts of a file's shingles by hash, which bound from above how many two files share.
+COUNTS = 64
 #: Fewer tokens say too little to tell a family or a copy.
 LEAST_TOKENS = 30
 #: So many differing members of one directory, or of literals only, are a family by themselves; fewer may be coincidence.
@@ -110,6 +114,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(least) >> np.uint64(48)).astype(np.uint16)
 
 
+def shingle_set(hashes: np.ndarray) -> bytes:
+    """The distinct shingles, by 32 bits of their hashes."""
+    return np.unique((mix(hashes.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
+def similar(common, sizes):  # noqa: ANN001, ANN201
+    """Whether sets that share ``common`` members and have ``sizes`` together reach a Jaccard similarity of SIMILAR."""
+    return common * (1 + SIMILAR) >= SIMILAR * sizes - 1e-9
+
+
 def _comments(text: str, lines: int = 8) -> str:
     """The comment lines at the head of a file."""
     kept, inside = [], False
@@ -184,7 +198,7 @@ def evidence(path: str, text: str, tokens: list[str], masked: np.ndarray, hashes
     return None
 
 
-_SHAPE = "file_id bigint, repo string, place string, listed boolean, shown string, raw binary, masked binary"
+_SHAPE = "file_id bigint, repo string, place string, listed boolean, shown string, raw binary, masked binary, raw_set binary, masked_set binary"
 
 
 def file_marks(files: DataFrame, file_id: str, repo: str, path: str, content: str) -> DataFrame:
@@ -205,46 +219,82 @@ def file_marks(files: DataFrame, file_id: str, repo: str, path: str, content: st
                 masked = table.kinds[rows]
                 hashes = window_hashes(masked, SHINGLE)
                 shown = evidence(p, t, tokens, masked, hashes)
-                raw = masked_set = None
+                raw = alike = raw_set = masked_set = None
                 if len(tokens) >= LEAST_TOKENS and low.endswith((".py", ".js")) and t.lstrip()[:1] != "<":
                     own = np.unique(window_hashes(table.hashes[rows[masked != COMMENT]], SHINGLE))
                     if len(own):
-                        raw, masked_set = signature(own).tobytes(), signature(np.unique(hashes)).tobytes()
+                        every = np.unique(hashes)
+                        raw, alike, raw_set, masked_set = signature(own).tobytes(), signature(every).tobytes(), shingle_set(own), shingle_set(every)
                 if shown or raw:
-                    out.append((i, r, low[: low.rfind("/") + 1] + low[low.rfind(".") :], bool(raw) and _literal_only(masked), shown, raw, masked_set))
-            yield pd.DataFrame(out, columns=["file_id", "repo", "place", "listed", "shown", "raw", "masked"])
+                    out.append((i, r, low[: low.rfind("/") + 1] + low[low.rfind(".") :], bool(raw) and _literal_only(masked), shown, raw, alike, raw_set, masked_set))
+            yield pd.DataFrame(out, columns=["file_id", "repo", "place", "listed", "shown", "raw", "masked", "raw_set", "masked_set"])
 
     return usable.mapInPandas(mark, _SHAPE)
 
 
+def shared_band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(a, b)``: pairs of a band that may be similar. The rows of a band come together, by size; every row meets all
+    earlier ones until their size alone forbids SIMILAR, across batches too. Only such rows of one band are held."""
+    band, cls, size = (np.empty(0, np.int64) for _ in range(3))
+    brief = np.empty((0, ROWS * BANDS + COUNTS), np.uint8)
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        new = [pdf[c].to_numpy(np.int64) for c in ("band", "cls", "size")]
+        told = np.stack([np.frombuffer(x, dtype=np.uint8) for x in pdf["brief"]])
+        keep = (band == new[0][0]) & (size >= SIMILAR * new[2][0])
+        old = int(keep.sum())
+        band, cls, size = (np.concatenate((x[keep], y)) for x, y in zip((band, cls, size), new, strict=True))
+        brief = np.concatenate((brief[keep], told))
+        near, d = np.arange(old, len(band)), 0
+        while True:
+            d += 1
+            near = near[near >= d]
+            near = near[(band[near - d] == band[near]) & (size[near - d] >= SIMILAR * size[near])]
+            if not len(near):
+                break
+            x = near[np.count_nonzero(brief[near, :-COUNTS] == brief[near - d, :-COUNTS], axis=1) >= AGREE * ROWS * BANDS]
+            most = np.minimum(brief[x, -COUNTS:], brief[x - d, -COUNTS:])
+            most = np.where((most == 255).any(1), size[x - d], most.sum(1, dtype=np.int64))
+            x = x[similar(most, size[x] + size[x - d])]
+            if len(x):
+                yield pd.DataFrame({"a": np.minimum(cls[x], cls[x - d]), "b": np.maximum(cls[x], cls[x - d])})
+
+
 def _clusters(marks: DataFrame, column: str) -> DataFrame:
-    """``(sig, cluster)``: equal signatures are one class, named by its smallest file; classes that share a band and
-    agree in 0.8 of the values are linked. The classes of a band are compared with its smallest and its largest class,
-    never with each other, so no bucket is expanded into pairs; a link is lost only if in all of its shared bands
-    neither of the two resembles it."""
+    """``(sig, cluster)``: equal signatures are one class, named by its smallest file; any two classes that share a band
+    are linked if the exact Jaccard similarity of their shingle sets is SIMILAR."""
     sigs = cut(marks.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("sig")).agg(F.min("file_id").alias("cls")))
+    sets = marks.where(F.col(column).isNotNull()).select(F.col("file_id").alias("cls"), F.col(f"{column}_set").alias("set"))
 
-    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                m = np.stack([np.frombuffer(x, dtype=np.uint16) for x in pdf["sig"]]).reshape(len(pdf), BANDS, ROWS).astype(np.uint64)
+                m = np.stack([np.frombuffer(x, dtype=np.uint16) for x in pdf["sig"]])
+                low, m = m.astype(np.uint8), m.reshape(len(pdf), BANDS, ROWS).astype(np.uint64)
                 h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[None], m.shape[:2])
                 with np.errstate(over="ignore"):
                     for r in range(ROWS):
                         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r] + np.uint64(1))
-                yield pd.DataFrame({"band": h.ravel().view(np.int64), "cls": np.repeat(pdf["cls"].to_numpy(), BANDS)})
+                shingles = [np.frombuffer(x, dtype=np.uint32) for x in pdf["set"]]
+                counts = [np.minimum(np.bincount(x % COUNTS, minlength=COUNTS), 255).astype(np.uint8) for x in shingles]
+                yield pd.DataFrame({"cls": pdf["cls"], "bands": list(h.view(np.int64)), "brief": [np.concatenate(x).tobytes() for x in zip(low, counts, strict=True)], "size": [len(x) for x in shingles]})
 
-    banded = sigs.mapInPandas(bands, "band bigint, cls bigint")
-    shared = banded.groupBy("band").agg(F.min("cls").alias("hub"), F.max("cls").alias("far")).where("hub <> far")
-    linked = banded.join(shared, "band")
-    pairs = linked.select(F.col("cls").alias("a"), F.explode(F.array("hub", "far")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = pairs.join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b")
+    told = cut(sigs.join(sets, "cls").mapInPandas(tell, "cls bigint, bands array<bigint>, brief binary, size int"))
+    banded = told.select("cls", F.explode("bands").alias("band"))
+    common = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    met = banded.join(common, "band").join(told.select("cls", "brief", "size"), "cls")
+    pairs = met.repartition("band").sortWithinPartitions("band", "size", "cls").mapInPandas(shared_band, "a bigint, b bigint").distinct()
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                a, b = (np.stack([np.frombuffer(x, dtype=np.uint16) for x in pdf[c]]) for c in ("sa", "sb"))
-                yield pdf[["a", "b"]][(a == b).mean(1) >= SIMILAR - 0.04]
+            good = []
+            for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
+                every = np.sort(np.concatenate((x, y)))
+                good.append(bool(similar(np.count_nonzero(every[1:] == every[:-1]), len(every))))
+            yield pdf[["a", "b"]][good]
 
     good = both.mapInPandas(verified, "a bigint, b bigint")
     joined = connected_components(good, "a", "b", "cls", "cluster")

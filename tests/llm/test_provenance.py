@@ -1,6 +1,9 @@
 import random
 
-from corpusloom.llm.provenance import unwritten_files
+import numpy as np
+import pandas as pd
+
+from corpusloom.llm.provenance import BANDS, COUNTS, ROWS, SIMILAR, _clusters, shared_band, shingle_set, signature, unwritten_files
 
 SHAPE = "file_id long, repo string, path string, content string"
 FORMS = ["{0} = {1}({2}, {3})", "if {0} > {3}:\n        {1} = {2}", "for {0} in {1}:\n        {2}.append({0})", "{0} = [{1} for {1} in {2} if {1}]", "assert {0}, '{1}'", "with open({0}) as {1}:\n        {2} = {1}.read()", "{0} = {{'{1}': {2}}}", "try:\n        {0} = int({1})\n    except ValueError:\n        {2} = None", "{0}.{1} += {3}", "while {0}:\n        {0} = {1} - {3}", "return {0} or {1}", "del {0}[{3}]"]
@@ -25,3 +28,37 @@ def test_families_within_a_repository(spark):
     rows += [(30, "r4", "lib/a.py", form(4)), (31, "r4", "lib/b.py", form(4))]  # two: coincidence
     rows += [(40 + i, f"q{i}", "t.py", "T = [" + ", ".join(str(names.randrange(9)) for _ in range(20)) + "]\n") for i in range(3)]
     assert _reasons(spark, rows) == {**{i: "tool" for i in range(4)}, 10: "tool", 11: "tool", **{40 + i: "data" for i in range(3)}}
+
+
+def _sets(rng):
+    """Groups of sets around one core: alike within a group, all of them in shared bands."""
+    core = rng.integers(0, 2**62, 400, dtype=np.uint64)
+    sets = []
+    for g in range(12):
+        own = rng.integers(0, 2**62, 150, dtype=np.uint64)
+        for k in range(3):
+            sets.append(np.unique(np.concatenate((core, own, rng.integers(0, 2**62, 5 + 10 * k, dtype=np.uint64)))))
+    order = rng.permutation(len(sets))
+    return [sets[i] for i in order], [int(i) // 3 for i in order]
+
+
+def test_every_pair_of_a_band_is_compared_exactly(spark):
+    sets, groups = _sets(np.random.default_rng(4))
+    rows = [(i, bytearray(signature(s).tobytes()), bytearray(shingle_set(s))) for i, s in enumerate(sets)]
+    marks = spark.createDataFrame(rows, "file_id long, raw binary, raw_set binary")
+    cluster = {r["sig"]: r["cluster"] for r in _clusters(marks, "raw").collect()}
+    got = [cluster[bytes(r[1])] for r in rows]
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert all(jaccard(sets[i], sets[j]) < SIMILAR for i in range(36) for j in range(36) if groups[i] != groups[j])
+    assert all((got[i] == got[j]) == (groups[i] == groups[j]) for i in range(36) for j in range(36))
+
+
+def test_bands_go_on_over_batches():
+    rng = np.random.default_rng(1)
+    sizes = np.sort(rng.integers(50, 99, 60))
+    same = bytes(ROWS * BANDS) + bytes([9] * COUNTS)
+    rows = pd.DataFrame({"band": [7] * 30 + [8] * 30, "cls": rng.permutation(60), "size": np.concatenate((sizes[::2], sizes[1::2])), "brief": [same] * 60})
+    want = {(min(a.cls, b.cls), max(a.cls, b.cls)) for a in rows.itertuples() for b in rows.itertuples() if a.cls != b.cls and a.band == b.band and min(a.size, b.size) >= SIMILAR * max(a.size, b.size)}
+    for step in (1, 7, 60):
+        got = pd.concat(list(shared_band(rows[i : i + step] for i in range(0, 60, step))))
+        assert sorted(map(tuple, got.values.tolist())) == sorted(want)
