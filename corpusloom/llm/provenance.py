@@ -52,6 +52,10 @@ _TOKEN = re.compile(r"[^\W\d][\w$]*|\d[\w.]*|\"\"\"(?:[^\"]|\"(?!\"\"))*\"\"\"|'
 _BANNER = re.compile(r"\bgenerated\b|auto-?generated|@generated|machine[- ]generated|do not (?:edit|modify|touch)|\bproduced (?:from|by)\b.*\bby\b|erzeugt|generiert|généré|generado|autogenerad|nicht (?:bearbeiten|ändern)|code generator|changes will be (?:lost|overwritten)", re.I)
 _BY_HAND = re.compile(r"used to be|no longer|by hand|hand-?(?:written|maintained|made)|maintained|without (?:telling|asking)|was (?:once|formerly)|not generated|von hand|formerly", re.I)
 _NOTICE = re.compile(r"\(c\)|©|copyright|licen[cs]ed? |licen[cs]e\b|spdx-", re.I)
+# Below a file's head a line must say more than that something is generated, or that licences exist.
+_BANNER_BELOW = re.compile(r"@generated|auto-?generated|machine[- ]generated|\bgenerated (?:by|from|with|using|automatically|file|code)\b|\bproduced (?:from|by)\b.*\bby\b|(?:datei|fichier|archivo).*(?:erzeugt|generiert|généré|generado|autogenerad)|changes will be (?:lost|overwritten)", re.I)
+_SHOUTED = re.compile(r"DO NOT (?:EDIT|MODIFY|TOUCH)")
+_NOTICE_BELOW = re.compile(r"(?:\(c\)|©|copyright(?: \(c\)| ©)? \d{4})|spdx-license", re.I)
 _LOCK = re.compile(r"(?:^|/)(?:[\w-]+[.-])?(?:package-lock|lock|shrinkwrap|npm-shrinkwrap)\.(?:json|toml|yaml)$", re.I)
 _MIGRATION = re.compile(r"(?:^|/)migrations/\d{3,}_\w+\.py$")
 
@@ -124,23 +128,27 @@ def similar(common, sizes):  # noqa: ANN001, ANN201
     return common * (1 + SIMILAR) >= SIMILAR * sizes - 1e-9
 
 
-def _comments(text: str, lines: int = 8) -> str:
+def _comments(text: str) -> str:
     """The comment lines at the head of a file."""
     kept, inside = [], False
-    for line in text.split("\n", lines * 3)[: lines * 3]:
+    for line in map(re.Match.group, re.finditer(r"[^\n]+", text)):
         s = line.strip()
         if not s and not inside:
             continue
         if inside or s.startswith(("#", "//", "/*", "<!--", "*", ";", "--")):
             kept.append(s)
             inside = (inside or s.startswith("/*")) and "*/" not in s
-            if len(kept) >= lines:
-                break
         else:
             break
     return "\n".join(kept)
 
 
+def _comments_below(text: str, tokens: list[str], masked: np.ndarray) -> list[str]:
+    """The lines of all comments that begin at the left margin."""
+    margin = [tokens[i] for i in np.flatnonzero(masked == COMMENT).tolist()]
+    return [line for c in margin if text.startswith(c) or f"\n{c}" in text for line in c.split("\n")]
+
+
 def _defines(masked: np.ndarray) -> bool:
     return bool(((masked >= DEFINES_FROM) & (masked < DEFINES_END)).any())
 
@@ -170,9 +178,12 @@ def evidence(path: str, text: str, tokens: list[str], masked: np.ndarray, hashes
         return "tool"
     head = _comments(text)
     if head:
-        banner = [line for line in head.split("\n") if _BANNER.search(line)]
+        banner = [line for n, line in enumerate(head.split("\n")) if (_BANNER.search(line) if n < 8 else _BANNER_BELOW.search(line) or _SHOUTED.search(line))]
         if banner and not any(_BY_HAND.search(line) for line in banner):
             return "tool"
+    below = _comments_below(text, tokens, masked)
+    if any((_BANNER_BELOW.search(line) or _SHOUTED.search(line)) and not _BY_HAND.search(line) for line in below):
+        return "tool"
     if _MIGRATION.search(path) and ("Migration" in text or "upgrade(" in text):
         return "tool"
     lines = [line for line in stripped.split("\n") if line.strip()]
@@ -195,6 +206,8 @@ def evidence(path: str, text: str, tokens: list[str], masked: np.ndarray, hashes
         return "tool"
     if head and _NOTICE.search(head) and re.search(r"authors|contributors|\(c\)|©|copyright|https?://|spdx", head, re.I):
         return "vendored"
+    if any(_NOTICE_BELOW.search(line) for line in below):
+        return "vendored"
     return None
 
 

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pandas as pd
 
-from corpusloom.llm.provenance import BANDS, COUNTS, ROWS, SIMILAR, _clusters, shared_band, shingle_set, signature, unwritten_files
+from corpusloom.functions.rolling import window_hashes
+from corpusloom.llm.provenance import BANDS, COUNTS, ROWS, SHINGLE, SIMILAR, _TOKEN, Tokens, _clusters, evidence, shared_band, shingle_set, signature, unwritten_files
 
 SHAPE = "file_id long, repo string, path string, content string"
 FORMS = ["{0} = {1}({2}, {3})", "if {0} > {3}:\n        {1} = {2}", "for {0} in {1}:\n        {2}.append({0})", "{0} = [{1} for {1} in {2} if {1}]", "assert {0}, '{1}'", "with open({0}) as {1}:\n        {2} = {1}.read()", "{0} = {{'{1}': {2}}}", "try:\n        {0} = int({1})\n    except ValueError:\n        {2} = None", "{0}.{1} += {3}", "while {0}:\n        {0} = {1} - {3}", "return {0} or {1}", "del {0}[{3}]"]
@@ -62,3 +63,20 @@ def test_bands_go_on_over_batches():
     for step in (1, 7, 60):
         got = pd.concat(list(shared_band(rows[i : i + step] for i in range(0, 60, step))))
         assert sorted(map(tuple, got.values.tolist())) == sorted(want)
+
+
+def _shown(path, text):
+    tokens = _TOKEN.findall(text)
+    table = Tokens()
+    masked = table.kinds[table.rows(tokens)]
+    return evidence(path, text, tokens, masked, window_hashes(masked, SHINGLE))
+
+
+def test_banners_below_the_head():
+    licence, code = "# All rights reserved by us.\n" * 30, "import os\n\ndef f(a):\n    return a\n"
+    for text in (licence + "# Generated by tool. DO NOT EDIT!\n" + code, '"""A module."""\n# @generated\n' + code, code + "# Generated by tool 1.2. DO NOT EDIT!\n"):
+        assert _shown("src/a.py", text) == "tool", text
+    assert _shown("src/a.js", "'use strict';\n/*\n * @generated\n */\nfoo(1);\n") == "tool"
+    assert _shown("src/a.py", "import os\n# Copyright (c) 2019 the foo authors\n" + code) == "vendored"
+    for text in (code + "# generated ids are cached here\n", code + "    # @generated files are skipped\n", code + "# used to be generated by tool, now maintained by hand\n", "x = '\\n# DO NOT EDIT'\n", code + "# do not edit without telling the owners, reviewed by hand\n", code + "# see the licence https://x.example\n"):
+        assert _shown("src/a.py", text) is None, text
