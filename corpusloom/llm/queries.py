@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each scan, how many of its listed files nobody wrote by hand; paths are compared in one style."""
-    style = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\\\", "/"), r"^(?:\./|/)+", ""), r"/{2,}", "/")
+    style = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", "/"), r"^(?:\./|/)+", ""), r"/{2,}", "/")
     scans = read_table(spark, sf_dir, "repo_analysis").select("scan_id", "repo", "files").where("scan_id is not null").dropDuplicates(["scan_id"])
     listed = scans.select("scan_id", "repo", F.explode_outer("files").alias("path")).select("scan_id", "repo", style(F.col("path")).alias("path")).distinct()
     files = read_table(spark, sf_dir, "file_embedding").select("file_id", "repo", style(F.col("path")).alias("path")).dropDuplicates(["file_id"])
