@@ -29,19 +29,30 @@ _GLUED = ("password", "passwd", "passphrase", "secret", "apikey", "accesskey", "
 _BEFORE_KEY = frozenset("api access secret private signing session encryption auth client master service account shared deploy license storage".split())
 _FILLER = frozenset("changeme changeit change password passwort passwd secret token example sample dummy placeholder test testing todo none null undefined your insert replace here redacted hidden masked empty fixme default foo bar baz xxx".split())
 
-_CANDIDATE = re.compile(
-    r"pass(?:w|_|phrase|code|\b)|pwd|(?:\b|_)pw\b|secret|tok(?:en)?s?(?![a-z])|(?:api|access|signing|session|private|auth|encryption|client|master|service|account|shared|secret)[_\- ]?key|bearer|cred|kennwort|clave|contrase|(?:\b|_)mdp\b|login|authoriz|(?:\b|_)auth(?:\b|_)|authTok|\bdsn\b|://[^\s/'\"]*:[^\s/'\"]*@|PRIVATE KEY",
-    re.I,
-)
+
+
+def _candidate() -> str:
+    """What a line must hold, in lower case, to name a credential: made of the lists that ``names_credential`` uses, with
+    words split at any place, since it joins a name's last two."""
+    apart = r"[^a-z\n]*"
+    names = {apart.join(map(re.escape, w)) for w in (*_LAST, *_GLUED)}
+    keys = "|".join(sorted(_BEFORE_KEY))
+    return rf"(?:{'|'.join(sorted(names))}|(?:{keys}){apart}(?:key|schluessel|schlüssel))(?![a-z])|://[^\s/'\"]*:[^\s/'\"]*@"
+
+
+_CANDIDATE = re.compile(_candidate())
+_CANDIDATE_ANY = re.compile(_candidate(), re.I)  # for the rare text whose lower case has another length
 _Q = "\"'`’‘“”"
-_LITERAL = rf"[rbuRBU]{{0,2}}(?P<q>\"\"\"|'''|[{_Q}])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)"
-_KEYED = re.compile(rf"(?P<key>[A-Za-z_$][\w$\-]*)[{_Q}]?\s*\]?\s*(?::\s*[A-Za-z][\w.\[\], |]*?\s*=(?!=)|=(?![=>])|:(?!:)|=>)\s*\(?\s*{_LITERAL}")
+_LITERAL = rf"[rbuRBU]{{0,2}}(?P<q>\"\"\"|'''|[{_Q}])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*+)(?P=q)"
+# Names are entered at the begin of their run only and never given back, so that a line of any length takes linear time.
+_NAME = r"(?<![\w$\-])(?:(?![A-Za-z_$])[\w$\-])*+(?P<key>[A-Za-z_$][\w$\-]*+)"
+_KEYED = re.compile(rf"{_NAME}[{_Q}]?\s*+(?:\]\s*+)?(?::\s*[A-Za-z][\w.\[\], |]*?\s*=(?!=)|=(?![=>])|:(?!:)|=>)\s*+(?:\(\s*+)?{_LITERAL}")
 _ENV = re.compile(rf"(?:getenv|environ\.get|env\.get|config|env)\(\s*[{_Q}](?P<key>[\w\-]+)[{_Q}]\s*,\s*(?:default\s*=\s*)?{_LITERAL}")
 _JSENV = re.compile(rf"process\.env(?:\.|\[[{_Q}])(?P<key>\w+)(?:[{_Q}]\])?\s*(?:\|\||\?\?)\s*{_LITERAL}")
-_ORELSE = re.compile(rf"(?P<key>[A-Za-z_$][\w$]*)\s*=\s*[^=\n{_Q}]*?(?:\bor\b|\|\||\?\?)\s*{_LITERAL}")
+_ORELSE = re.compile(rf"(?<![\w$])(?:(?![A-Za-z_$])[\w$])*+(?P<key>[A-Za-z_$][\w$]*+)\s*+=\s*+[^=\n{_Q}]*?(?:\bor\b|\|\||\?\?)\s*{_LITERAL}")
 _MORE = re.compile(rf"\s*(?:\+\s*)?[rbuRBU]{{0,2}}(?P<q>[{_Q}])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)")
-_REMARK = re.compile(r"(?:#|//|/\*|^\s*\*|<!--|--)\s*(?P<head>[^:=\n]{0,60}?)\s*(?:[:=]|\bis\b)\s*(?P<v>[^\s\"'`,;]{6,})")
-_URL = re.compile(r"[a-z][a-z0-9+.\-]*://(?P<user>[^\s/@:'\"]*):(?P<v>[^\s/@'\"]+)@[\w\[{$.\-]", re.I)
+_REMARK = re.compile(r"(?:#|//|/\*|^\s*\*|<!--|--)(?=\s*+(?P<head>[^:=\n]{0,60}?)\s*(?:[:=]|\bis\b)\s*(?P<v>[^\s\"'`,;]{6,}))")
+_URL = re.compile(r"(?<![a-z0-9+.\-])(?:(?![a-z])[a-z0-9+.\-])*+[a-z][a-z0-9+.\-]*+://(?P<user>[^\s/@:'\"]*):(?P<v>[^\s/@'\"]+)@(?=[\w\[{$.\-])", re.I)
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<gap>(?:\\n|\\r|\s|[\"'+,#*(/]|\w+-\w+:[^\n]*)*)(?P<body>[A-Za-z0-9+/=]{16,})")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _SCHEME = re.compile(r"^(?:basic|bearer|token|apikey|digest|negotiate|key)\s+", re.I)
@@ -136,17 +147,14 @@ def find_credentials(text: str, segmenter: Segmenter) -> list[tuple[int, int]]:
         nxt = text.find("-----BEGIN", m.end())
         found.append((m.start(), end.end() if end and (nxt < 0 or end.start() < nxt) else m.end()))
     done = -1
-    for hit in _CANDIDATE.finditer(text):
+    low = text.lower()
+    for hit in _CANDIDATE.finditer(low) if len(low) == len(text) else _CANDIDATE_ANY.finditer(text):
         if hit.start() < done:
             continue
         begin = text.rfind("\n", 0, hit.start()) + 1
         done = text.find("\n", hit.start())
         done = len(text) if done < 0 else done
         line = text[begin:done]
-        if len(line) > 5000:
-            # a line of a packed file: only the surroundings of the mention
-            begin, done = max(begin, hit.start() - 200), min(done, hit.end() + 600)
-            line = text[begin:done]
         for m in _URL.finditer(line):
             v = m["v"]
             if not _TEMPLATE.search(v) and len(v) >= 3 and v.lower() not in _FILLER and v.lower() not in _LAST and not set(v) <= set("*x.-"):
@@ -165,8 +173,9 @@ def find_credentials(text: str, segmenter: Segmenter) -> list[tuple[int, int]]:
                     continue
                 if is_secret(value, segmenter):
                     found.append((begin + m.start("v"), begin + end - 1))
-        m = _REMARK.search(line)
-        if m and _mentions_credential(m["head"]):
+        for m in _REMARK.finditer(line):
+            if not _mentions_credential(m["head"]):
+                continue
             v = m["v"].rstrip(".,;)")
             odd, digits, _ = segmenter.unexplained(v)
             if is_secret(v, segmenter) and odd >= 6 and digits and "(" not in v:
