@@ -5,13 +5,12 @@ brackets it leaves: closers that need a partner before the chunk and openers tha
 monoid (``combine`` is associative), so the chunks of a file can be reduced in any grouping: within a task for common
 files, across partitions for files longer than ``ACROSS`` characters. A file whose reduced summary is unbalanced or
 ends inside a string is suspect. Balanced text is cut into its top-level statements, which a local grammar parses one
-by one: Python's own parser for a statement of Python, the grammar in ``js_grammar`` for JavaScript, strict JSON and
+by one: Python's own compiler for a statement of Python, the grammar in ``js_grammar`` for JavaScript, strict JSON and
 TOML readers for their documents. A suspect Python file is confirmed by compiling it whole.
 """
 
 from __future__ import annotations
 
-import ast
 import json
 import re
 import tomllib
@@ -154,22 +153,25 @@ def _compiles(text: str) -> bool:
     return True
 
 
+#: What no statement can tell alone: where a __future__ import stands and what it changes, and names of the module
+#: that are used before they are declared global.
+_TOGETHER = re.compile(r"\b__future__\b|\bglobal\b")
+_SCOPE = re.compile(r"(?:def|async\s+def|class|@)(?!\w)")
+
+
 def _python_ok(text: str) -> bool:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             for statement in python_statements(text):
-                ast.parse(statement)
-                if _OUTSIDE.match(statement):
+                if (m := _TOGETHER.search(statement)) and (m.group() == "__future__" or not _SCOPE.match(statement)):
                     return _compiles(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+                compile(statement, "file", "exec", dont_inherit=True)
+    except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
         return _compiles(text)
     return True
 
 
-_OUTSIDE = re.compile(r"(?:return|break|continue|yield|await|nonlocal)\b")
-
-
 def _no_constant(name: str) -> None:
     raise ValueError(name)
 
