@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import cut
+from corpusloom.runtime import cut, release
 
 #: Each round at least halves the depth of the label trees; the bound only guards against a fault.
 MAX_ROUNDS = 60
@@ -48,11 +48,14 @@ def connected_components(pairs: DataFrame, left: str, right: str, vertex: str =
     """
     sides = pairs.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null")
     sides = cut(sides.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    edges = sides.where("u <> v")
+    edges, table = sides.where("u <> v"), None
     before = _state(edges)
     for _ in range(MAX_ROUNDS):
         edges = cut(_small_star(_large_star(edges)))
         after = _state(edges)
+        if table is not None:  # the round before is not needed any more
+            release(table)
+        table = edges
         if after == before:
             break
         before = after

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +20,18 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """The shared folder of ``spark.checkpoint.dir``. Where none is set, a folder below the warehouse in local mode; a
+    cluster without the setting is an error, since its executors could not read each other's local disks."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusloom_ckpt_"))
+    if not folder:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -44,13 +48,23 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` once as a table in the shared checkpoint folder and reads it back.
 
     Later passes neither recompute it nor depend on an executor that may be lost, and they prune its columns. The
-    table is removed when the driver's Python ends.
+    table is removed by ``release`` or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Removes a table that ``cut`` wrote, once nothing reads it any more."""
+    path = getattr(df, "_stage_path", None)
+    if path:
+        _drop(df.sparkSession, path)
+        df._stage_path = None
 
 
 def spread(df: DataFrame) -> DataFrame:
