@@ -1,4 +1,4 @@
-"""Named queries of the problems about text, and their SQL where it can say the same."""
+"""Named queries of the ten problems, and their SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.credentials import credentials, redacted, word_costs
 from corpusloom.llm.function_docs import pair_functions
+from corpusloom.llm.knn import nearest_vectors
 from corpusloom.llm.leakage import leaked_items
 from corpusloom.llm.packing import pack, rule_tokens
 from corpusloom.llm.parse_check import check_files
 from corpusloom.llm.personal_data import masked, personal_spans
 from corpusloom.llm.provenance import unwritten_files
+from corpusloom.llm.shared_spans import shared_pairs, shared_share, shared_spans
+from corpusloom.operators.components import connected_components
 from corpusloom.runtime import read_table
 
 
@@ -53,6 +56,46 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).dropDuplicates(["src", "row_id"])
 
 
+def project_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row (level, id, vec) for each vector of either level."""
+    table = read_table(spark, sf_dir, "project_embedding")
+    levels = [table.select(F.lit(name).alias("level"), F.explode(F.arrays_zip(F.col(f"{name}_ids").alias("id"), F.col(f"{name}_embeddings").alias("vec"))).alias("x")).select("level", "x.id", "x.vec") for name in ("function", "file")]
+    return levels[0].unionByName(levels[1])
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(project_vectors(spark, sf_dir), "level", "id", "vec")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p3_neighbours(spark, sf_dir)
+    return near.select("level", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, DataFrame]]:
+    return {
+        "block": shared_spans(read_table(spark, sf_dir, "code_block"), "block_id", "normalized", ["repo", "file_path"]),
+        "profile": shared_spans(read_table(spark, sf_dir, "repo_code_profile"), "scan_id", "all_code_normalized"),
+    }
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (shared_pairs(parts).select(F.lit(level).alias("level"), "id_a", "id_b") for level, parts in _spans(spark, sf_dir).items())
+    return a.unionByName(b)
+
+
+def p4_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (shared_share(parts).select(F.lit(level).alias("level"), "id", "n_chars", "shared_chars", "share") for level, parts in _spans(spark, sf_dir).items())
+    return a.unionByName(b)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "code_match")
+    name = lambda c: F.lower(F.trim(c))
+    usable = table.select(name("repo1").alias("a"), name("repo2").alias("b")).where("a <> '' and b <> '' and a <> b")
+    return connected_components(usable, "a", "b", "repo", "group_repo")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = read_table(spark, sf_dir, "file_embedding")
     return check_files(files, "file_id", "path", "content").where("not parses").select("file_id").distinct()
@@ -107,6 +150,15 @@ def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked(documents, "doc_id", "text", personal_spans(documents, "doc_id", "text"))
 
 
+P6_FOUND_SQL = """
+WITH RECURSIVE m AS (
+  SELECT DISTINCT lower(trim(repo1)) a, lower(trim(repo2)) b FROM code_match
+  WHERE lower(trim(repo1)) <> '' AND lower(trim(repo2)) <> '' AND lower(trim(repo1)) <> lower(trim(repo2))),
+e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
+r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y)
+SELECT x AS repo, min(y) AS group_repo FROM r GROUP BY x
+"""
+
 P9_FOUND_SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM eval_item WHERE text IS NOT NULL),
@@ -118,5 +170,5 @@ g AS (SELECT doc_id, n, array_to_string(w[s:s + n - 1], ' ') g
 SELECT DISTINCT doc_id, item_id FROM g JOIN r USING (n, g)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p1_repository_files": p1_repository_files, "p2_found": p2_found, "p2_redacted": p2_redacted, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_masked": p10_masked}
-ORACLE = {"p9_found": P9_FOUND_SQL}
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p1_repository_files": p1_repository_files, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_shared_share": p4_shared_share, "p6_found": p6_found, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_masked": p10_masked}
+ORACLE = {"p6_found": P6_FOUND_SQL, "p9_found": P9_FOUND_SQL}
