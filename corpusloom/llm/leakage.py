@@ -1,16 +1,14 @@
 """Evaluation texts inside corpus texts: size-partitioned MinHash containment search, verified by exact shingles.
 
 A leak is a run of ``run`` consecutive words of an item (the whole item if it is shorter). Every such run is a query
-domain: the set of its ``SHINGLE``-word shingles. Documents are cut into overlapping windows of twice the run, so that
-every run of a document lies inside one window whole; a window is a domain of at most ``2 run - SHINGLE + 1`` shingles.
-Runs are partitioned by their size; for each partition containment 1 in a window of bounded size becomes a lower
-bound of the Jaccard similarity, which fixes how many MinHash values are compared so that a contained run is missed
-with a chance below ``MISS``. Windows that agree in a value are verified word by word.
+domain: the set of its ``SHINGLE``-word shingles. Runs are partitioned by their size, and for each partition a document
+is cut into the windows of that very size, one at every word; a window is a domain no larger than the runs of its
+partition. So containment 1 means a Jaccard similarity of 1, and the one MinHash value that is compared misses no
+contained run, however long the document around it. Windows that agree in it are verified shingle by shingle, in order.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -20,13 +18,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.rolling import mix, window_argmin, window_hashes
+from corpusloom.functions.rolling import window_hashes
+from corpusloom.runtime import cut
 
 SHINGLE = 5
-MISS = 1e-9
-#: Items searched for in one pass over the corpus; a larger set takes several passes.
-ITEMS_PER_PASS = 20_000
-NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Words and characters of a piece of an item; pieces overlap, so that every run lies inside one.
+PIECE_WORDS, PIECE_CHARS = 500, 20_000
+#: Characters of items that are sent to the workers for one pass over the corpus; more items take several passes.
+PASS_CHARS = 8_000_000
+#: Characters of documents searched at a time.
+SLICE_CHARS = 4_000_000
+_SIEVE_BITS = 20
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -36,110 +38,141 @@ def words_of(text: str | None) -> list[str]:
     return " ".join(_WORD.findall(text)).lower().split(" ") if text and _WORD.search(text) else []
 
 
-def _values(lists: list[list[str]], cache: dict[str, int]) -> np.ndarray:
-    out = []
-    for words in lists:
-        for w in words:
-            v = cache.get(w)
-            if v is None:
-                v = cache[w] = xxhash.xxh64_intdigest(w) >> 1
-            out.append(v)
-    if len(cache) > 2_000_000:
-        cache.clear()
-    return np.array(out, dtype=np.uint64)
+class Hashes(dict):
+    """Word -> hash, kept for the words met lately."""
+
+    def __missing__(self, word: str) -> int:
+        got = self[word] = xxhash.xxh64_intdigest(word) >> 1
+        return got
+
+    def of(self, words: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        if len(self) > 1_000_000:
+            self.clear()
+        return out
+
+
+def least_of_windows(hashes: np.ndarray, span: int) -> np.ndarray:
+    """The smallest of each ``hashes[i:i+span]``, by doubling."""
+    n, size, low = len(hashes) - span + 1, 1, hashes
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    while size * 2 <= span:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    return np.minimum(low[:n], low[span - size : span - size + n])
 
 
 class SizeClass:
-    """The runs of one length, with the smallest hash of their shingles under each of the hash functions."""
-
-    def __init__(self, length: int, runs: dict[tuple[str, ...], set[int]]) -> None:
-        self.length, self.runs = length, runs
-        self.width = min(SHINGLE, length)
-        shingles, most = length - self.width + 1, 2 * length - self.width + 1
-        self.seeds = [mix(np.array([n + 1], dtype=np.uint64))[0] for n in range(math.ceil(math.log(MISS) / math.log(1 - shingles / most)))]
-        hashes = window_hashes(_values([list(r) for r in runs], {}), self.width)
-        first = np.arange(len(runs)) * length
-        self.least = []
-        for seed in self.seeds:
-            h = mix(hashes ^ seed)
-            self.least.append(np.unique(h[window_argmin(h, shingles)[first]]))
-
-    def candidates(self, values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Positions (in ``values``) of the windows that agree with a run in some MinHash value. Each text is followed
-        by ``2 * length`` fillers."""
-        hashes = window_hashes(values, self.width)
-        valid = np.zeros(len(values) + 1, dtype=np.int64)
-        np.add.at(valid, starts, 1)
-        np.add.at(valid, starts + np.maximum(counts - self.width + 1, 0), -1)
-        valid = np.cumsum(valid)[: len(hashes)] > 0
-        per = np.maximum(0, -(-(counts - self.length + 1) // self.length))
-        at = np.repeat(starts - np.concatenate(([0], np.cumsum(per)[:-1])) * self.length, per) + np.arange(per.sum()) * self.length
-        span = 2 * self.length - self.width + 1
-        hit = np.zeros(len(at), dtype=bool)
-        for seed, least in zip(self.seeds, self.least, strict=True):
-            h = np.where(valid, mix(hashes ^ seed), NEVER)
-            low = h[window_argmin(h, span)[at]]
-            found = np.searchsorted(least, low)
-            hit |= least[np.minimum(found, len(least) - 1)] == low
-        return at[hit]
-
-
-def size_classes(items: list[tuple[int, str]], run: int) -> list[SizeClass]:
-    by: dict[int, dict[tuple[str, ...], set[int]]] = {}
-    for item, text in items:
+    """The runs of one length: their words, and where each MinHash value stands."""
+
+    def __init__(self, length: int, pieces: list[tuple[int, list[str]]]) -> None:
+        self.length, self.width = length, min(SHINGLE, length)
+        self.words = [w for _, words in pieces for w in words]
+        low, at, items, base = [], [], [], 0
+        table = Hashes()
+        for item, words in pieces:
+            got = least_of_windows(window_hashes(table.of(words), self.width), length - self.width + 1)
+            low.append(got)
+            at.append(np.arange(base, base + len(got)))
+            items.append(np.full(len(got), item, dtype=np.int64))
+            base += len(words)
+        low, at, items = (np.concatenate(x) for x in (low, at, items))
+        order = low.argsort(kind="stable")
+        self.low, self.at, self.items = low[order], at[order], items[order]
+        self.sieve = np.zeros(1 << _SIEVE_BITS, dtype=bool)
+        self.sieve[(self.low >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)] = True
+
+    def candidates(self, shingles: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """``(position, first, last)``: windows whose MinHash value is that of the runs ``first`` to ``last``."""
+        low = least_of_windows(shingles, self.length - self.width + 1)
+        pos = np.flatnonzero(self.sieve[(low >> np.uint64(64 - _SIEVE_BITS)).astype(np.int64)])
+        first, last = (np.searchsorted(self.low, low[pos], side=side) for side in ("left", "right"))
+        hit = first < last
+        yield from zip(pos[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True)
+
+
+def size_classes(pieces: list[tuple[int, str]], run: int) -> list[SizeClass]:
+    by: dict[int, list[tuple[int, list[str]]]] = {}
+    for item, text in pieces:
         words = words_of(text)
-        length = min(run, len(words))
-        if length:
-            for i in range(len(words) - length + 1):
-                by.setdefault(length, {}).setdefault(tuple(words[i : i + length]), set()).add(item)
-    return [SizeClass(length, runs) for length, runs in sorted(by.items())]
+        if words:
+            by.setdefault(min(run, len(words)), []).append((item, words))
+    return [SizeClass(length, own) for length, own in sorted(by.items())]
 
 
-def leaks_in(texts: list[str], classes: list[SizeClass], cache: dict[str, int]) -> list[tuple[int, int]]:
+def leaks_in(texts: list[str], classes: list[SizeClass], table: Hashes) -> list[tuple[int, int]]:
     """``(index of the text, item)`` pairs."""
     lists = [words_of(t) for t in texts]
-    pad = 2 * max(c.length for c in classes)
     counts = np.array([len(w) for w in lists], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(counts + pad)[:-1])).astype(np.int64)
-    values = np.zeros(int((counts + pad).sum()), dtype=np.uint64)
-    plain = _values(lists, cache)
-    values[np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(len(plain))] = plain
+    ends = np.cumsum(counts)
+    words = [w for own in lists for w in own]
+    values = table.of(words)
+    shingles: dict[int, np.ndarray] = {}
     found = set()
     for c in classes:
-        for at in c.candidates(values, starts, counts).tolist():
-            doc = int(np.searchsorted(starts, at, side="right")) - 1
-            begin, words = at - int(starts[doc]), lists[doc]
-            for i in range(begin, min(begin + c.length + 1, len(words) - c.length + 1)):
-                for item in c.runs.get(tuple(words[i : i + c.length]), ()):
-                    found.add((doc, item))
+        if c.width not in shingles:
+            shingles[c.width] = window_hashes(values, c.width)
+        doc = 0
+        for at, first, last in c.candidates(shingles[c.width]):
+            while ends[doc] <= at:
+                doc += 1
+            if at + c.length > ends[doc]:
+                continue  # the window runs over the end of its text
+            window = words[at : at + c.length]
+            for k in range(first, last):
+                q = int(c.at[k])
+                if c.words[q : q + c.length] == window:
+                    found.add((doc, int(c.items[k])))
     return sorted(found)
 
 
-def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, *, run: int = 12, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+def pieces_of(text: str, run: int) -> Iterator[str]:
+    """The words of an item in overlapping pieces that hold every run; bounded unless single words are beyond it."""
+    words, begin = words_of(text), 0
+    while begin < len(words):
+        end, size = begin, 0
+        while end < len(words) and (end - begin < 2 * run or (end - begin < PIECE_WORDS and size < PIECE_CHARS)):
+            size += len(words[end]) + 1
+            end += 1
+        yield " ".join(words[begin:end])
+        if end == len(words):
+            return
+        begin = end - run + 1
+
+
+def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, *, run: int = 12, pass_chars: int = PASS_CHARS) -> DataFrame:
     """``(doc_id, item_id)``: the document holds ``run`` consecutive words of the item, or the whole shorter item.
 
-    Items come in blocks of ``items_per_pass``, each searched for in one scan of the documents without a shuffle of
-    their texts, so what is sent to the workers never grows with the data. Null ids or texts and items without words
-    take no part; repeated rows count once; empty tables give no rows.
+    Items come in passes of about ``pass_chars`` characters, each searched for in one scan of the documents without a
+    shuffle of their texts, so what is sent to the workers never grows with the data. Null ids or texts and items
+    without words take no part; repeated rows count once; empty tables give no rows.
     """
     spark = documents.sparkSession
     usable = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
     corpus = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    blocks = max(1, -(-usable.count() // items_per_pass))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(i, n, p) for i, t in zip(pdf["i"].tolist(), pdf["t"].tolist(), strict=True) for n, p in enumerate(pieces_of(t, run))]
+            yield pd.DataFrame(out, columns=["i", "n", "p"])
+
+    pieces = cut(usable.mapInPandas(split, "i bigint, n int, p string"))
+    passes = max(1, -(-(pieces.agg(F.sum(F.length("p"))).first()[0] or 0) // pass_chars))
     out = None
-    for block in range(blocks):
-        part = [(r["i"], r["t"]) for r in usable.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()]
+    for one in range(passes):
+        part = [(r["i"], r["p"]) for r in pieces.where(F.pmod(F.xxhash64("i", "n"), F.lit(passes)) == one).collect()]
         classes = size_classes(part, run)
         if not classes:
             continue
         shared = spark.sparkContext.broadcast(classes)
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            cache: dict[str, int] = {}
+            table = Hashes()
             for pdf in batches:
                 sizes = pdf["text"].str.len().cumsum().to_numpy()
-                for _, some in pdf.groupby(sizes // 4_000_000, sort=False):
-                    got = leaks_in(some["text"].tolist(), shared.value, cache)
+                for _, some in pdf.groupby(sizes // SLICE_CHARS, sort=False):
+                    got = leaks_in(some["text"].tolist(), shared.value, table)
                     if got:
                         ids = some["doc_id"].to_numpy()
                         yield pd.DataFrame({"doc_id": [ids[d] for d, _ in got], "item_id": [i for _, i in got]})

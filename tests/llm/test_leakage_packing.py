@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.llm.leakage import leaked_items, words_of
+from corpusloom.llm.leakage import leaked_items, pieces_of, words_of
 from corpusloom.llm.packing import pack, pack_histogram, rule_tokens
 
 
@@ -37,11 +37,22 @@ def test_leaks_match_brute_force(spark):
     docs += [(500, None), (501, ""), (None, items[0][1]), (3, docs[3][1])]
     want = brute([x for x in docs if x[0] is not None and x[1] is not None], [x for x in items if x[1]], 8)
     df, it = spark.createDataFrame([(d, t, "i") for d, t in docs], "doc long, text string, item_id string"), spark.createDataFrame(items, "i long, t string")
-    for per_pass in (20_000, 7):
-        got = [(r["doc_id"], r["item_id"]) for r in leaked_items(df, "doc", "text", it, "i", "t", run=8, items_per_pass=per_pass).collect()]
+    for per_pass in (8_000_000, 60):
+        got = [(r["doc_id"], r["item_id"]) for r in leaked_items(df, "doc", "text", it, "i", "t", run=8, pass_chars=per_pass).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_pieces_hold_every_run(monkeypatch):
+    import corpusloom.llm.leakage as module
+
+    monkeypatch.setattr(module, "PIECE_WORDS", 30)
+    words = [f"v{i}" for i in range(200)]
+    pieces = [p.split() for p in pieces_of(" ".join(words), 12)]
+    assert all(12 <= len(p) <= 30 for p in pieces) and len(pieces) > 5
+    assert {tuple(words[i : i + 12]) for i in range(189)} == {tuple(p[i : i + 12]) for p in pieces for i in range(len(p) - 11)}
+    assert list(pieces_of("", 12)) == [] and list(pieces_of("One, two", 12)) == ["one two"]
+
+
 def test_leaks_of_nothing(spark):
     none = spark.createDataFrame([], "i long, t string")
     some = spark.createDataFrame([(1, "a b c")], "i long, t string")
