@@ -28,6 +28,23 @@ def test_spans_and_masking(spark):
     assert out[0] == f"Dear [PERSON], {FILL[0]} Thanks to [PERSON] for the patch. {FILL[3]} Call [PHONE] before noon. national id [ID_NUMBER] appears. Address: [ADDRESS]. Reach me at [EMAIL] if it fails."
 
 
+def test_words_beyond_the_broadcast_are_joined(spark):
+    df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    whole, few = ({tuple(r)[:5] for r in personal_spans(df, "doc_id", "text", words=n).collect()} for n in (1000, 12))
+    assert whole == few and len(whole) == 360
+
+
+def test_classifier_decides(spark, monkeypatch):
+    """Candidates are wider than what is reported: whatever is accepted is the classifier's choice."""
+    import corpusloom.llm.personal_data as module
+
+    df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    monkeypatch.setattr(module, "decide", lambda votes, features, weights: np.ones(len(votes)))
+    assert personal_spans(df, "doc_id", "text").count() > 420
+    monkeypatch.setattr(module, "decide", lambda votes, features, weights: np.zeros(len(votes)))
+    assert personal_spans(df, "doc_id", "text").count() == 0
+
+
 def test_no_documents(spark):
     assert personal_spans(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").collect() == []
 
