@@ -3,10 +3,13 @@
 A vector is scaled to length 1 and cut into two halves; each half is quantised with its own codebook, and the pair
 of codes names the vector's cell. A query walks the cells in order of the summed distances of its halves to the two
 centroids, with a heap, until the cells it has passed hold ``candidates`` vectors; these are ranked by exact cosine.
+A cell with more than ``DENSE`` vectors has a multi-index of its own, over codebooks fitted to its own vectors, which
+the walk enters when it comes to that cell; so a query never has to meet a whole dense cell.
 
-Codebooks are fitted on a bounded sample (``sample`` vectors); every vector is indexed and every vector is a query.
-Equal vectors form one class, so a third of all rows being copies costs one index entry. A cell with more than
-``CHUNK`` classes is split into chunks that are ranked in separate groups, so no group grows with the data.
+Codebooks are fitted on a bounded sample (about ``sample`` vectors); every vector is indexed and every vector is a
+query. Equal vectors form one class, so a third of all rows being copies costs one index entry. What remains in one
+cell is split into chunks of about ``CHUNK`` entries, which are ranked in separate groups. A vector travels once as an
+entry, is a query to its own chunk there, and travels again only to the other chunks of its walk.
 """
 
 from __future__ import annotations
@@ -22,10 +25,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.runtime import cut
 
-#: Index entries of one ranking group; queries meet a group in slices of as many.
-CHUNK = 2048
-PER_CELL = 200
+#: Index entries of one ranking group; queries meet a group in slices of 256.
+CHUNK = 4096
+PER_CELL = 300
 MOST_CODES = 1024
+#: A cell with more entries gets an index of its own.
+DENSE = 16_000
+#: Vectors that the codebooks of one dense cell are fitted on.
+DENSE_SAMPLE = 2000
+#: Rows of a table that may be broadcast after its size was counted.
+FEW = 100_000
 
 
 def _kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -46,27 +55,65 @@ def _distances(half: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (half**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * half @ centres.T
 
 
-def walk_cells(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int) -> list[tuple[int, int]]:
+def walk_cells(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: int) -> Iterator[tuple[int, int]]:
     """Non-empty cells in order of ``first[i] + second[j]`` until they hold ``wanted`` entries: a heap over the two
     sorted distance lists, each pop opening its right and lower neighbour."""
     a, b = first.argsort(kind="stable"), second.argsort(kind="stable")
     fa, sb = first[a].tolist(), second[b].tolist()
     a, b = a.tolist(), b.tolist()
-    heap, held, out = [(fa[0] + sb[0], 0, 0)], 0, []
+    heap, held = [(fa[0] + sb[0], 0, 0)], 0
     while heap and held < wanted:
         _, i, j = heapq.heappop(heap)
         size = sizes[a[i], b[j]]
         if size:
-            out.append((a[i], b[j]))
+            yield a[i], b[j]
             held += size
         if j + 1 < len(b):
             heapq.heappush(heap, (fa[i] + sb[j + 1], i, j + 1))
         if j == 0 and i + 1 < len(a):
             heapq.heappush(heap, (fa[i + 1] + sb[0], i + 1, 0))
-    return out
 
 
-def nearest_vectors(vectors: DataFrame, level: str, id_col: str, vec_col: str, *, dim: int = 64, k: int = 5, codes: int | None = None, sample: int = 20000, candidates: int = 4000, digits: int = 6) -> DataFrame:
+class Index:
+    """Codebooks and cell sizes of one level, and the indexes of its dense cells."""
+
+    def __init__(self, points: np.ndarray, codes: int) -> None:
+        half = points.shape[1] // 2
+        self.books = _kmeans(points[:, :half], codes), _kmeans(points[:, half:], codes)
+        self.sizes = np.zeros((len(self.books[0]), len(self.books[1])), dtype=np.int64)
+        self.inner: dict[tuple[int, int], Index] = {}
+
+    def distances(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        half = m.shape[1] // 2
+        return _distances(m[:, :half], self.books[0]), _distances(m[:, half:], self.books[1])
+
+    def codes(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.distances(m)
+        return a.argmin(1), b.argmin(1)
+
+    def walk(self, vector: np.ndarray, wanted: int, at: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[tuple[int, int, int, int], int]]:
+        """``(cell, entries)``; a cell is named by its codes and the codes inside a dense cell, -1 where there are none."""
+        da, db = at if at is not None else (x[0] for x in self.distances(vector[None]))
+        left = wanted
+        for i, j in walk_cells(da, db, self.sizes, wanted):
+            deep = self.inner.get((i, j))
+            if deep is None:
+                yield (i, j, -1, -1), int(self.sizes[i, j])
+                left -= int(self.sizes[i, j])
+            else:
+                for (x, y, _, _), n in deep.walk(vector, left):
+                    yield (i, j, x, y), n
+                    left -= n
+            if left <= 0:
+                return
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.to_numpy()).astype(np.float64)
+    return m / np.sqrt((m * m).sum(1))[:, None]
+
+
+def nearest_vectors(vectors: DataFrame, level: str, id_col: str, vec_col: str, *, dim: int = 64, k: int = 5, codes: int | None = None, sample: int = 20000, candidates: int = 5000, digits: int = 6, dense: int = DENSE) -> DataFrame:
     """``(level, id, rank, neighbour, cosine)``: the ``k`` most similar vectors of the same level for every vector.
 
     Cosine is rounded to ``digits`` decimals, ties go to the smaller id. Null ids, null, all-zero, non-finite and
@@ -76,115 +123,159 @@ def nearest_vectors(vectors: DataFrame, level: str, id_col: str, vec_col: str, *
     """
     spark = vectors.sparkSession
     v = F.col(vec_col)
-    usable = vectors.select(F.col(level).alias("level"), F.col(id_col).alias("id"), v.cast("array<double>").alias("vec")).where(F.col("level").isNotNull() & F.col("id").isNotNull() & (F.size("vec") == dim) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    usable = usable.dropDuplicates(["level", "id"]).withColumn("norm", norm)
-    usable = usable.select("level", "id", F.transform("vec", lambda x: x / F.col("norm")).alias("vec"))
-    usable = cut(usable)
+    wide = dict(vectors.dtypes)[vec_col]
+    usable = vectors.select(F.col(level).alias("level"), F.col(id_col).alias("id"), v.alias("vec")).where(F.col("level").isNotNull() & F.col("id").isNotNull() & (F.size("vec") == dim) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vec", lambda x: x != 0))
+    # Equal vectors have equal pairs of hashes; only ids and hashes travel until the classes are known.
+    usable = usable.withColumns({"h": F.xxhash64("vec"), "g": F.hash("vec")})
+    light = cut(usable.groupBy("level", "id").agg(F.min(F.struct("h", "g")).alias("x")).select("level", "id", "x.h", "x.g"))
     # Equal vectors are one class: its smallest id names it and its k + 1 smallest ids stand for all of its members.
     # The row_number filter is applied within each input partition first (window group limit), so copies don't pile up.
-    same = W.partitionBy("level", "vec")
-    heads = usable.withColumn("nth", F.row_number().over(same.orderBy("id"))).where(F.col("nth") <= k + 1)
-    heads = cut(heads.withColumn("cls", F.min("id").over(same)).withColumnRenamed("id", "neighbour"))
-    classes = heads.where("neighbour = cls").select("level", "cls", "vec")
-    members = usable.join(classes, ["level", "vec"]).select("level", "cls", "id")
-    heads = heads.select("level", "cls", "neighbour")
-
-    books = {}
-    for (name,) in classes.select("level").distinct().collect():  # one row for each level
-        rows = classes.where(F.col("level") == name)
-        n = rows.count()
-        share = min(1.0, 1.2 * sample / max(1, n))
-        size = codes or min(MOST_CODES, max(4, round((n / PER_CELL) ** 0.5)))
-        got = np.array([r[0] for r in rows.sample(share, seed=11).select("vec").limit(sample).collect()] or [r[0] for r in rows.limit(sample).select("vec").collect()])
-        books[name] = (_kmeans(got[:, : dim // 2], size), _kmeans(got[:, dim // 2 :], size))
-    if not books:
+    same = W.partitionBy("level", "h", "g")
+    heads = light.withColumn("nth", F.row_number().over(same.orderBy("id"))).where(F.col("nth") <= k + 1)
+    heads = cut(heads.withColumns({"cls": F.min("id").over(same), "n": F.count("*").over(same)}))
+    classes = heads.where("nth = 1").select("level", F.col("id").alias("cls"), "h", "g")
+    counts = {r["level"]: r["count"] for r in classes.groupBy("level").count().collect()}  # one row for each level
+    if not counts:
         return spark.createDataFrame([], "level string, id bigint, rank int, neighbour bigint, cosine double")
+    order = {name: n for n, name in enumerate(sorted(counts))}
+
+    index: dict[str, Index] = {}
+    for name, n in counts.items():
+        # Every m-th vector by its hash: at least ``sample`` where there are as many, and fewer than about twice that.
+        rows = usable.where((F.col("level") == name) & (F.pmod("h", F.lit(max(1, n // sample))) == 0)).dropDuplicates(["h", "g"]).select("vec")
+        index[name] = Index(_unit(rows.toPandas()["vec"]), codes or min(MOST_CODES, max(4, round((n / PER_CELL) ** 0.5))))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, part in pdf.groupby("level", sort=False):
-                m = np.stack(part["vec"].to_numpy())
-                a, b = books[name]
-                yield pd.DataFrame({"level": part["level"], "cls": part["cls"], "ca": _distances(m[:, : dim // 2], a).argmin(1), "cb": _distances(m[:, dim // 2 :], b).argmin(1), "vec": part["vec"]})
-
-    indexed = cut(classes.mapInPandas(assign, "level string, cls bigint, ca int, cb int, vec array<double>"))
-    # At most levels x codes^2 rows, whatever the size of the data.
-    counted = indexed.groupBy("level", "ca", "cb").count().collect()
-    sizes = {name: np.zeros((len(a), len(b)), dtype=np.int64) for name, (a, b) in books.items()}
-    for r in counted:
-        sizes[r["level"]][r["ca"], r["cb"]] = r["count"]
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                m, own = _unit(part["vec"]), index[name]
+                ca, cb = own.codes(m)
+                cells = np.full((len(m), 4), -1, dtype=np.int32)
+                cells[:, 0], cells[:, 1] = ca, cb
+                for cell, deep in own.inner.items():
+                    at = np.flatnonzero((ca == cell[0]) & (cb == cell[1]))
+                    if len(at):
+                        cells[at, 2], cells[at, 3] = deep.codes(m[at])
+                yield pd.DataFrame({"lv": order[name], "cls": part["cls"], "cell": list(cells), "vec": part["vec"]})
+
+    shape = f"lv int, cls bigint, cell array<int>, vec {wide}"
+    own = usable.join(classes.withColumnRenamed("cls", "id").select("level", "id", F.col("h").alias("h1"), F.col("g").alias("g1")), ["level", "id"]).where("h = h1 and g = g1")
+    named = own.groupBy("level", F.col("id").alias("cls")).agg(F.first("vec").alias("vec"))
+    indexed = cut(named.mapInPandas(assign, shape))
+    names = {n: name for name, n in order.items()}
+
+    def count_cells(table: DataFrame) -> list:
+        # At most levels x codes^2 rows, whatever the size of the data.
+        return table.groupBy("lv", "cell").count().collect()
+
+    crowded = []
+    for r in count_cells(indexed):
+        index[names[r["lv"]]].sizes[r["cell"][0], r["cell"][1]] = r["count"]
+        if r["count"] > dense:
+            crowded.append((r["lv"], r["cell"], r["count"]))
+    if crowded:
+        for lv, cell, n in crowded:
+            at = indexed.where((F.col("lv") == lv) & (F.col("cell")[0] == cell[0]) & (F.col("cell")[1] == cell[1]))
+            rows = at.where(F.pmod(F.xxhash64("cls"), F.lit(max(1, n // DENSE_SAMPLE))) == 0).select("vec").toPandas()
+            index[names[lv]].inner[cell[0], cell[1]] = Index(_unit(rows["vec"]), max(4, round((n / min(PER_CELL, dense / 4)) ** 0.5)))
+        indexed = cut(indexed.select(F.element_at(F.lit([names[n] for n in sorted(names)]), F.col("lv") + 1).alias("level"), "cls", "vec").mapInPandas(assign, shape))
+        for r in count_cells(indexed.where(F.col("cell")[2] >= 0)):
+            index[names[r["lv"]]].inner[r["cell"][0], r["cell"][1]].sizes[r["cell"][2], r["cell"][3]] = r["count"]
+
+    def size_of(lv: int, cell: tuple[int, ...]) -> int:
+        own = index[names[lv]]
+        return int(own.sizes[cell[0], cell[1]] if cell[2] < 0 else own.inner[cell[0], cell[1]].sizes[cell[2], cell[3]])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Every vector as an entry of its chunk (side 0) and as a query of the other chunks of its walk (side 1)."""
         for pdf in batches:
-            for name, part in pdf.groupby("level", sort=False):
-                m = np.stack(part["vec"].to_numpy())
-                a, b = books[name]
-                da, db = _distances(m[:, : dim // 2], a), _distances(m[:, dim // 2 :], b)
+            cls, vec = pdf["cls"].to_numpy(), pdf["vec"].to_numpy()
+            m = _unit(pdf["vec"])
+            mixed = ((cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).tolist()
+            for lv, part in pdf.groupby("lv", sort=False):
+                own = index[names[lv]]
+                rows = pdf.index.get_indexer(part.index)
+                da, db = own.distances(m[rows])
                 out = []
-                for n in range(len(m)):
-                    for i, j in walk_cells(da[n], db[n], sizes[name], candidates):
-                        for part_no in range(-(-int(sizes[name][i, j]) // CHUNK)):
-                            out.append((n, i, j, part_no))
-                at, i, j, p = map(list, zip(*out, strict=True))
-                yield pd.DataFrame({"level": name, "cls": part["cls"].to_numpy()[at], "ca": i, "cb": j, "chunk": p, "vec": part["vec"].to_numpy()[at], "side": 1})
-
-    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n = np.array([sizes[lv][i, j] for lv, i, j in zip(pdf["level"], pdf["ca"], pdf["cb"], strict=True)], dtype=np.int64)
-            mixed = (pdf["cls"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            yield pdf.assign(chunk=(mixed % (-(-n // CHUNK)).astype(np.uint64)).astype(np.int32), side=0)
+                for x, n in enumerate(rows.tolist()):
+                    cell = tuple(pdf["cell"].iat[n])
+                    home = mixed[n] % -(-size_of(lv, cell) // CHUNK)
+                    out.append((n, *cell, home, 0))
+                    for there, size in own.walk(m[n], candidates, (da[x], db[x])):
+                        out.extend((n, *there, c, 1) for c in range(-(-size // CHUNK)) if (there, c) != (cell, home))
+                at, i, j, x, y, chunk, side = (np.array(c) for c in zip(*out, strict=True))
+                yield pd.DataFrame({"lv": lv, "i": i, "j": j, "x": x, "y": y, "chunk": chunk, "side": side, "cls": cls[at], "vec": vec[at]})
+
+    group = ["lv", "i", "j", "x", "y", "chunk"]
+    both = indexed.mapInPandas(place, f"lv int, i int, j int, x int, y int, chunk int, side int, cls bigint, vec {wide}")
 
-    shape = "level string, cls bigint, ca int, cb int, chunk int, vec array<double>, side int"
-    both = indexed.mapInPandas(chunked, shape).unionByName(indexed.mapInPandas(probe, shape))
+    def best_of(q: np.ndarray, to: np.ndarray, own: np.ndarray, entries: np.ndarray) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(q), 256):
+            some = q[at : at + 256]
+            sim = np.round(to[at : at + 256] @ entries.T, digits)
+            sim[some[:, None] == own[None]] = -9
+            keep = min(k + 3, len(own))
+            top = np.argpartition(-sim, keep - 1, axis=1)[:, :keep]
+            values, ids = np.take_along_axis(sim, top, 1), own[top]
+            order = np.lexsort((ids, -values))[:, :k]
+            values, ids = np.take_along_axis(values, order, 1), np.take_along_axis(ids, order, 1)
+            # Where more than ``keep`` entries tie with the last one taken, the whole row is ordered.
+            for n in np.flatnonzero((sim >= values[:, -1:]).sum(1) > keep):
+                order = np.lexsort((own, -sim[n]))[:k]
+                values[n], ids[n] = sim[n][order], own[order]
+            out = pd.DataFrame({"cls": np.repeat(some, values.shape[1]), "other": ids.ravel(), "cosine": values.ravel()})
+            yield out[out["cosine"] > -9]
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by cell chunk, entries before queries: a chunk's entries are kept until the next chunk."""
-        key, ids, mat = None, [], []
-        full: tuple[np.ndarray, np.ndarray] | None = None
+        """Rows come sorted by chunk, entries before queries: a chunk's entries are kept until the next chunk."""
+        key, ids, mat, full = None, [], [], None
+
+        def entries() -> Iterator[pd.DataFrame]:
+            """Once a chunk's entries are complete, each is a query to the others."""
+            nonlocal full
+            if full is None and ids:
+                full = np.concatenate(ids), np.concatenate(mat)
+                yield from (part.assign(lv=key[0]) for part in best_of(full[0], full[1], *full))
+
         for pdf in batches:
-            lv, ca, cb, ch, side, cls = (pdf[c].to_numpy() for c in ("level", "ca", "cb", "chunk", "side", "cls"))
-            vec = np.stack(pdf["vec"].to_numpy())
-            edge = np.flatnonzero((lv[1:] != lv[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1]) | (ch[1:] != ch[:-1]) | (side[1:] != side[:-1])) + 1
+            if not len(pdf):
+                continue
+            keys, side, cls = pdf[group].to_numpy(), pdf["side"].to_numpy(), pdf["cls"].to_numpy()
+            vec = _unit(pdf["vec"])
+            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(1) | (side[1:] != side[:-1])) + 1
             for s, e in zip([0, *edge], [*edge, len(pdf)], strict=True):
-                now = (lv[s], ca[s], cb[s], ch[s])
+                now = tuple(keys[s])
                 if now != key:
+                    yield from entries()
                     key, ids, mat, full = now, [], [], None
                 if side[s] == 0:
                     ids.append(cls[s:e])
                     mat.append(vec[s:e])
-                    full = None
-                    continue
-                if not ids:
                     continue
-                if full is None:
-                    full = np.concatenate(ids), np.concatenate(mat)
-                own, entries = full
-                for at in range(s, e, 256):
-                    q, to = cls[at : min(e, at + 256)], vec[at : min(e, at + 256)]
-                    sim = np.round(to @ entries.T, digits)
-                    sim[q[:, None] == own[None]] = -9
-                    keep = min(k + 3, len(own))
-                    top = np.argpartition(-sim, keep - 1, axis=1)[:, :keep]
-                    values, names = np.take_along_axis(sim, top, 1), own[top]
-                    order = np.lexsort((names, -values))[:, :k]
-                    values, names = np.take_along_axis(values, order, 1), np.take_along_axis(names, order, 1)
-                    # Where more than ``keep`` entries tie with the last one taken, the whole row is ordered.
-                    for n in np.flatnonzero((sim >= values[:, -1:]).sum(1) > keep):
-                        order = np.lexsort((own, -sim[n]))[:k]
-                        values[n], names[n] = sim[n][order], own[order]
-                    out = pd.DataFrame({"level": lv[s], "cls": np.repeat(q, values.shape[1]), "other": names.ravel(), "cosine": values.ravel()})
-                    yield out[out["cosine"] > -9]
-
-    found = both.repartition("level", "ca", "cb", "chunk").sortWithinPartitions("level", "ca", "cb", "chunk", "side").mapInPandas(rank, "level string, cls bigint, other bigint, cosine double")
-    best = W.partitionBy("level", "cls").orderBy(F.desc("cosine"), "other")
-    near = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("level", "cls", "other", "cosine")
-    scored = near.unionAll(classes.select("level", "cls", F.col("cls").alias("other"), F.lit(1.0).alias("cosine")))
-    options = scored.join(heads.withColumnRenamed("cls", "other"), ["level", "other"]).select("level", "cls", "neighbour", "cosine")
-    # The k + 1 best of a class hold the k best of each of its members, whichever member is left out.
-    best = W.partitionBy("level", "cls").orderBy(F.desc("cosine"), "neighbour")
-    options = options.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
-    mine = members.select("level", "cls", "id").join(options, ["level", "cls"]).where("id <> neighbour")
-    best = W.partitionBy("level", "id").orderBy(F.desc("cosine"), "neighbour")
-    return mine.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("level", "id", "rank", "neighbour", "cosine")
+                yield from entries()
+                if full is not None:
+                    yield from (part.assign(lv=key[0]) for part in best_of(cls[s:e], vec[s:e], *full))
+        yield from entries()
 
+    found = both.repartition(*group).sortWithinPartitions(*group, "side").mapInPandas(rank, "lv int, cls bigint, other bigint, cosine double")
+    best = W.partitionBy("lv", "cls").orderBy(F.desc("cosine"), "other")
+    near = cut(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("lv", "cls", "other", "cosine"))
+    level_of = F.element_at(F.lit([names[n] for n in sorted(names)]), F.col("lv") + 1)
+    # Classes of several members, which alone have to be spelt out; the k + 1 best of a class hold the k best of each
+    # of its members, whichever member is left out.
+    number = F.create_map(*(x for name, n in order.items() for x in (F.lit(name), F.lit(n))))
+    copied = cut(heads.where("n > 1").select(F.element_at(number, F.col("level")).alias("lv"), "cls", "id"))
+    stands = copied.groupBy("lv", "cls").agg(F.collect_list("id").alias("ids"))
+    small = stands.limit(FEW + 1).count() <= FEW
+    hint = F.broadcast if small else (lambda df: df)
+    told = near.join(hint(stands.withColumnRenamed("cls", "other")), ["lv", "other"], "left").select("lv", "cls", "cosine", F.explode(F.coalesce("ids", F.array("other"))).alias("neighbour"))
+    alone = told.join(hint(stands.select("lv", "cls")), ["lv", "cls"], "left_anti")
+    single = alone.select("lv", F.col("cls").alias("id"), "neighbour", "cosine")
+    grouped = told.join(hint(stands.select("lv", "cls")), ["lv", "cls"], "left_semi").unionByName(copied.select("lv", "cls", F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine")))
+    best = W.partitionBy("lv", "cls").orderBy(F.desc("cosine"), "neighbour")
+    grouped = grouped.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+    members = light.join(heads.where("nth = 1 and n > 1").select("level", "h", "g", "cls"), ["level", "h", "g"]).select(F.element_at(number, F.col("level")).alias("lv"), "cls", "id")
+    many = members.join(grouped, ["lv", "cls"]).where("id <> neighbour").select("lv", "id", "neighbour", "cosine")
+    best = W.partitionBy("lv", "id").orderBy(F.desc("cosine"), "neighbour")
+    out = single.unionByName(many).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return out.select(level_of.alias("level"), "id", "rank", "neighbour", "cosine")

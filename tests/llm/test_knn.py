@@ -38,3 +38,15 @@ def test_walk_is_in_order_of_summed_distance():
     a, b, sizes = rng.random(9), rng.random(9), rng.integers(0, 3, (9, 9))
     got = [a[i] + b[j] for i, j in walk_cells(a, b, sizes, 10**9)]
     assert got == sorted(got) and len(got) == (sizes > 0).sum()
+
+
+def test_dense_cells_have_an_index_of_their_own(spark):
+    """Two thirds of the vectors are in one tight cloud: its queries meet a part of it, and recall stays."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    rows = [("file", i, (centre + 0.05 * rng.normal(size=64)).astype(np.float32).tolist()) for i in range(2000)]
+    rows += [("file", 5000 + i, rng.normal(size=64).astype(np.float32).tolist()) for i in range(1000)]
+    df = spark.createDataFrame(rows, "level string, id long, v array<float>")
+    got = {(r["level"], r["id"], r["neighbour"]) for r in nearest_vectors(df, "level", "id", "v", codes=2, dense=400, candidates=1500).collect()}
+    want = brute(rows)
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
