@@ -35,8 +35,14 @@ SIMILAR = 0.8
 ROWS, BANDS = 5, 24
 #: Pairs whose signatures agree in a smaller share are not looked at; a pair at 0.8 falls below with probability 2e-5.
 AGREE = 0.64
+#: The first values of a signature are compared first; a pair at 0.8 agrees in fewer of FIRST than LEAST with probability 2e-5.
+FIRST, LEAST = 40, 21
 #: Counts of a file's shingles by hash, which bound from above how many two files share.
 COUNTS = 64
+#: Files of one band that meet all others of it by columns of their signatures at once; smaller bands go together.
+STRIP = 64
+#: Files whose shingle sets are held at a time while the pairs of one band are verified.
+BLOCK = 16_384
 #: Fewer tokens say too little to tell a family or a copy.
 LEAST_TOKENS = 30
 #: So many differing members of one directory, or of literals only, are a family by themselves; fewer may be coincidence.
@@ -211,11 +217,13 @@ def evidence(path: str, text: str, tokens: list[str], masked: np.ndarray, hashes
     return None
 
 
-_SHAPE = "file_id bigint, repo string, place string, listed boolean, shown string, raw binary, masked binary, raw_set binary, masked_set binary"
+_SHAPE = "file_id bigint, repo string, place string, listed boolean, shown string, raw_key binary, masked_key binary, raw binary, masked binary, raw_set binary, masked_set binary"
+#: Rows of a table that may be broadcast after its size was counted.
+FEW = 500_000
 
 
 def file_marks(files: DataFrame, file_id: str, repo: str, path: str, content: str) -> DataFrame:
-    """Own evidence and both signatures of every file."""
+    """Own evidence and both signatures of every file, with a key of 128 bits each that equal signatures have in common."""
     usable = files.select(F.col(file_id).cast("bigint").alias("file_id"), F.col(repo).alias("repo"), F.col(path).alias("path"), F.col(content).alias("text")).where("file_id is not null")
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,86 +240,137 @@ def file_marks(files: DataFrame, file_id: str, repo: str, path: str, content: st
                 masked = table.kinds[rows]
                 hashes = window_hashes(masked, SHINGLE)
                 shown = evidence(p, t, tokens, masked, hashes)
-                raw = alike = raw_set = masked_set = None
+                raw = alike = raw_set = masked_set = raw_key = masked_key = None
                 if len(tokens) >= LEAST_TOKENS and low.endswith((".py", ".js")) and t.lstrip()[:1] != "<":
                     own = np.unique(window_hashes(table.hashes[rows[masked != COMMENT]], SHINGLE))
                     if len(own):
                         every = np.unique(hashes)
                         raw, alike, raw_set, masked_set = signature(own).tobytes(), signature(every).tobytes(), shingle_set(own), shingle_set(every)
+                        raw_key, masked_key = xxhash.xxh3_128_digest(raw), xxhash.xxh3_128_digest(alike)
                 if shown or raw:
-                    out.append((i, r, low[: low.rfind("/") + 1] + low[low.rfind(".") :], bool(raw) and _literal_only(masked), shown, raw, alike, raw_set, masked_set))
-            yield pd.DataFrame(out, columns=["file_id", "repo", "place", "listed", "shown", "raw", "masked", "raw_set", "masked_set"])
+                    out.append((i, r, low[: low.rfind("/") + 1] + low[low.rfind(".") :], bool(raw) and _literal_only(masked), shown, raw_key, masked_key, raw, alike, raw_set, masked_set))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SHAPE.split(", ")])
 
     return usable.mapInPandas(mark, _SHAPE)
 
 
+def _earlier(first: np.ndarray, size: np.ndarray, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(x, y)``, y < x: rows of one band from ``begin`` on and the earlier rows that may be similar by their FIRST values."""
+    columns = np.ascontiguousarray(first.T)
+    for at in range(begin, len(size), STRIP):
+        end = min(at + STRIP, len(size))
+        low = int(np.searchsorted(size, SIMILAR * size[at] - 1e-9))
+        agree = np.zeros((end - at, end - low), dtype=np.uint8)
+        for c in columns:
+            agree += c[at:end, None] == c[None, low:end]
+        x, y = np.nonzero(agree >= LEAST)
+        x, y = x + at, y + low
+        keep = (y < x) & (size[y] >= SIMILAR * size[x])
+        yield x[keep], y[keep]
+
+
 def shared_band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``(a, b)``: pairs of a band that may be similar. The rows of a band come together, by size; every row meets all
-    earlier ones until their size alone forbids SIMILAR, across batches too. Only such rows of one band are held."""
-    band, cls, size = (np.empty(0, np.int64) for _ in range(3))
-    brief = np.empty((0, ROWS * BANDS + COUNTS), np.uint8)
+    """``(a, b, band, n)``: pairs of a band that may be similar. The rows of a band come together, by size; every row
+    meets all earlier ones until their size alone forbids SIMILAR, across batches too. Only such rows of one band are held."""
+    band, cls, size, n = (np.empty(0, np.int64) for _ in range(4))
+    brief = np.empty((0, ROWS * BANDS + COUNTS), np.uint8)  # four bits of each value, and the counts up to 15
     for pdf in batches:
         if not len(pdf):
             continue
-        new = [pdf[c].to_numpy(np.int64) for c in ("band", "cls", "size")]
-        told = np.stack([np.frombuffer(x, dtype=np.uint8) for x in pdf["brief"]])
+        new = [pdf[c].to_numpy(np.int64) for c in ("band", "cls", "size", "n")]
+        told = np.frombuffer(b"".join(pdf["brief"]), dtype=np.uint8).reshape(len(pdf), -1)
+        told = np.stack((told & 15, told >> 4), axis=2).reshape(len(pdf), -1)
         keep = (band == new[0][0]) & (size >= SIMILAR * new[2][0])
         old = int(keep.sum())
-        band, cls, size = (np.concatenate((x[keep], y)) for x, y in zip((band, cls, size), new, strict=True))
+        band, cls, size, n = (np.concatenate((x[keep], y)) for x, y in zip((band, cls, size, n), new, strict=True))
         brief = np.concatenate((brief[keep], told))
+        first = np.ascontiguousarray(brief[:, :FIRST])
+        met = []
+        edges = [0, *(np.flatnonzero(band[1:] != band[:-1]) + 1).tolist(), len(band)]
+        for s, e in zip(edges, edges[1:], strict=False):
+            if n[s] > STRIP:
+                met.extend((x + s, y + s) for x, y in _earlier(first[s:e], size[s:e], max(0, old - s)))
         near, d = np.arange(old, len(band)), 0
+        near = near[n[near] <= STRIP]
         while True:
             d += 1
             near = near[near >= d]
             near = near[(band[near - d] == band[near]) & (size[near - d] >= SIMILAR * size[near])]
             if not len(near):
                 break
-            x = near[np.count_nonzero(brief[near, :-COUNTS] == brief[near - d, :-COUNTS], axis=1) >= AGREE * ROWS * BANDS]
-            most = np.minimum(brief[x, -COUNTS:], brief[x - d, -COUNTS:])
-            most = np.where((most == 255).any(1), size[x - d], most.sum(1, dtype=np.int64))
-            x = x[similar(most, size[x] + size[x - d])]
+            x = near[np.count_nonzero(first[near] == first[near - d], axis=1) >= LEAST]
+            met.append((x, x - d))
+        for x, y in met:
+            keep = np.count_nonzero(brief[x, :-COUNTS] == brief[y, :-COUNTS], axis=1) >= AGREE * ROWS * BANDS
+            x, y = x[keep], y[keep]
+            most = np.minimum(brief[x, -COUNTS:], brief[y, -COUNTS:])
+            most = np.where((most == 15).any(1), size[y], most.sum(1, dtype=np.int64))
+            keep = similar(most, size[x] + size[y])
+            x, y = x[keep], y[keep]
             if len(x):
-                yield pd.DataFrame({"a": np.minimum(cls[x], cls[x - d]), "b": np.maximum(cls[x], cls[x - d])})
+                yield pd.DataFrame({"a": np.minimum(cls[x], cls[y]), "b": np.maximum(cls[x], cls[y]), "band": band[x], "n": n[x]})
 
 
-def _clusters(marks: DataFrame, column: str) -> DataFrame:
-    """``(sig, cluster)``: equal signatures are one class, named by its smallest file; any two classes that share a band
-    are linked if the exact Jaccard similarity of their shingle sets is SIMILAR."""
-    sigs = cut(marks.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("sig")).agg(F.min("file_id").alias("cls")))
-    sets = marks.where(F.col(column).isNotNull()).select(F.col("file_id").alias("cls"), F.col(f"{column}_set").alias("set"))
+def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs whose exact Jaccard similarity is SIMILAR. A group's sets come before its pairs and are held."""
+    key, sets = None, {}
+    for pdf in batches:
+        good = []
+        for band, p, q, a, b, held in zip(*(pdf[c].tolist() for c in ("band", "p", "q", "a", "b", "set")), strict=True):
+            if (band, p, q) != key:
+                key, sets = (band, p, q), {}
+            if held is not None:
+                sets[a] = frozenset(np.frombuffer(held, dtype=np.uint32).tolist())
+            else:
+                x, y = sets[a], sets[int(b)]
+                if similar(len(x & y), len(x) + len(y)):
+                    good.append((a, int(b)))
+        yield pd.DataFrame(good, columns=["a", "b"])
+
+
+def brief_of(signatures: np.ndarray, sets: list[np.ndarray]) -> list[bytes]:
+    """Four bits of each signature value and the counts of the shingles by hash, two to a byte."""
+    counts = np.stack([np.minimum(np.bincount(x % COUNTS, minlength=COUNTS), 15) for x in sets]).astype(np.uint8)
+    whole = np.concatenate(((signatures & np.uint16(15)).astype(np.uint8), counts), axis=1)
+    return [x.tobytes() for x in whole[:, ::2] | whole[:, 1::2] << 4]
+
+
+def _clusters(marks: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``(file_id, cls)`` and ``(cls, cluster)``: files of equal signatures are one class, named by its smallest file; any
+    two classes that share a band are linked if the exact Jaccard similarity of their shingle sets is SIMILAR."""
+    keys = marks.where(F.col(column).isNotNull()).select("file_id", F.col(f"{column}_key").alias("key"))
+    classes = cut(keys.join(keys.groupBy("key").agg(F.min("file_id").alias("cls")), "key").select("file_id", "cls"))
+    copies = classes.where("file_id <> cls").select("file_id").distinct()
+    few = copies.limit(FEW + 1).count() <= FEW
+    heads = marks.where(F.col(column).isNotNull()).select("file_id", F.col(column).alias("sig"), F.col(f"{column}_set").alias("set"))
+    sets = heads.select(F.col("file_id").alias("cls"), "set")
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                m = np.stack([np.frombuffer(x, dtype=np.uint16) for x in pdf["sig"]])
-                low, m = m.astype(np.uint8), m.reshape(len(pdf), BANDS, ROWS).astype(np.uint64)
+                sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(len(pdf), -1)
+                m = sig.reshape(len(pdf), BANDS, ROWS).astype(np.uint64)
                 h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64)[None], m.shape[:2])
                 with np.errstate(over="ignore"):
                     for r in range(ROWS):
                         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r] + np.uint64(1))
                 shingles = [np.frombuffer(x, dtype=np.uint32) for x in pdf["set"]]
-                counts = [np.minimum(np.bincount(x % COUNTS, minlength=COUNTS), 255).astype(np.uint8) for x in shingles]
-                yield pd.DataFrame({"cls": pdf["cls"], "bands": list(h.view(np.int64)), "brief": [np.concatenate(x).tobytes() for x in zip(low, counts, strict=True)], "size": [len(x) for x in shingles]})
+                yield pd.DataFrame({"cls": pdf["file_id"], "bands": list(h.view(np.int64)), "brief": brief_of(sig, shingles), "size": [len(x) for x in shingles]})
 
-    told = cut(sigs.join(sets, "cls").mapInPandas(tell, "cls bigint, bands array<bigint>, brief binary, size int"))
+    own = heads.join(F.broadcast(copies) if few else copies, "file_id", "left_anti")
+    told = cut(own.mapInPandas(tell, "cls bigint, bands array<bigint>, brief binary, size int"))
     banded = told.select("cls", F.explode("bands").alias("band"))
-    common = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    common = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = banded.join(common, "band").join(told.select("cls", "brief", "size"), "cls")
-    pairs = met.repartition("band").sortWithinPartitions("band", "size", "cls").mapInPandas(shared_band, "a bigint, b bigint").distinct()
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
-
-    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            good = []
-            for x, y in zip(pdf["sa"], pdf["sb"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-                every = np.sort(np.concatenate((x, y)))
-                good.append(bool(similar(np.count_nonzero(every[1:] == every[:-1]), len(every))))
-            yield pdf[["a", "b"]][good]
-
-    good = both.mapInPandas(verified, "a bigint, b bigint")
-    joined = connected_components(good, "a", "b", "cls", "cluster")
-    return sigs.join(joined, "cls", "left").select("sig", F.coalesce("cluster", "cls").alias("cluster"))
+    pairs = met.repartition("band").sortWithinPartitions("band", "size", "cls").mapInPandas(shared_band, "a bigint, b bigint, band bigint, n bigint")
+    # A pair is verified once, in the largest of its bands, so that a file's shingle set travels with few bands.
+    pairs = pairs.where("a <> b").groupBy("a", "b").agg(F.max(F.struct("n", "band")).alias("m"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("m.n") / BLOCK))
+    pairs = cut(pairs.select("a", "b", "m.band", F.least(block("a"), block("b")).alias("p"), F.greatest(block("a"), block("b")).alias("q")))
+    members = pairs.select("band", "p", "q", F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls").select("band", "p", "q", F.col("cls").alias("a"), F.lit(None).cast("bigint").alias("b"), "set")
+    both = members.unionByName(pairs.withColumn("set", F.lit(None).cast("binary")))
+    good = both.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", F.col("b").isNotNull()).mapInPandas(verified, "a bigint, b bigint")
+    return classes, connected_components(good, "a", "b", "cls", "cluster")
 
 
 def unwritten_files(files: DataFrame, file_id: str, repo: str, path: str, content: str) -> DataFrame:
@@ -320,20 +379,22 @@ def unwritten_files(files: DataFrame, file_id: str, repo: str, path: str, conten
     Reasons: ``tool``, ``minified``, ``data``, ``vendored``. Repeated rows of an id count once; null ids are left out;
     null or empty content, markup saved under a program's name and notes (.md) are never cases.
     """
-    marks = cut(file_marks(files, file_id, repo, path, content).dropDuplicates(["file_id"]))
+    marks = cut(file_marks(files, file_id, repo, path, content))  # a repeated row repeats its marks, which changes no pair
     shown = marks.where("shown is not null").select("file_id", F.col("shown").alias("reason"))
+    named = marks.where("raw is not null").select("file_id", "repo", "place", "listed", "shown").dropDuplicates(["file_id"])
+
+    def clustered(column: str, name: str) -> DataFrame:
+        classes, joined = _clusters(marks, column)
+        return classes.join(joined, "cls", "left").groupBy("file_id").agg(F.min(F.coalesce("cluster", "cls")).alias(name))
 
-    raw = _clusters(marks, "raw")
-    named = marks.where("raw is not null").select("file_id", "repo", "place", "listed", "raw", "masked", "shown")
-    alike = named.join(raw.select(F.col("sig").alias("raw"), F.col("cluster").alias("c")), "raw").drop("raw")
+    alike = cut(named.join(clustered("raw", "c"), "file_id").join(clustered("masked", "f"), "file_id"))
     # Copies across repositories, equal signatures included.
     spread = alike.groupBy("c").agg(F.min("repo").alias("r1"), F.max("repo").alias("r2"), F.max(F.when(F.col("shown") == "vendored", 1).otherwise(0)).alias("noted"))
     vendored = alike.join(spread.where("r1 <> r2 or noted = 1").select("c"), "c").select("file_id", F.lit("vendored").alias("reason"))
 
     # Families: masked alike, but several different token clusters. Two members that are at least half show a tool's or
     # data's mark; or the members in one directory differ among themselves; or all are literals only.
-    family = _clusters(marks, "masked")
-    kin = alike.join(family.select(F.col("sig").alias("masked"), F.col("cluster").alias("f")), "masked").drop("masked")
+    kin = alike
     marked = F.col("shown").isin("tool", "data")
     size = kin.groupBy("f").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n"), F.max(F.when(marked, F.col("shown"))).alias("mark"), F.count_if(marked).alias("marked"))
     families = kin.join(size.where("c1 <> c2 and marked >= 2 and marked * 2 >= n").select("f", "mark"), "f").select("file_id", F.col("mark").alias("reason"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from corpusloom.functions.rolling import window_hashes
 from corpusloom.llm.provenance import BANDS, COUNTS, ROWS, SHINGLE, SIMILAR, _TOKEN, Tokens, _clusters, evidence, shared_band, shingle_set, signature, unwritten_files
@@ -46,23 +47,26 @@ def _sets(rng):
 def test_every_pair_of_a_band_is_compared_exactly(spark):
     sets, groups = _sets(np.random.default_rng(4))
     rows = [(i, bytearray(signature(s).tobytes()), bytearray(shingle_set(s))) for i, s in enumerate(sets)]
-    marks = spark.createDataFrame(rows, "file_id long, raw binary, raw_set binary")
-    cluster = {r["sig"]: r["cluster"] for r in _clusters(marks, "raw").collect()}
-    got = [cluster[bytes(r[1])] for r in rows]
+    marks = spark.createDataFrame([(*r, r[1]) for r in rows] + [(*rows[0], rows[0][1]), (99, *rows[3][1:], rows[3][1])], "file_id long, raw binary, raw_set binary, raw_key binary")
+    classes, joined = _clusters(marks, "raw")
+    cluster = {r["file_id"]: r["c"] for r in classes.join(joined, "cls", "left").selectExpr("file_id", "coalesce(cluster, cls) c").distinct().collect()}
+    got = [cluster[i] for i in range(36)]
+    assert cluster[99] == got[3]
     jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert all(jaccard(sets[i], sets[j]) < SIMILAR for i in range(36) for j in range(36) if groups[i] != groups[j])
     assert all((got[i] == got[j]) == (groups[i] == groups[j]) for i in range(36) for j in range(36))
 
 
-def test_bands_go_on_over_batches():
+@pytest.mark.parametrize("held", [30, 100])
+def test_bands_go_on_over_batches(held):
     rng = np.random.default_rng(1)
     sizes = np.sort(rng.integers(50, 99, 60))
-    same = bytes(ROWS * BANDS) + bytes([9] * COUNTS)
-    rows = pd.DataFrame({"band": [7] * 30 + [8] * 30, "cls": rng.permutation(60), "size": np.concatenate((sizes[::2], sizes[1::2])), "brief": [same] * 60})
+    same = bytes(ROWS * BANDS // 2) + bytes([0x99] * (COUNTS // 2))
+    rows = pd.DataFrame({"band": [7] * 30 + [8] * 30, "cls": rng.permutation(60), "size": np.concatenate((sizes[::2], sizes[1::2])), "brief": [same] * 60, "n": held})
     want = {(min(a.cls, b.cls), max(a.cls, b.cls)) for a in rows.itertuples() for b in rows.itertuples() if a.cls != b.cls and a.band == b.band and min(a.size, b.size) >= SIMILAR * max(a.size, b.size)}
     for step in (1, 7, 60):
         got = pd.concat(list(shared_band(rows[i : i + step] for i in range(0, 60, step))))
-        assert sorted(map(tuple, got.values.tolist())) == sorted(want)
+        assert sorted(map(tuple, got[["a", "b"]].values.tolist())) == sorted(want)
 
 
 def _shown(path, text):
@@ -80,3 +84,16 @@ def test_banners_below_the_head():
     assert _shown("src/a.py", "import os\n# Copyright (c) 2019 the foo authors\n" + code) == "vendored"
     for text in (code + "# generated ids are cached here\n", code + "    # @generated files are skipped\n", code + "# used to be generated by tool, now maintained by hand\n", "x = '\\n# DO NOT EDIT'\n", code + "# do not edit without telling the owners, reviewed by hand\n", code + "# see the licence https://x.example\n"):
         assert _shown("src/a.py", text) is None, text
+
+
+def test_signatures_estimate_the_exact_similarity():
+    """The cheap hash functions behave as independent ones: agreement and shared bands of pairs at 0.8."""
+    rng = np.random.default_rng(8)
+    agree, shared = [], 0
+    for _ in range(400):
+        core, a, b = (rng.integers(0, 2**62, n, dtype=np.uint64) for n in (160, 20, 20))
+        x, y = signature(np.concatenate((core, a))), signature(np.concatenate((core, b)))
+        agree.append((x == y).mean())
+        shared += (x == y).reshape(BANDS, ROWS).all(1).any()
+    assert abs(np.mean(agree) - 0.8) < 0.01 and np.std(agree) < 1.15 * (0.8 * 0.2 / (ROWS * BANDS)) ** 0.5
+    assert shared == 400 and min(agree) >= 0.64
