@@ -5,20 +5,22 @@ from __future__ import annotations
 import ast
 import difflib
 import hashlib
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.operators.setsim import jaccard_join
+from corpusloom.functions.python_ast import complexity_of, features_of, neutral_identifiers, parsed, renamed, tree_outline
+from corpusloom.operators.setsim import jaccard_classes
 from corpusloom.runtime import cut
 
 #: A function or class becomes a block from this many lines on; fixed values of the job.
 LEAST_LINES = 5
 NEAR, STRUCTURAL = 0.85, 0.70
-LINES_SHARED = 0.4
+LINES_SHARED, SHAPES_SHARED = 0.4, 0.6
+BOILERPLATE = r"from fastapi import|from pydantic import|import uvicorn|if __name__ == [\"']__main__[\"']|app = FastAPI\(|@app\.(get|post|put|patch|delete)|HTTPException|status_code="
 
 
 def normalized_code(code: str | Column) -> Column:
@@ -35,55 +37,27 @@ def code_fingerprint(code: str | Column) -> Column:
     return F.md5(normalized_code(code))
 
 
-class _Renamer(ast.NodeTransformer):
-    """Gives names, functions and classes neutral names in order of appearance."""
+def _block(node: ast.AST, kind: str, lines: list[str]) -> tuple:
+    """A function or class as a block: its text, complexity, calls, signature, decorators and forms without names."""
+    calls = sorted({ast.unparse(n.func) for n in ast.walk(node) if isinstance(n, ast.Call)})[:20]
+    decorators = ",".join(map(ast.unparse, node.decorator_list))
+    signature = f"{node.name}({', '.join(map(ast.unparse, node.bases))})" if kind == "class" else f"{node.name}({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
+    code = "\n".join(lines[node.lineno - 1 : node.end_lineno])
+    outline = hashlib.md5(tree_outline(node).encode()).hexdigest()
+    dump = ast.dump(renamed(ast.parse(ast.unparse(node))))[:2000]
+    return kind, node.name, code, node.lineno, node.end_lineno, complexity_of(node), ",".join(calls), signature, decorators, hashlib.md5(dump.encode("utf-8", "surrogatepass")).hexdigest(), outline
 
-    def __init__(self) -> None:
-        self.given: dict[tuple[str, str], str] = {}
 
-    def _name(self, kind: str, name: str) -> str:
-        return self.given.setdefault((kind, name), f"{kind}_{len(self.given)}")
-
-    def visit_Name(self, node: ast.Name) -> ast.AST:  # noqa: N802
-        return ast.copy_location(ast.Name(self._name("VAR", node.id), node.ctx), node)
-
-    def visit_FunctionDef(self, node: ast.FunctionDef) -> ast.AST:  # noqa: N802
-        node.name = self._name("FUNC", node.name)
-        self.generic_visit(node)
-        return node
-
-    visit_AsyncFunctionDef = visit_FunctionDef  # noqa: N815
-
-    def visit_ClassDef(self, node: ast.ClassDef) -> ast.AST:  # noqa: N802
-        node.name = self._name("CLASS", node.name)
-        self.generic_visit(node)
-        return node
-
-
-def complexity_of(node: ast.AST) -> int:
-    """One more than the branches: if, loops, handlers, with, assert, comprehensions and extra operands of and/or."""
-    kinds = (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.With, ast.Assert, ast.comprehension)
-    return 1 + sum(isinstance(n, kinds) + (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) for n in ast.walk(node))
-
-
-def blocks_of(text: str) -> list[tuple[str, str, str, int, int, int, str, str]]:
-    """``(type, name, code, start, end, complexity, calls, shape)`` of a file's functions and classes; a file that
-    doesn't parse is one segment."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        lines = [line for line in text.split("\n") if line.strip()]
-        return [("segment", "<file>", text[:2000], 1, text.count("\n") + 1, 0, "", "")] if len(lines) >= LEAST_LINES else []
-    lines, out = text.split("\n"), []
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and node.end_lineno - node.lineno >= LEAST_LINES:
-            calls = sorted({ast.unparse(n.func) for n in ast.walk(node) if isinstance(n, ast.Call)})[:20]
-            shape = hashlib.md5(ast.dump(_Renamer().visit(ast.parse(ast.unparse(node)))).encode()).hexdigest()
-            kind = "class" if isinstance(node, ast.ClassDef) else "function"
-            out.append((kind, node.name, "\n".join(lines[node.lineno - 1 : node.end_lineno]), node.lineno, node.end_lineno, complexity_of(node), ",".join(calls), shape))
-    return out
+def blocks_of(text: str) -> list[tuple]:
+    """``(type, name, code, start, end, complexity, calls, signature, decorators, shape, outline)`` of a file's functions
+    and classes; a file that doesn't parse is one segment. Equal shapes differ in names and long literals only."""
+    tree = parsed(text)
+    lines = text.split("\n")
+    if tree is None:
+        told = [line for line in lines if line.strip()]
+        return [("segment", "<file>", text[:2000], 1, len(lines), 0, "", "", "", "", "")] if len(told) >= LEAST_LINES else []
+    kinds = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.ClassDef: "class"}
+    return [_block(node, kinds[type(node)], lines) for node in ast.walk(tree) if type(node) in kinds and node.end_lineno - node.lineno >= LEAST_LINES]
 
 
 def extract_blocks(files: DataFrame, file_id: str, path: str, content: str) -> DataFrame:
@@ -91,51 +65,94 @@ def extract_blocks(files: DataFrame, file_id: str, path: str, content: str) -> D
     rows = files.select(F.col(file_id).cast("bigint").alias("file_id"), F.col(content).alias("text")).where(F.col(path).endswith(".py") & F.col("file_id").isNotNull() & F.col("text").isNotNull())
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["file_id", "block_type", "name", "code", "start_line", "end_line", "complexity", "calls", "shape"]
+        names = ["file_id", "block_type", "name", "code", "start_line", "end_line", "complexity", "calls", "signature", "decorators", "shape", "outline"]
         for pdf in batches:
             yield pd.DataFrame([(i, *b) for i, t in zip(pdf["file_id"], pdf["text"], strict=True) for b in blocks_of(t)], columns=names)
 
-    return rows.mapInPandas(extract, "file_id bigint, block_type string, name string, code string, start_line int, end_line int, complexity int, calls string, shape string")
+    return rows.mapInPandas(extract, "file_id bigint, block_type string, name string, code string, start_line int, end_line int, complexity int, calls string, signature string, decorators string, shape string, outline string")
+
+
+def file_features(files: DataFrame, file_id: str, repo: str, path: str, content: str) -> DataFrame:
+    """``(file_id, repo, kind, value, number)``: the features of every Python file's syntax tree, in one pass; null ids and
+    files that don't parse give none, repeated rows repeat theirs."""
+    rows = files.select(F.col(file_id).cast("bigint").alias("file_id"), F.col(repo).alias("repo"), F.col(content).alias("text")).where(F.col(path).endswith(".py") & F.col("file_id").isNotNull())
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(i, r, *row) for i, r, t in zip(pdf["file_id"], pdf["repo"], pdf["text"], strict=True) for row in features_of(t)]
+            yield pd.DataFrame(out, columns=["file_id", "repo", "kind", "value", "number"])
+
+    return rows.mapInPandas(walk, "file_id bigint, repo string, kind string, value string, number double")
 
 
-def _ratio(x: str, y: str) -> float:
+def string_ratio(x: str, y: str, least: float = 0.0) -> float:
     """The sequence matcher's ratio, or 0 where its upper bounds already stay below the least that counts."""
     matcher = difflib.SequenceMatcher(None, x, y)
-    if matcher.real_quick_ratio() < STRUCTURAL or matcher.quick_ratio() < STRUCTURAL:
+    if matcher.real_quick_ratio() < least or matcher.quick_ratio() < least:
         return 0.0
     return matcher.ratio()
 
 
-def near_copies(blocks: DataFrame, block_id: str, repo: str, code: str) -> DataFrame:
-    """``(id_a, id_b, similarity, match_type)``: blocks of different repositories that are alike but not equal.
+def _judged(x: str, y: str, cx: str, cy: str) -> tuple[float, str] | None:
+    """Similarity and kind of a pair: near exact by its texts, or structural where only the names differ."""
+    same = string_ratio(x, y, STRUCTURAL)
+    if same < STRUCTURAL:
+        return None
+    shape = string_ratio(neutral_identifiers(cx), neutral_identifiers(cy))
+    if same >= NEAR:
+        return max(same, shape), "near_exact"
+    return (shape, "structural") if shape >= NEAR else None
 
-    Candidates have a Jaccard similarity of their normalised lines of ``LINES_SHARED`` or more and differ by at most a third of their lines (five at least).
-    The ratio is the sequence matcher's, from the smaller to the larger id of the equal texts' first blocks.
-    """
-    norm = blocks.select(F.col(block_id).alias("id"), F.col(repo).alias("repo"), normalized_code(code).alias("n")).where("id is not null and n is not null").dropDuplicates(["id"])
-    # Equal texts of a repository are one candidate; their other members join the result at the end.
-    own = norm.groupBy("repo", "n").agg(F.min("id").alias("c"))
-    members = cut(norm.join(own, ["repo", "n"]).select("id", "c"))
-    classes = cut(own.withColumn("l", F.split("n", "\n")).where(F.size("l") >= 3).select(F.col("c").alias("id"), "repo", "n", F.size("l").alias("lines")))
-    # Candidates by an exact set join on lines: prefix filtering lets only rare lines meet.
-    lines = classes.select("id", F.explode(F.split("n", "\n")).alias("line"))
-    near = cut(jaccard_join(lines, "id", "line", LINES_SHARED).select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))
-    facts = classes.select("id", "repo", "lines")
-    pairs = near.join(facts.toDF("id_a", "repo_a", "lines_a"), "id_a").join(facts.toDF("id_b", "repo_b", "lines_b"), "id_b")
-    # The cheap rule on the number of lines comes before any text is looked at.
-    close = F.abs(F.col("lines_a") - F.col("lines_b")) <= F.greatest(F.lit(5.0), 0.3 * F.col("lines_a"))
-    pairs = pairs.where("repo_a <> repo_b").where(close).select("id_a", "id_b")
-    texts = classes.select("id", "n")
-    both = pairs.join(texts.toDF("id_a", "ta"), "id_a").join(texts.toDF("id_b", "tb"), "id_b").where("ta <> tb")
-
-    def ratio(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [_ratio(x, y) for x, y in zip(pdf["ta"], pdf["tb"], strict=True)]
-            yield pd.DataFrame({"id_a": pdf["id_a"], "id_b": pdf["id_b"], "similarity": got})
 
-    scored = both.mapInPandas(ratio, f"id_a {dict(norm.dtypes)['id']}, id_b {dict(norm.dtypes)['id']}, similarity double").where(F.col("similarity") >= STRUCTURAL)
-    x, y = members.toDF("ia", "id_a"), members.toDF("ib", "id_b")
-    scored = scored.join(x, "id_a").join(y, "id_b").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity")
-    return scored.withColumn("match_type", F.when(F.col("similarity") >= NEAR, "near_exact").otherwise("structural")).withColumn("similarity", F.round("similarity", 6))
+def distinct_blocks(blocks: DataFrame, block_id: str, repo: str, code: str) -> DataFrame:
+    """``(id, repo, n, code, t)``: every block with its normalised text and ``t``, the smallest id of that text. Null ids
+    and codes, empty texts and blocks with boilerplate are left out; repeated rows of an id count once."""
+    rows = blocks.select(F.col(block_id).alias("id"), F.col(repo).alias("repo"), F.col(code).alias("code")).where("id is not null and code is not null").dropDuplicates(["id"])
+    norm = rows.where(~F.regexp_like("code", F.lit(BOILERPLATE))).withColumn("n", normalized_code("code")).where("n <> ''")
+    return norm.join(norm.groupBy("n").agg(F.min("id").alias("t")), "n").select("id", "repo", "n", "code", "t")
+
 
+def _alike(lines: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``, a < b: texts whose sets of lines reach the threshold, those of equal sets included."""
+    pairs, owners = jaccard_classes(lines, "t", "line", threshold)
+    owners = cut(owners.select("e", "c"))
+    x, y = owners.toDF("ea", "a"), owners.toDF("eb", "b")
+    across = pairs.select("a", "b").join(x, "a").join(y, "b")
+    within = owners.toDF("ea", "c").join(owners.toDF("eb", "c"), "c").where("ea < eb")
+    return across.select("ea", "eb").unionByName(within.select("ea", "eb")).select(F.least("ea", "eb").alias("a"), F.greatest("ea", "eb").alias("b"))
 
+
+def near_copies(blocks: DataFrame, block_id: str, repo: str, code: str) -> DataFrame:
+    """``(id_a, id_b, similarity, match_type)``, id_a < id_b: different texts that stand in different repositories and are
+    alike; an id stands for all blocks of its text (``distinct_blocks`` has the membership), so copies are not spelt out.
+
+    Candidates share lines to a Jaccard similarity of ``LINES_SHARED``, as they stand or with names and numbers masked
+    (``SHAPES_SHARED``), exact by prefix filtering, and differ by at most three tenths of the longer one's lines, five at
+    least. Similarity and kind follow the job's rules: ``near_exact`` from a text ratio of 0.85 on, ``structural`` from 0.7
+    on where the ratio with neutral names reaches 0.85. The ratio is the sequence matcher's, from the smaller id on.
+    """
+    norm = cut(distinct_blocks(blocks, block_id, repo, code))
+    kind = dict(norm.dtypes)["id"]
+    texts = cut(norm.groupBy("t").agg(F.min("repo").alias("first"), F.max("repo").alias("last"), F.min_by("n", "id").alias("n"), F.min_by("code", "id").alias("code")).withColumn("lines", F.size(F.split("n", "\n"))))
+    lines = cut(texts.select("t", F.posexplode(F.split("n", "\n")).alias("pos", "line")))
+    shape = F.regexp_replace("line", r"[A-Za-z_]\w*|\d+", "v")
+    # Of equal masked lines of a text the second is another element than the first, so that few shapes don't make all alike.
+    nth = F.row_number().over(W.partitionBy("t", "shape").orderBy("pos"))
+    shapes = lines.withColumn("shape", shape).select("t", F.concat_ws("#", "shape", nth.cast("string")).alias("line"))
+    near = _alike(lines, LINES_SHARED).unionByName(_alike(shapes, SHAPES_SHARED)).distinct()
+    facts = texts.select("t", "first", "last", "lines")
+    pairs = near.join(facts.toDF("a", "fa", "la", "na"), "a").join(facts.toDF("b", "fb", "lb", "nb"), "b")
+    close = F.abs(F.col("na") - F.col("nb")) <= F.greatest(F.lit(5.0), 0.3 * F.greatest("na", "nb"))
+    pairs = cut(pairs.where(close & ~((F.col("fa") == F.col("lb")) & (F.col("la") == F.col("fb")))).select("a", "b"))
+    both = pairs.join(texts.select(F.col("t").alias("a"), F.col("n").alias("ta"), F.col("code").alias("ca")), "a").join(texts.select(F.col("t").alias("b"), F.col("n").alias("tb"), F.col("code").alias("cb")), "b")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for a, b, *four in zip(*(pdf[c].tolist() for c in ("a", "b", "ta", "tb", "ca", "cb")), strict=True):
+                got = _judged(*four)
+                if got:
+                    out.append((a, b, round(got[0], 6), got[1]))
+            yield pd.DataFrame(out, columns=["id_a", "id_b", "similarity", "match_type"])
+
+    return both.mapInPandas(judge, f"id_a {kind}, id_b {kind}, similarity double, match_type string")

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import cut
 
-def jaccard_join(members: DataFrame, entity: str, element: str, threshold: float) -> DataFrame:
-    """``(a, b, shared, jaccard)``, a < b: entities whose element sets have a Jaccard similarity of ``threshold`` or more.
+
+def jaccard_classes(members: DataFrame, entity: str, element: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b, shared, jaccard)``, a < b, of classes whose element sets have a Jaccard similarity of ``threshold``
+    or more, and the membership ``(e, c, n)``: entities of equal sets are one class, named by the smallest; n elements.
 
     Exact, by prefix filtering: elements are ordered from rare to frequent, and two sets that reach the threshold share
-    an element among their first ``n - ceil(threshold n) + 1``. So frequent elements hardly ever meet in the join, and
-    entities with equal sets are one class until the end. Nulls are left out, repeated elements count once.
+    an element among their first ``n - ceil(threshold n) + 1``. So frequent elements hardly ever meet in the join.
+    Nulls are left out, repeated elements count once.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     long = members.select(F.col(entity).alias("e"), F.col(element).alias("v")).where("e is not null and v is not null").distinct()
     sets = long.groupBy("e").agg(F.array_sort(F.collect_set("v")).alias("vs"))
-    classes = sets.groupBy("vs").agg(F.min("e").alias("c"))
-    owners = sets.join(classes, "vs").select("e", "c")
+    classes = cut(sets.groupBy("vs").agg(F.min("e").alias("c")))
+    owners = sets.join(classes, "vs").select("e", "c", F.size("vs").alias("n"))
     elements = classes.select("c", F.explode("vs").alias("v"), F.size("vs").alias("n"))
     ranked = elements.join(elements.groupBy("v").agg(F.count("*").alias("df")), "v")
     ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy("c").orderBy("df", "v")))
@@ -29,8 +32,15 @@ def jaccard_join(members: DataFrame, entity: str, element: str, threshold: float
     full = classes.select("c", "vs")
     both = near.join(full.toDF("a", "va"), "a").join(full.toDF("b", "vb"), "b")
     shared = F.size(F.array_intersect("va", "vb"))
-    scored = both.select("a", "b", shared.alias("shared"), (shared / (F.size("va") + F.size("vb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
-    same = classes.select(F.col("c").alias("a"), F.col("c").alias("b"), F.size("vs").alias("shared"), F.lit(1.0).alias("jaccard"))
-    x, y = owners.toDF("ea", "a"), owners.toDF("eb", "b")
-    out = scored.unionAll(same).join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.col("ea") < F.col("eb")))
-    return out.select(F.least("ea", "eb").alias("a"), F.greatest("ea", "eb").alias("b"), F.col("shared").cast("bigint").alias("shared"), F.round("jaccard", 6).alias("jaccard"))
+    scored = both.select("a", "b", shared.cast("bigint").alias("shared"), (shared / (F.size("va") + F.size("vb") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
+    return scored.withColumn("jaccard", F.round("jaccard", 6)), owners
+
+
+def linked_entities(pairs: DataFrame, owners: DataFrame) -> DataFrame:
+    """``(e, c, links)``: every entity with its class and the number of other entities it is linked to, copies included;
+    counted by class, so no group of copies is spelt out."""
+    sizes = cut(owners.groupBy("c").agg(F.count("*").alias("m")))
+    both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(sizes.withColumnRenamed("c", "b"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("m").alias("far"))
+    links = sizes.join(far, "c", "left").select("c", (F.col("m") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+    return owners.join(links, "c").select("e", "c", "links")

@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.blocks import code_fingerprint, extract_blocks, near_copies
+from corpusloom.operators.blocks import BOILERPLATE, code_fingerprint, distinct_blocks, extract_blocks, near_copies
 from corpusloom.operators.components import connected_components
-from corpusloom.operators.setsim import jaccard_join
-from corpusloom.runtime import read_table
+from corpusloom.operators.setsim import jaccard_classes, linked_entities
+from corpusloom.plans import features, features_sql, pairs, pairs_sql, replies, reports, reports_sql
+from corpusloom.runtime import cut, read_table
 
 _TABLES = "code_block code_match customer documents embeddings events file_embedding function_embedding lineitem nation orders region repo_analysis submission supplier".split()
 
@@ -23,22 +24,18 @@ _BLOCKS = "b AS (SELECT block_id, min(repo) AS repo, min(file_path) AS file_path
 _FUNCS = "f AS (SELECT function_id, min(repo) AS repo, min(name) AS name, min(signature) AS signature, min(docstring) AS doc, max(complexity) AS complexity, max(line_count) AS line_count FROM function_embedding GROUP BY function_id)"
 _PAIRS = """m AS (SELECT match_id, min(lower(trim(repo1))) AS r1, min(lower(trim(repo2))) AS r2, min(similarity) AS sim, min(match_type) AS kind FROM code_match GROUP BY match_id),
 p AS (SELECT match_id, least(r1, r2) AS repo_a, greatest(r1, r2) AS repo_b, sim, kind FROM m WHERE r1 <> '' AND r2 <> '' AND r1 <> r2)"""
-_SCORE = """s AS (SELECT repo_a, repo_b, least(sum(sim * CASE kind WHEN 'exact' THEN 1.0 WHEN 'near_exact' THEN 0.9 WHEN 'structural' THEN 0.85 WHEN 'naming_pattern' THEN 0.3 ELSE 0.5 END) / 3, 1) AS raw, count(*) AS matches FROM p WHERE sim IS NOT NULL GROUP BY repo_a, repo_b),
-v AS (SELECT repo_a, repo_b, matches, round(raw, 6) AS score, CASE WHEN raw >= 0.7 THEN 'HIGH_PLAGIARISM' WHEN raw >= 0.4 THEN 'SUSPICIOUS' WHEN raw >= 0.2 THEN 'NEEDS_REVIEW' ELSE 'likely_clean' END AS verdict FROM s)"""
+_SCORE = """s AS (SELECT repo_a, repo_b, least(coalesce(sum(sim * CASE kind WHEN 'exact' THEN 1.0 WHEN 'near_exact' THEN 0.9 WHEN 'structural' THEN 0.85 WHEN 'naming_pattern' THEN 0.3 ELSE 0.5 END), 0) / 3, 1) AS raw, count(sim) AS matches FROM p GROUP BY repo_a, repo_b),
+v AS (SELECT repo_a, repo_b, matches, round(raw, 6) AS score, CASE WHEN matches = 0 THEN 'clean' WHEN raw >= 0.7 THEN 'HIGH_PLAGIARISM' WHEN raw >= 0.4 THEN 'SUSPICIOUS' WHEN raw >= 0.2 THEN 'NEEDS_REVIEW' ELSE 'likely_clean' END AS verdict FROM s)"""
 _SCANS = "a AS (SELECT scan_id, min(repo) AS repo, max(file_count) AS file_count, max(python_files) AS python_files, max(test_files) AS test_files, max(has_docker) AS has_docker, max(has_readme) AS has_readme, max(has_tests) AS has_tests FROM repo_analysis GROUP BY scan_id)"
 _FILES = "f AS (SELECT file_id, min(repo) AS repo, min(path) AS path, min(ext) AS ext, min(content) AS content, max(line_count) AS line_count, max(code_line_count) AS code_line_count FROM file_embedding GROUP BY file_id)"
 
 SHARED: dict[str, str] = {
-    # The same block in two repositories, one representative a side.
-    "exact_copy_pairs": f"WITH {_BLOCKS}, k AS (SELECT repo, md5(n) AS fp, max(block_id) AS block_id FROM b WHERE n IS NOT NULL AND line_count >= 5 GROUP BY repo, md5(n)) SELECT x.repo AS repo_a, y.repo AS repo_b, count(*) AS copies, max(x.block_id) AS last_a, max(y.block_id) AS last_b FROM k x JOIN k y ON x.fp = y.fp AND x.repo < y.repo GROUP BY x.repo, y.repo",
     # Groups of equal blocks.
     "duplicate_block_groups": f"WITH {_BLOCKS} SELECT md5(n) AS fingerprint, count(*) AS blocks, count(DISTINCT repo) AS repos, min(block_id) AS first_block FROM b WHERE n IS NOT NULL GROUP BY md5(n) HAVING count(*) > 1",
     # Weighted match score and verdict of every matched pair.
     "plagiarism_verdicts": f"WITH {_PAIRS}, {_SCORE} SELECT repo_a, repo_b, matches, score, verdict FROM v",
     # Conditional counts per verdict.
     "verdict_summary": f"WITH {_PAIRS}, {_SCORE} SELECT verdict, count(*) AS pairs, CAST(sum(matches) AS BIGINT) AS matches, max(score) AS top_score FROM v GROUP BY verdict",
-    # Risk class from the best match of each kind.
-    "risk_classes": f"WITH {_PAIRS}, g AS (SELECT repo_a, repo_b, coalesce(max(CASE WHEN kind = 'exact' THEN sim END), 0) * count(CASE WHEN kind = 'exact' THEN 1 END) / count(*) AS fp, coalesce(max(CASE WHEN kind = 'structural' THEN sim END), 0) AS sem, coalesce(max(CASE WHEN kind = 'near_exact' THEN sim END), 0) AS api FROM p GROUP BY repo_a, repo_b) SELECT repo_a, repo_b, CASE WHEN fp >= 0.15 THEN 'HIGH' WHEN fp >= 0.08 OR (sem >= 0.5 AND api >= 0.6) THEN 'MEDIUM' WHEN fp >= 0.03 OR (sem >= 0.4 AND api >= 0.5) THEN 'LOW' ELSE 'OK' END AS risk FROM g",
     # O3: an unordered pair keeps its best row.
     "best_unordered_pair": f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY repo_a, repo_b ORDER BY sim DESC NULLS LAST, match_id) AS nth FROM p) SELECT repo_a, repo_b, match_id, sim, kind FROM r WHERE nth = 1",
     # The first five matches of each pair.
@@ -53,26 +50,16 @@ SHARED: dict[str, str] = {
     "common_name_agreement": f"WITH {_PAIRS}, h AS (SELECT repo, name, max(body_hash) AS body FROM function_embedding WHERE name IS NOT NULL GROUP BY repo, name), q AS (SELECT DISTINCT repo_a, repo_b FROM p) SELECT q.repo_a, q.repo_b, count(*) AS common, count(CASE WHEN x.body = y.body THEN 1 END) AS equal_bodies FROM q JOIN h x ON x.repo = q.repo_a JOIN h y ON y.repo = q.repo_b AND y.name = x.name GROUP BY q.repo_a, q.repo_b",
     # Names that only one side of a matched pair has.
     "anti_symmetric_difference": f"WITH {_PAIRS}, n AS (SELECT DISTINCT repo, name FROM function_embedding WHERE name IS NOT NULL), q AS (SELECT DISTINCT repo_a, repo_b FROM p), d AS (SELECT q.repo_a, q.repo_b, 'a' AS side, x.name FROM q JOIN n x ON x.repo = q.repo_a LEFT JOIN n y ON y.repo = q.repo_b AND y.name = x.name WHERE y.name IS NULL UNION ALL SELECT q.repo_a, q.repo_b, 'b', y.name FROM q JOIN n y ON y.repo = q.repo_b LEFT JOIN n x ON x.repo = q.repo_a AND x.name = y.name WHERE x.name IS NULL) SELECT repo_a, repo_b, side, count(*) AS names FROM d GROUP BY repo_a, repo_b, side",
-    # M16 naming pattern: five or more shared names, held by no more than two repositories' worth of chance.
-    "naming_pattern_pairs": f"WITH n AS (SELECT DISTINCT repo, name FROM function_embedding WHERE name IS NOT NULL AND name NOT IN ('main', 'run', 'setup', 'init', 'get', 'create', 'update', 'delete')), z AS (SELECT repo, count(*) AS names FROM n GROUP BY repo), c AS (SELECT x.repo AS repo_a, y.repo AS repo_b, count(*) AS shared FROM n x JOIN n y ON x.name = y.name AND x.repo < y.repo GROUP BY x.repo, y.repo HAVING count(*) >= 5) SELECT c.repo_a, c.repo_b, c.shared, round(CAST(c.shared AS DOUBLE) / greatest(a.names, b.names), 6) AS similarity FROM c JOIN z a ON a.repo = c.repo_a JOIN z b ON b.repo = c.repo_b",
     # Style of each repository.
     "style_metrics": f"WITH {_FILES} SELECT repo, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines, CAST(sum(code_line_count) AS BIGINT) AS code_lines, round(avg(line_count), 6) AS mean_lines, max(line_count) AS longest, round(CAST(sum(code_line_count) AS DOUBLE) / nullif(sum(line_count), 0), 6) AS code_share FROM f GROUP BY repo",
     # G1: five most frequent extensions of each repository.
     "language_mix_top5": f"WITH {_FILES}, c AS (SELECT repo, ext, count(*) AS files FROM f GROUP BY repo, ext), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY files DESC, ext) AS nth FROM c) SELECT repo, ext, files, CAST(nth AS BIGINT) AS position FROM r WHERE nth <= 5",
-    # Kind of architecture.
-    "architecture_kind": f"WITH {_FILES}, g AS (SELECT repo, count(*) AS files, max(CASE WHEN path LIKE '%/api/%' OR path LIKE '%router%' THEN 1 ELSE 0 END) AS routers, max(CASE WHEN path LIKE '%/models/%' THEN 1 ELSE 0 END) AS models, max(CASE WHEN path LIKE '%/services/%' THEN 1 ELSE 0 END) AS services, max(length(path) - length(replace(path, '/', ''))) AS depth FROM f GROUP BY repo) SELECT repo, files, routers, models, services, CAST(depth AS BIGINT) AS depth, CASE WHEN routers = 1 AND models = 0 THEN 'router-based' WHEN models = 1 AND services = 1 THEN 'mvc' WHEN files <= 3 THEN 'single-file' ELSE 'modular' END AS kind FROM g",
-    # Checklist of project files.
-    "project_checklist": f"WITH {_SCANS}, g AS (SELECT repo, max(has_readme) AS readme, max(has_docker) AS docker, max(has_tests) AS tests, max(coalesce(test_files, 0)) AS test_files FROM a GROUP BY repo) SELECT repo, (CASE WHEN readme THEN 1 ELSE 0 END + CASE WHEN docker THEN 1 ELSE 0 END + CASE WHEN tests THEN 1 ELSE 0 END + CASE WHEN test_files > 0 THEN 1 ELSE 0 END) AS score, concat_ws(',', CASE WHEN NOT coalesce(readme, FALSE) THEN 'readme' END, CASE WHEN NOT coalesce(docker, FALSE) THEN 'docker' END, CASE WHEN NOT coalesce(tests, FALSE) THEN 'tests' END) AS missing FROM g",
-    # Feature points and grade.
-    "creativity_points_grade": f"WITH {_SCANS}, g AS (SELECT repo, CASE WHEN max(python_files) > 0 THEN least(10, 2 * max(python_files)) ELSE 2 END AS feature, CASE WHEN max(test_files) > 0 THEN least(10, 2 * max(test_files)) ELSE 1 END AS quality, CASE WHEN max(has_docker) THEN 8 ELSE 2 END AS technical, CASE WHEN max(has_readme) THEN 8 ELSE 1 END AS extra, CASE WHEN repo LIKE '%queue%' OR repo LIKE '%garden%' THEN 8 ELSE 5 END AS domain FROM a GROUP BY repo) SELECT repo, feature + quality + technical + extra + domain AS total, CASE WHEN feature + quality + technical + extra + domain >= 40 THEN 'A' WHEN feature + quality + technical + extra + domain >= 32 THEN 'B' WHEN feature + quality + technical + extra + domain >= 24 THEN 'C' WHEN feature + quality + technical + extra + domain >= 16 THEN 'D' ELSE 'F' END AS grade FROM g",
     # Snippets of a repository within a budget of characters, tests last, stop at the first overflow.
     "budgeted_snippets": f"WITH {_FILES}, t AS (SELECT repo, path, file_id, CASE WHEN path LIKE '%test%' THEN 1 ELSE 0 END AS is_test, least(length(content), 800) AS size FROM f WHERE ext = '.py'), r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY is_test, path, file_id) AS nth, sum(size) OVER (PARTITION BY repo ORDER BY is_test, path, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM t) SELECT repo, CAST(nth AS BIGINT) AS position, file_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS total FROM r WHERE nth <= 20 AND total <= 12000",
-    # Endpoints declared by decorators.
-    "shared_docstring_evidence": f"WITH {_FUNCS}, d AS (SELECT trim(doc) AS doc, count(DISTINCT repo) AS repos, count(*) AS uses FROM f WHERE length(trim(doc)) > 20 GROUP BY trim(doc)) SELECT md5(doc) AS evidence, repos, uses, CAST(length(doc) AS BIGINT) AS size, CASE WHEN length(doc) > 50 THEN 'investigate' ELSE 'expected' END AS category FROM d WHERE repos > 1",
+    # Docstrings that several repositories share.
+    "shared_docstring_evidence": f"WITH {_FUNCS}, d AS (SELECT trim(doc) AS doc, count(DISTINCT repo) AS repos, count(*) AS uses FROM f WHERE length(trim(doc)) > 20 GROUP BY trim(doc)) SELECT md5(doc) AS evidence, repos, uses, CAST(length(doc) AS BIGINT) AS size, CASE WHEN length(doc) > 50 THEN 'investigate' ELSE 'none' END AS category FROM d WHERE repos > 1",
     # Complexity bands.
     "complexity_by_repo": f"WITH {_FUNCS} SELECT repo, count(*) AS functions, CAST(sum(complexity) AS BIGINT) AS total, max(complexity) AS most, count(CASE WHEN complexity >= 10 THEN 1 END) AS complex, round(avg(complexity), 6) AS mean FROM f GROUP BY repo",
-    # Min-max normalisation to [87, 99] and rank; balances of 1 or less stay out of the range and get 0.
-    "minmax_normalize_rank": "WITH r AS (SELECT c_custkey, c_name, c_acctbal, min(CASE WHEN c_acctbal > 1 THEN c_acctbal END) OVER () AS lo, max(CASE WHEN c_acctbal > 1 THEN c_acctbal END) OVER () AS hi FROM customer), n AS (SELECT c_custkey, c_name, CASE WHEN c_acctbal <= 1 THEN 0.0 WHEN hi = lo THEN 99.0 ELSE round(87 + 12 * (c_acctbal - lo) / (hi - lo), 2) END AS normalized FROM r) SELECT c_custkey, c_name, normalized, CAST(row_number() OVER (ORDER BY normalized DESC, c_name, c_custkey) AS BIGINT) AS position FROM n",
     # Fixed bands.
     "score_band_histogram": "SELECT CASE WHEN s >= 9.5 THEN '9.5' WHEN s >= 8.5 THEN '8.5' WHEN s >= 7.5 THEN '7.5' WHEN s >= 6.5 THEN '6.5' WHEN s >= 5.5 THEN '5.5' ELSE 'below' END AS band, count(*) AS orders FROM (SELECT least(10, o_totalprice / 20000) AS s FROM orders) q GROUP BY 1",
     # Twenty equal bins, the last one closed.
@@ -91,36 +78,6 @@ SHARED: dict[str, str] = {
 
 #: (Spark text, DuckDB text) where the dialects differ.
 DIALECTS: dict[str, tuple[str, str]] = {
-    # Verb and path of route decorators.
-    "endpoint_extraction": (
-        rf"WITH {_FILES}, e AS (SELECT file_id, repo, explode(regexp_extract_all(content, '@(?:app|router)\\.((?:get|post|put|delete|patch|options|head)\\([\"''][^\"'']+)[\"'']', 1)) AS x FROM f) SELECT repo, upper(split_part(x, '(', 1)) AS verb, count(*) AS endpoints, count(DISTINCT substr(x, locate('(', x) + 2)) AS paths FROM e GROUP BY 1, 2",
-        rf"WITH {_FILES}, e AS (SELECT file_id, repo, unnest(regexp_extract_all(content, '@(?:app|router)\.((?:get|post|put|delete|patch|options|head)\([\"''][^\"'']+)[\"'']', 1)) AS x FROM f) SELECT repo, upper(split_part(x, '(', 1)) AS verb, count(*) AS endpoints, count(DISTINCT substr(x, strpos(x, '(') + 2)) AS paths FROM e GROUP BY 1, 2",
-    ),
-    # P20: flags of an API.
-    "api_flags": (
-        rf"WITH {_FILES} SELECT repo, bool_or(contains(content, 'response_model')) AS response_model, bool_or(contains(content, 'HTTPException')) AS exceptions, bool_or(lower(content) RLIKE 'limit|offset|page') AS pagination, bool_or(lower(content) RLIKE 'sort') AS sorting FROM f GROUP BY repo",
-        rf"WITH {_FILES} SELECT repo, bool_or(contains(content, 'response_model')) AS response_model, bool_or(contains(content, 'HTTPException')) AS exceptions, bool_or(regexp_matches(lower(content), 'limit|offset|page')) AS pagination, bool_or(regexp_matches(lower(content), 'sort')) AS sorting FROM f GROUP BY repo",
-    ),
-    # Naming convention of a repository's functions.
-    "naming_convention": (
-        rf"WITH {_FUNCS}, c AS (SELECT repo, count_if(name RLIKE '^[a-z]+(_[a-z0-9]+)+$') AS snake, count_if(name RLIKE '^[a-z]+([A-Z][a-z0-9]*)+$') AS camel, count_if(name RLIKE '^([A-Z][a-z0-9]*)+$') AS pascal FROM f GROUP BY repo) SELECT repo, snake, camel, pascal, CASE WHEN snake + camel + pascal = 0 THEN 'unknown' WHEN snake > camel AND snake > pascal THEN 'snake_case' WHEN camel > snake THEN 'camelCase' WHEN pascal > snake THEN 'PascalCase' ELSE 'mixed' END AS convention FROM c",
-        rf"WITH {_FUNCS}, c AS (SELECT repo, count(*) FILTER (regexp_matches(name, '^[a-z]+(_[a-z0-9]+)+$')) AS snake, count(*) FILTER (regexp_matches(name, '^[a-z]+([A-Z][a-z0-9]*)+$')) AS camel, count(*) FILTER (regexp_matches(name, '^([A-Z][a-z0-9]*)+$')) AS pascal FROM f GROUP BY repo) SELECT repo, snake, camel, pascal, CASE WHEN snake + camel + pascal = 0 THEN 'unknown' WHEN snake > camel AND snake > pascal THEN 'snake_case' WHEN camel > snake THEN 'camelCase' WHEN pascal > snake THEN 'PascalCase' ELSE 'mixed' END AS convention FROM c",
-    ),
-    # Use of frameworks in counts and percent.
-    "framework_usage": (
-        "WITH x AS (SELECT DISTINCT repo, explode(frameworks) AS framework FROM repo_analysis), t AS (SELECT count(DISTINCT repo) AS n FROM repo_analysis) SELECT framework, count(*) AS repos, round(CAST(count(*) AS DOUBLE) * 100 / max(n), 4) AS percent FROM x CROSS JOIN t GROUP BY framework",
-        "WITH x AS (SELECT DISTINCT repo, unnest(frameworks) AS framework FROM repo_analysis), t AS (SELECT count(DISTINCT repo) AS n FROM repo_analysis) SELECT framework, count(*) AS repos, round(CAST(count(*) AS DOUBLE) * 100 / max(n), 4) AS percent FROM x CROSS JOIN t GROUP BY framework",
-    ),
-    # Repositories listed by their set of frameworks.
-    "groups_by_profile": (
-        "WITH x AS (SELECT DISTINCT repo, explode(frameworks) AS w FROM repo_analysis), p AS (SELECT repo, array_join(array_sort(collect_list(w)), '-') AS profile FROM x GROUP BY repo) SELECT profile, count(*) AS repos, min(repo) AS first_repo, max(repo) AS last_repo FROM p GROUP BY profile",
-        "WITH x AS (SELECT DISTINCT repo, unnest(frameworks) AS w FROM repo_analysis), p AS (SELECT repo, array_to_string(list_sort(list(w)), '-') AS profile FROM x WHERE w IS NOT NULL GROUP BY repo) SELECT profile, count(*) AS repos, min(repo) AS first_repo, max(repo) AS last_repo FROM p GROUP BY profile",
-    ),
-    # Dependencies and their pins.
-    "dependency_pins": (
-        "WITH x AS (SELECT DISTINCT repo, explode(dependencies) AS d FROM repo_analysis) SELECT lower(regexp_extract(trim(d), '^([A-Za-z0-9_.-]+)', 1)) AS package, count(*) AS uses, count_if(d RLIKE '==|=|>') AS pinned FROM x WHERE trim(d) <> '' GROUP BY 1",
-        "WITH x AS (SELECT DISTINCT repo, unnest(dependencies) AS d FROM repo_analysis) SELECT lower(regexp_extract(trim(d), '^([A-Za-z0-9_.-]+)', 1)) AS package, count(*) AS uses, count(*) FILTER (regexp_matches(d, '==|=|>')) AS pinned FROM x WHERE trim(d) <> '' GROUP BY 1",
-    ),
     # P5: distinct five-token shingles of a block, the whole text's hash where it is shorter.
     "ngram5_sets": (
         f"WITH {_BLOCKS}, t AS (SELECT block_id, n, filter(split(n, '\\\\s+'), x -> x <> '') AS w FROM b WHERE n IS NOT NULL), g AS (SELECT block_id, substr(md5(array_join(slice(w, i, 5), ' ')), 1, 8) AS h FROM (SELECT block_id, w, explode(sequence(1, size(w) - 4)) AS i FROM t WHERE size(w) >= 5) UNION ALL SELECT block_id, md5(array_join(w, ' ')) FROM t WHERE size(w) < 5) SELECT block_id, count(DISTINCT h) AS shingles, min(h) AS least FROM g GROUP BY block_id",
@@ -136,39 +93,25 @@ DIALECTS: dict[str, tuple[str, str]] = {
         "SELECT label, pos, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, posexplode(embedding) AS (pos, x) FROM embeddings) GROUP BY label, pos",
         "SELECT label, CAST(pos - 1 AS INT) AS pos, round(avg(CAST(embedding[pos] AS DOUBLE)), 6) AS mean FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY label, pos",
     ),
-    # Score from JSON properties by key path, clamped.
-    "json_props_score_chain": (
-        "SELECT event_id, round(least(10, greatest(0, coalesce(try_cast(get_json_object(props, '$.score') AS DOUBLE), try_cast(get_json_object(props, '$.k') AS DOUBLE) / 10))), 6) AS score, CASE WHEN try_cast(get_json_object(props, '$.k') AS DOUBLE) >= 60 THEN 'pass' ELSE 'needs_attention' END AS status FROM events",
-        "SELECT event_id, round(least(10, greatest(0, coalesce(try_cast(json_extract_string(props, '$.score') AS DOUBLE), try_cast(json_extract_string(props, '$.k') AS DOUBLE) / 10))), 6) AS score, CASE WHEN try_cast(json_extract_string(props, '$.k') AS DOUBLE) >= 60 THEN 'pass' ELSE 'needs_attention' END AS status FROM events",
-    ),
-    # Replies that speak of quota, rate or access.
-    "quota_error_classifier": (
-        "SELECT doc_id, CASE WHEN t RLIKE 'quota|429|rate limit|too many requests' THEN 'quota' WHEN t RLIKE 'timeout|timed out' THEN 'timeout' WHEN t RLIKE 'unauthorized|forbidden|401|403' THEN 'access' ELSE 'ok' END AS class FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)",
-        "SELECT doc_id, CASE WHEN regexp_matches(t, 'quota|429|rate limit|too many requests') THEN 'quota' WHEN regexp_matches(t, 'timeout|timed out') THEN 'timeout' WHEN regexp_matches(t, 'unauthorized|forbidden|401|403') THEN 'access' ELSE 'ok' END AS class FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)",
-    ),
-    # Slug and owner/name of a repository address.
-    "repository_slugs": (
-        "SELECT DISTINCT submission_id, left(regexp_replace(regexp_replace(lower(trim(student_name)), '[^a-z0-9]+', '_'), '^_+|_+$', ''), 64) AS slug, regexp_extract(trim(repo_url), '[/:]([^/:]+/[^/]+?)(?:\\\\.git)?/?$', 1) AS ref FROM submission WHERE submission_id IS NOT NULL AND student_name IS NOT NULL AND repo_url IS NOT NULL",
-        "SELECT DISTINCT submission_id, left(regexp_replace(regexp_replace(lower(trim(student_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 64) AS slug, regexp_extract(trim(repo_url), '[/:]([^/:]+/[^/]+?)(?:\\.git)?/?$', 1) AS ref FROM submission WHERE submission_id IS NOT NULL AND student_name IS NOT NULL AND repo_url IS NOT NULL",
-    ),
 }
 
 
 def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    wanted = [t for t in _TABLES if re.search(rf"\b{t}\b", text)]
+    """Runs a text whose tables are handed over as frames, so no view of the session is touched."""
+    named = re.compile(rf"\b(FROM|JOIN) ({'|'.join(_TABLES)})\b")
+    wanted = sorted({m.group(2) for m in named.finditer(text)})
+    asked = named.sub(r"\1 {\2}", text.replace("{", "{{").replace("}", "}}"))
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in wanted:
-            read_table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(text)
+        return spark.sql(asked, **{t: read_table(spark, sf_dir, t) for t in wanted})
 
     return query
 
 
 def dependency_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repositories whose dependency sets are alike by half or more."""
+    """For every repository its class of equal dependency sets and how many others are alike by half or more."""
     table = read_table(spark, sf_dir, "repo_analysis").select("repo", F.explode("dependencies").alias("d"))
-    return jaccard_join(table, "repo", "d", 0.5).withColumnsRenamed({"a": "repo_a", "b": "repo_b"})
+    return linked_entities(*jaccard_classes(table, "repo", "d", 0.5)).select(F.col("e").alias("repo"), F.col("c").alias("cls"), "links")
 
 
 def pooled_label_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +140,7 @@ def intra_cluster_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symmetric matrix of pooled label cosines with a unit diagonal."""
-    half = pooled_label_cosine(spark, sf_dir)
+    half = cut(pooled_label_cosine(spark, sf_dir))
     labels = half.select("label_a").union(half.select("label_b")).distinct()
     full = half.union(half.select("label_b", "label_a", "cosine")).union(labels.select("label_a", F.col("label_a"), F.lit(1.0)))
     return full.groupBy(F.col("label_a").alias("label")).pivot("label_b").agg(F.round(F.first("cosine"), 3))
@@ -216,10 +159,16 @@ def ast_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_copy_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of two repositories with a matching ratio of 0.7 or more."""
+    """Texts of blocks in two repositories that are nearly equal, or equal but for names."""
     return near_copies(read_table(spark, sf_dir, "code_block"), "block_id", "repo", "code")
 
 
+def near_copy_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block that stands for each block's text in ``near_copy_blocks``, and the blocks it stands for."""
+    rows = distinct_blocks(read_table(spark, sf_dir, "code_block"), "block_id", "repo", "code")
+    return rows.select(F.col("id").alias("block_id"), F.col("t").alias("text_id"))
+
+
 _CLUSTER_SQL = """
 WITH RECURSIVE m AS (SELECT DISTINCT lower(trim(repo1)) a, lower(trim(repo2)) b FROM code_match WHERE similarity >= 0.45 AND lower(trim(repo1)) <> '' AND lower(trim(repo2)) <> '' AND lower(trim(repo1)) <> lower(trim(repo2))),
 e AS (SELECT a, b FROM m UNION SELECT b, a FROM m), r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y), c AS (SELECT x AS repo, min(y) AS cluster FROM r GROUP BY x)
@@ -236,12 +185,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "block_fingerprints": block_fingerprints,
     "ast_blocks": ast_blocks,
     "near_copy_blocks": near_copy_blocks,
+    "near_copy_members": near_copy_members,
+    **features.QUERIES,
+    **pairs.QUERIES,
+    **replies.QUERIES,
+    **reports.QUERIES,
 }
 ORACLE: dict[str, str] = {
     **SHARED,
     **{name: duck for name, (_, duck) in DIALECTS.items()},
-    "dependency_jaccard": "WITH x AS (SELECT DISTINCT repo, d FROM (SELECT repo, unnest(dependencies) AS d FROM repo_analysis) WHERE d IS NOT NULL), n AS (SELECT repo, count(*) AS n FROM x GROUP BY repo), c AS (SELECT a.repo AS repo_a, b.repo AS repo_b, count(*) AS shared FROM x a JOIN x b ON a.d = b.d AND a.repo < b.repo GROUP BY 1, 2) SELECT repo_a, repo_b, shared, round(shared / (p.n + q.n - shared), 6) AS jaccard FROM c JOIN n p ON p.repo = repo_a JOIN n q ON q.repo = repo_b WHERE shared / (p.n + q.n - shared) >= 0.5",
+    "dependency_jaccard": "WITH x AS (SELECT DISTINCT repo, d FROM (SELECT repo, unnest(dependencies) AS d FROM repo_analysis) WHERE d IS NOT NULL AND repo IS NOT NULL), n AS (SELECT repo, count(*) AS n, string_agg(d, '|' ORDER BY d) AS k FROM x GROUP BY repo), c AS (SELECT a.repo AS ra, b.repo AS rb, count(*) AS s FROM x a JOIN x b ON a.d = b.d AND a.repo <> b.repo GROUP BY 1, 2), l AS (SELECT ra, count(*) AS links FROM c JOIN n p ON p.repo = ra JOIN n q ON q.repo = rb WHERE s / (p.n + q.n - s) >= 0.5 GROUP BY ra) SELECT n.repo, min(n.repo) OVER (PARTITION BY k) AS cls, coalesce(links, 0) AS links FROM n LEFT JOIN l ON l.ra = n.repo",
     "pooled_label_cosine": "WITH l AS (SELECT label, pos, avg(CAST(embedding[pos] AS DOUBLE)) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM l GROUP BY label) SELECT a.label AS label_a, b.label AS label_b, round(sum(a.m * b.m) / (max(x.n) * max(y.n)), 6) AS cosine FROM l a JOIN l b ON a.pos = b.pos AND a.label < b.label JOIN n x ON x.label = a.label JOIN n y ON y.label = b.label GROUP BY 1, 2",
     "match_clusters": _CLUSTER_SQL + "SELECT cluster, count(*) AS members, max(repo) AS last_member FROM c GROUP BY cluster",
     "intra_cluster_mean": _CLUSTER_SQL + ", t AS (SELECT match_id, min(lower(trim(repo1))) AS a, min(lower(trim(repo2))) AS b, min(similarity) AS s FROM code_match GROUP BY match_id) SELECT cluster, count(*) AS matches, round(avg(s), 6) AS mean_similarity FROM t JOIN c ON t.a = c.repo WHERE s >= 0.45 AND a <> '' AND b <> '' AND a <> b GROUP BY cluster",
+    # The normalisation once more, with patterns for RE2.
+    "block_fingerprints": "SELECT block_id, md5(" + features_sql._NORMAL.replace("content", "c") + ") AS fingerprint FROM (SELECT block_id, min(code) AS c FROM code_block WHERE block_id IS NOT NULL GROUP BY block_id)",
+    "near_copy_members": "WITH b AS (SELECT block_id, " + features_sql._NORMAL.replace("content", "c") + " AS n, c FROM (SELECT block_id, min(code) AS c FROM code_block WHERE block_id IS NOT NULL GROUP BY block_id) WHERE c IS NOT NULL) SELECT block_id, min(block_id) OVER (PARTITION BY n) AS text_id FROM b WHERE n <> '' AND NOT regexp_matches(c, '" + BOILERPLATE.replace("'", "''") + "')",
+    **features_sql.ORACLE,
+    **pairs_sql.ORACLE,
+    **replies.ORACLE,
+    **reports_sql.ORACLE,
 }

@@ -15,8 +15,8 @@ def read_trees(spark: SparkSession, root: str, pattern: str = "*", limit: int |
     Bytes that are no UTF-8 are replaced; ``limit`` keeps the leading characters. Skipped and dot directories are cut off.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    base = root.rstrip("/") + "/"
-    rest = F.element_at(F.split(F.col("path"), base, 2), -1)
+    base = F.lit(root.rstrip("/") + "/")
+    rest = F.substring(F.col("path"), F.locate(root.rstrip("/") + "/", F.col("path")) + F.length(base), F.length("path"))
     files = raw.select(rest.alias("rest"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     files = files.select(F.split("rest", "/")[0].alias("repo"), F.regexp_replace(F.regexp_replace("rest", r"^[^/]+/", ""), r"^repo/", "").alias("path"), "text")
     parts = F.split("path", "/")
@@ -48,3 +48,17 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+def read_pairs(spark: SparkSession, path: str, a: str, b: str, value: str) -> DataFrame:
+    """``(a, b, value)`` of a headed CSV of pairs; a missing column is an error, a value that is no number null."""
+    table = require_columns(spark.read.option("header", "true").option("escape", '"').csv(path), a, b, value)
+    return table.select(F.trim(a).alias(a), F.trim(b).alias(b), F.expr(f"try_cast(`{value}` AS double)").alias(value))
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """``(name, other, value)``, name < other: the pairs of a wide symmetric matrix that are not 0."""
+    table = spark.read.option("header", "true").csv(path)
+    first, *names = table.columns
+    cells = F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.expr(f"try_cast(`{n}` AS double)") for n in names))))
+    return table.select(F.col(f"`{first}`").alias("name"), cells.alias("other", "value")).where("name < other and value <> 0")

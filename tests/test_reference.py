@@ -1,11 +1,12 @@
 import difflib
+from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__
-from corpusloom.operators.blocks import blocks_of, near_copies, normalized_code
-from corpusloom.operators.setsim import jaccard_join
+from corpusloom.operators.blocks import blocks_of, distinct_blocks, near_copies, normalized_code
+from corpusloom.operators.setsim import jaccard_classes, linked_entities
 from corpusloom.plans import reference
 from corpusloom.sources.files import read_submissions, read_trees, require_columns
 
@@ -16,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def test_same_rows_as_sql(spark, name):
     got = reference.QUERIES[name](spark, SF)
     db = duckdb.connect()
-    for t in reference._TABLES:
+    for t in sorted(f.stem for f in Path(SF).glob("*.parquet")):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     text = reference.ORACLE[name]
     columns = sorted(db.sql(text).columns)
@@ -30,26 +31,31 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_jaccard_join_is_exact(spark):
+def test_set_join_is_exact(spark):
     import random
 
     rng = random.Random(4)
-    rows = [(e, rng.randrange(12)) for e in range(40) for _ in range(rng.randrange(1, 7))] + [(None, 1), (3, None), (90, 1), (91, 1)]
+    rows = [(e, rng.randrange(12)) for e in range(40) for _ in range(rng.randrange(1, 7))] + [(None, 1), (3, None), (90, 1), (91, 1), (92, 1)]
     sets = {}
     for e, v in rows:
         if e is not None and v is not None:
             sets.setdefault(e, set()).add(v)
     for t in (0.3, 0.5, 0.8, 1.0):
-        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
-        got = {(r["a"], r["b"]) for r in jaccard_join(spark.createDataFrame(rows, "e long, v long"), "e", "v", t).collect()}
-        assert got == want
+        want = {(a, b) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
+        pairs, owners = jaccard_classes(spark.createDataFrame(rows, "e long, v long"), "e", "v", t)
+        cls = {r["e"]: r["c"] for r in owners.collect()}
+        assert cls == {e: min(x for x in sets if sets[x] == sets[e]) for e in sets}
+        linked = {(r["a"], r["b"]) for r in pairs.collect()}
+        assert {(a, b) for a in sets for b in sets if a != b and (cls[a] == cls[b] or (cls[a], cls[b]) in linked or (cls[b], cls[a]) in linked)} == want
+        links = {r["e"]: (r["c"], r["links"]) for r in linked_entities(pairs, owners).collect()}
+        assert links == {e: (cls[e], sum(a == e for a, _ in want)) for e in sets}
 
 
 def test_blocks_and_normalisation(spark):
     code = "def f(a):\n    # note\n    x = 1\n    for b in a:\n        if b and x:\n            x += g(b)\n    return x\n"
-    kind, name, _, start, end, complexity, calls, shape = blocks_of(code)[0]
-    assert (kind, name, start, end, complexity, calls) == ("function", "f", 1, 7, 4, "g")
-    assert blocks_of(code.replace("x", "y"))[0][-1] == shape
+    kind, name, _, start, end, complexity, calls, signature, _, shape, outline = blocks_of(code)[0]
+    assert (kind, name, start, end, complexity, calls, signature) == ("function", "f", 1, 7, 4, "g", "f(a)")
+    assert blocks_of(code.replace("x", "y"))[0][-2:] == (shape, outline) and blocks_of(code.replace("b and x", "b or x"))[0][-2] != shape
     assert blocks_of("def f(:\n1\n2\n3\n4\n")[0][0] == "segment" and blocks_of("") == []
     df = spark.createDataFrame([(code + '"""d\n"""',)], "c string").select(normalized_code("c").alias("n"))
     assert df.first()["n"].split("\n") == ["def f(a):", "x = 1", "for b in a:", "if b and x:", "x += g(b)", "return x"]
@@ -58,9 +64,20 @@ def test_blocks_and_normalisation(spark):
 def test_near_copies(spark):
     a = "\n".join(f"line_{i} = call_{i}(x)" for i in range(9))
     b = a.replace("line_4", "other")
-    rows = [(1, "r", a), (2, "s", b), (3, "s", a), (4, "t", None), (5, "t", ""), (1, "r", a)]
-    got = {(r["id_a"], r["id_b"]): (r["similarity"], r["match_type"]) for r in near_copies(spark.createDataFrame(rows, "id long, repo string, code string"), "id", "repo", "code").collect()}
-    assert got == {(1, 2): (round(difflib.SequenceMatcher(None, a, b).ratio(), 6), "near_exact")}
+    shape = "def total({0}, {1}):\n    {2} = 0\n    for {3} in {0}:\n        if {3} > {1}:\n            {2} += {3} * 17\n    return {2}"
+    c, d = shape.format("items", "limit", "amount", "entry"), shape.format("rows", "bound", "amount", "one")
+    boiler = c.replace("return", "raise HTTPException or")
+    rows = [(1, "r", a), (2, "s", b), (3, "s", a), (4, "t", None), (5, "t", ""), (1, "r", a), (6, "r", c), (7, "s", d), (8, "q", boiler), (9, "s", c.replace("17", "18"))]
+    df = spark.createDataFrame(rows, "id long, repo string, code string")
+    got = {(r["id_a"], r["id_b"]): (r["similarity"], r["match_type"]) for r in near_copies(df, "id", "repo", "code").collect()}
+    ratio = lambda x, y: round(difflib.SequenceMatcher(None, x, y).ratio(), 6)
+    assert got[1, 2] == (ratio(a, b), "near_exact") and got[6, 7][1] == "structural" and got[6, 7][0] >= 0.85 and got[6, 9][1] == "near_exact"
+    assert (7, 9) not in got and set(got) == {(1, 2), (6, 7), (6, 9)}  # 7 and 9 are of one repository, 8 is boilerplate
+    assert {(r["id"], r["t"]) for r in distinct_blocks(df, "id", "repo", "code").collect()} == {(1, 1), (2, 2), (3, 1), (6, 6), (7, 7), (9, 9)}
+
+
+def test_near_copies_of_nothing(spark):
+    assert near_copies(spark.createDataFrame([], "id long, repo string, code string"), "id", "repo", "code").collect() == []
 
 
 def test_sources(spark, tmp_path):
