@@ -41,6 +41,8 @@ FIRST, LEAST = 40, 21
 COUNTS = 64
 #: Files of one band that meet all others of it by columns of their signatures at once; smaller bands go together.
 STRIP = 64
+#: Pairs that are looked at together.
+PAIRS = 100_000
 #: Files whose shingle sets are held at a time while the pairs of one band are verified.
 BLOCK = 16_384
 #: Fewer tokens say too little to tell a family or a copy.
@@ -112,21 +114,24 @@ class Tokens(dict):
         return np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
 
-_SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+_SEEDS = (mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """MinHash values of a set of shingle hashes; 16 bits of each are kept, enough to compare and to band."""
-    least = np.full(len(_SEEDS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    """MinHash values of a set of shingle hashes; 16 bits of each are kept, enough to compare and to band. The hashes are
+    mixed already, so a multiplication for each value tells as much as independent functions do (see the tests)."""
+    least = np.full(len(_SEEDS), 0xFFFFFFFF, dtype=np.uint32)
+    high = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 4096):
-            np.minimum(least, (shingles[at : at + 4096, None] * _SEEDS[None]).min(0), out=least)
-    return (mix(least) >> np.uint64(48)).astype(np.uint16)
+        for at in range(0, len(high), 1024):
+            np.minimum(least, (high[at : at + 1024] * _SEEDS[None]).min(0), out=least)
+    return (mix(least.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
 def shingle_set(hashes: np.ndarray) -> bytes:
-    """The distinct shingles, by 32 bits of their hashes."""
-    return np.unique((mix(hashes.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)).tobytes()
+    """The distinct shingles of sorted hashes, by their upper 32 bits."""
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    return high[np.concatenate(([True], high[1:] != high[:-1]))].tobytes()
 
 
 def similar(common, sizes):  # noqa: ANN001, ANN201
@@ -285,11 +290,26 @@ def shared_band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         band, cls, size, n = (np.concatenate((x[keep], y)) for x, y in zip((band, cls, size, n), new, strict=True))
         brief = np.concatenate((brief[keep], told))
         first = np.ascontiguousarray(brief[:, :FIRST])
-        met = []
+
+        def similar_of(met: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+            x, y = (np.concatenate(z) for z in zip(*met, strict=True))
+            keep = np.count_nonzero(brief[x, :-COUNTS] == brief[y, :-COUNTS], axis=1) >= AGREE * ROWS * BANDS
+            x, y = x[keep], y[keep]
+            most = np.minimum(brief[x, -COUNTS:], brief[y, -COUNTS:])
+            most = np.where((most == 15).any(1), size[y], most.sum(1, dtype=np.int64))
+            keep = similar(most, size[x] + size[y])
+            x, y = x[keep], y[keep]
+            return pd.DataFrame({"a": np.minimum(cls[x], cls[y]), "b": np.maximum(cls[x], cls[y]), "band": band[x], "n": n[x]})
+
+        met, held = [], 0
         edges = [0, *(np.flatnonzero(band[1:] != band[:-1]) + 1).tolist(), len(band)]
         for s, e in zip(edges, edges[1:], strict=False):
-            if n[s] > STRIP:
-                met.extend((x + s, y + s) for x, y in _earlier(first[s:e], size[s:e], max(0, old - s)))
+            for x, y in _earlier(first[s:e], size[s:e], max(0, old - s)) if n[s] > STRIP else ():
+                met.append((x + s, y + s))
+                held += len(x)
+                if held > PAIRS:
+                    yield similar_of(met)
+                    met, held = [], 0
         near, d = np.arange(old, len(band)), 0
         near = near[n[near] <= STRIP]
         while True:
@@ -300,15 +320,8 @@ def shared_band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 break
             x = near[np.count_nonzero(first[near] == first[near - d], axis=1) >= LEAST]
             met.append((x, x - d))
-        for x, y in met:
-            keep = np.count_nonzero(brief[x, :-COUNTS] == brief[y, :-COUNTS], axis=1) >= AGREE * ROWS * BANDS
-            x, y = x[keep], y[keep]
-            most = np.minimum(brief[x, -COUNTS:], brief[y, -COUNTS:])
-            most = np.where((most == 15).any(1), size[y], most.sum(1, dtype=np.int64))
-            keep = similar(most, size[x] + size[y])
-            x, y = x[keep], y[keep]
-            if len(x):
-                yield pd.DataFrame({"a": np.minimum(cls[x], cls[y]), "b": np.maximum(cls[x], cls[y]), "band": band[x], "n": n[x]})
+        if met:
+            yield similar_of(met)
 
 
 def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -34,12 +34,12 @@ def test_families_within_a_repository(spark):
 
 def _sets(rng):
     """Groups of sets around one core: alike within a group, all of them in shared bands."""
-    core = rng.integers(0, 2**62, 400, dtype=np.uint64)
+    core = rng.integers(0, 2**64, 400, dtype=np.uint64)
     sets = []
     for g in range(12):
-        own = rng.integers(0, 2**62, 150, dtype=np.uint64)
+        own = rng.integers(0, 2**64, 150, dtype=np.uint64)
         for k in range(3):
-            sets.append(np.unique(np.concatenate((core, own, rng.integers(0, 2**62, 5 + 10 * k, dtype=np.uint64)))))
+            sets.append(np.unique(np.concatenate((core, own, rng.integers(0, 2**64, 5 + 10 * k, dtype=np.uint64)))))
     order = rng.permutation(len(sets))
     return [sets[i] for i in order], [int(i) // 3 for i in order]
 
@@ -91,7 +91,7 @@ def test_signatures_estimate_the_exact_similarity():
     rng = np.random.default_rng(8)
     agree, shared = [], 0
     for _ in range(400):
-        core, a, b = (rng.integers(0, 2**62, n, dtype=np.uint64) for n in (160, 20, 20))
+        core, a, b = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (160, 20, 20))
         x, y = signature(np.concatenate((core, a))), signature(np.concatenate((core, b)))
         agree.append((x == y).mean())
         shared += (x == y).reshape(BANDS, ROWS).all(1).any()
