@@ -35,6 +35,8 @@ DENSE = 16_000
 DENSE_SAMPLE = 2000
 #: Rows of a table that may be broadcast after its size was counted.
 FEW = 100_000
+#: Rows that a task gathers before it hands them on.
+ROWS_OUT = 20_000
 
 
 def _kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -209,7 +211,7 @@ def nearest_vectors(vectors: DataFrame, level: str, id_col: str, vec_col: str, *
     group = ["lv", "i", "j", "x", "y", "chunk"]
     both = indexed.mapInPandas(place, f"lv int, i int, j int, x int, y int, chunk int, side int, cls bigint, vec {wide}")
 
-    def best_of(q: np.ndarray, to: np.ndarray, own: np.ndarray, entries: np.ndarray) -> Iterator[pd.DataFrame]:
+    def best_of(q: np.ndarray, to: np.ndarray, own: np.ndarray, entries: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         for at in range(0, len(q), 256):
             some = q[at : at + 256]
             sim = np.round(to[at : at + 256] @ entries.T, digits)
@@ -223,19 +225,25 @@ def nearest_vectors(vectors: DataFrame, level: str, id_col: str, vec_col: str, *
             for n in np.flatnonzero((sim >= values[:, -1:]).sum(1) > keep):
                 order = np.lexsort((own, -sim[n]))[:k]
                 values[n], ids[n] = sim[n][order], own[order]
-            out = pd.DataFrame({"cls": np.repeat(some, values.shape[1]), "other": ids.ravel(), "cosine": values.ravel()})
-            yield out[out["cosine"] > -9]
+            real = values.ravel() > -9
+            yield np.repeat(some, values.shape[1])[real], ids.ravel()[real], values.ravel()[real]
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by chunk, entries before queries: a chunk's entries are kept until the next chunk."""
-        key, ids, mat, full = None, [], [], None
+        key, ids, mat, full, done, held = None, [], [], None, [], 0
 
-        def entries() -> Iterator[pd.DataFrame]:
+        def told(lv: int, q: np.ndarray, to: np.ndarray) -> None:
+            nonlocal held
+            for part in best_of(q, to, *full):
+                done.append((np.full(len(part[0]), lv), *part))
+                held += len(part[0])
+
+        def entries() -> None:
             """Once a chunk's entries are complete, each is a query to the others."""
             nonlocal full
             if full is None and ids:
                 full = np.concatenate(ids), np.concatenate(mat)
-                yield from (part.assign(lv=key[0]) for part in best_of(full[0], full[1], *full))
+                told(key[0], *full)
 
         for pdf in batches:
             if not len(pdf):
@@ -246,16 +254,21 @@ def nearest_vectors(vectors: DataFrame, level: str, id_col: str, vec_col: str, *
             for s, e in zip([0, *edge], [*edge, len(pdf)], strict=True):
                 now = tuple(keys[s])
                 if now != key:
-                    yield from entries()
+                    entries()
                     key, ids, mat, full = now, [], [], None
                 if side[s] == 0:
                     ids.append(cls[s:e])
                     mat.append(vec[s:e])
                     continue
-                yield from entries()
+                entries()
                 if full is not None:
-                    yield from (part.assign(lv=key[0]) for part in best_of(cls[s:e], vec[s:e], *full))
-        yield from entries()
+                    told(key[0], cls[s:e], vec[s:e])
+            if held > ROWS_OUT:
+                yield pd.DataFrame(dict(zip(("lv", "cls", "other", "cosine"), map(np.concatenate, zip(*done, strict=True)), strict=True)))
+                done, held = [], 0
+        entries()
+        if done:
+            yield pd.DataFrame(dict(zip(("lv", "cls", "other", "cosine"), map(np.concatenate, zip(*done, strict=True)), strict=True)))
 
     found = both.repartition(*group).sortWithinPartitions(*group, "side").mapInPandas(rank, "lv int, cls bigint, other bigint, cosine double")
     best = W.partitionBy("lv", "cls").orderBy(F.desc("cosine"), "other")
