@@ -4,9 +4,10 @@ A file is cut into chunks. A chunk's summary tells, for each lexer state it may
 brackets it leaves: closers that need a partner before the chunk and openers that need one after it. Summaries form a
 monoid (``combine`` is associative), so the chunks of a file can be reduced in any grouping: within a task for common
 files, across partitions for files longer than ``ACROSS`` characters. A file whose reduced summary is unbalanced or
-ends inside a string is suspect. Balanced text is cut into its top-level statements, which a local grammar parses one
-by one: Python's own compiler for a statement of Python, the grammar in ``js_grammar`` for JavaScript, strict JSON and
-TOML readers for their documents. A suspect Python file is confirmed by compiling it whole.
+ends inside a string is invalid. Balanced text is cut into its statements, which a local grammar parses one by one:
+statements of Python, statements of JavaScript (``js_grammar``), members of a JSON document, lines of TOML; one that is
+refused makes the file invalid. Only what the parts can't tell is settled on the whole text: literals that hold quotes
+or brackets of their own (f-strings, templates, regular expressions), ``__future__`` and names given twice in TOML.
 """
 
 from __future__ import annotations
@@ -157,19 +158,49 @@ def _compiles(text: str) -> bool:
 #: that are used before they are declared global.
 _TOGETHER = re.compile(r"\b__future__\b|\bglobal\b")
 _SCOPE = re.compile(r"(?:def|async\s+def|class|@)(?!\w)")
+#: Literals that may hold quotes and brackets of their own, which a chunk's lexer can't tell from those outside.
+_NESTED = {".py": re.compile(r"(?<!\w)(?:[fFtT][rR]?|[rR][fFtT])['\"]"), ".js": re.compile(r"`|/(?![/*])")}
+
+
+def _python_ok(text: str, fits: bool) -> bool:
+    """An unbalanced summary or a statement that its grammar refuses makes the text invalid; where f-strings may have
+    misled the lexer, compiling the whole text confirms it."""
+    sure = not _NESTED[".py"].search(text)
+    if not fits:
+        return not sure and _compiles(text)
+    for statement in python_statements(text):
+        if (m := _TOGETHER.search(statement)) and (m.group() == "__future__" or not _SCOPE.match(statement)):
+            return _compiles(text)
+        if not _compiles(statement):
+            return not sure and _compiles(text)
+    return True
 
 
-def _python_ok(text: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            for statement in python_statements(text):
-                if (m := _TOGETHER.search(statement)) and (m.group() == "__future__" or not _SCOPE.match(statement)):
-                    return _compiles(text)
-                compile(statement, "file", "exec", dont_inherit=True)
-    except (SyntaxError, ValueError, RecursionError, MemoryError, OverflowError):
-        return _compiles(text)
-    return True
+_JS_PARTS = re.compile(r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|[()\[\]{}]|(?<=[;}])\n(?=(?:function|class|const|let|var|import|export|if|for|while|switch|try|throw|async function)\b)")
+
+
+def javascript_statements(text: str) -> Iterator[str]:
+    """Balanced text without templates and regular expressions, cut before statements that begin at the left margin
+    with a keyword, after one that has visibly ended; what lies between is one piece."""
+    depth, begin = 0, 0
+    for m in _JS_PARTS.finditer(text):
+        what = m.group()
+        if what in "([{":
+            depth += 1
+        elif what in ")]}":
+            depth -= 1
+        elif what == "\n" and depth == 0:
+            yield text[begin : m.end()]
+            begin = m.end()
+    yield text[begin:]
+
+
+def _javascript_ok(text: str, fits: bool) -> bool:
+    """As for Python: the summary and the statements decide, and the grammar over the whole text where templates or
+    slashes leave open what is a bracket."""
+    if _NESTED[".js"].search(text):
+        return check_javascript(text) is None
+    return fits and all(check_javascript(piece) is None for piece in javascript_statements(text))
 
 
 def _no_constant(name: str) -> None:
@@ -184,21 +215,91 @@ def _reads(reader, text: str) -> bool:  # noqa: ANN001
     return True
 
 
+_JSON_PARTS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},]', re.S)
+_JSON_MEMBER = re.compile(r'[ \t\n\r]*"(?:[^"\\]|\\.)*"[ \t\n\r]*:', re.S)
+
+
+def _json_ok(text: str) -> bool:
+    """The outermost object or array by the grammar of each of its members."""
+    read = lambda t: _reads(lambda x: json.loads(x, parse_constant=_no_constant), t)
+    whole = text.strip(" \t\n\r")
+    if whole[:1] not in ("{", "["):
+        return read(text)
+    close, depth, begin, members = "}" if whole[0] == "{" else "]", 0, 1, []
+    for m in _JSON_PARTS.finditer(whole):
+        what = m.group()
+        if what in "[{":
+            depth += 1
+        elif what in "]}":
+            depth -= 1
+            if depth == 0:
+                if what != close or m.end() != len(whole):
+                    return False
+                members.append(whole[begin : m.start()])
+        elif what == "," and depth == 1:
+            members.append(whole[begin : m.start()])
+            begin = m.end()
+    if len(members) == 1 and not members[0].strip(" \t\n\r"):
+        return True
+    for member in members:
+        if close == "}":
+            head = _JSON_MEMBER.match(member)
+            if not head or not read(head.group().strip(" \t\n\r")[:-1]) or not read(member[head.end() :]):
+                return False
+        elif not read(member):
+            return False
+    return bool(members)
+
+
+_TOML_PARTS = re.compile(r'"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*"{3,5}|\'{3}(?:[^\']|\'(?!\'\'))*\'{3,5}|"(?:[^"\\\n]|\\.)*"|\'[^\'\n]*\'|#[^\n]*|[\[\]{}\n]')
+_TOML_NAME = re.compile(r"[ \t]*(\[\[?[^\]\n]*\]?\]|[^=\n#]*)")
+
+
+def _toml_ok(text: str) -> bool:
+    """Every header and key with its value by the grammar; only where a name may be given twice, which no statement can
+    tell alone, the whole document is read."""
+    text = text.replace("\r\n", "\n")
+    depth, begin, statements = 0, 0, []
+    for m in _TOML_PARTS.finditer(text):
+        what = m.group()
+        if what in "[{":
+            depth += 1
+        elif what in "]}":
+            depth -= 1
+        elif what == "\n" and depth == 0:
+            statements.append(text[begin : m.end()])
+            begin = m.end()
+    statements.append(text[begin:])
+    names, table, twice = set(), "", False
+    for statement in statements:
+        if not _reads(tomllib.loads, statement):
+            return False
+        name = _TOML_NAME.match(statement).group(1).strip()
+        if name:
+            if name.startswith("["):
+                table, key = name, name
+            else:
+                key = f"{table} {name}"
+            twice = twice or key in names or "." in name or '"' in name or "'" in name or name.startswith("[[")
+            names.add(key)
+    return not twice or _reads(tomllib.loads, text)
+
+
 def parses(ext: str, text: str, fits: bool | None = None) -> bool:
     """Whether ``text`` is valid in the language of ``ext``. ``fits``: its reduced summary is balanced, if known."""
     lexer = LEXERS[ext]
     if ext == ".py":
         text = text.replace("\r\n", "\n").replace("\r", "\n")
+        if "\0" in text:
+            return False
     if fits is None:
         parts = chunks_of(text)
         fits = balanced(lexer, reduce(combine, (chunk_map(lexer, t, n == 0) for n, t in enumerate(parts)))[CODE])
     if ext == ".py":
-        return _python_ok(text) if fits and "\0" not in text else _compiles(text)
-    if ext == ".json":
-        return fits and _reads(lambda t: json.loads(t, parse_constant=_no_constant), text)
-    if ext == ".toml":
-        return fits and _reads(tomllib.loads, text) if "'''" not in text and '"""' not in text else _reads(tomllib.loads, text)
-    return check_javascript(text) is None  # brackets inside regular expressions and templates are the grammar's matter
+        return _python_ok(text, fits)
+    if ext == ".js":
+        return _javascript_ok(text, fits)
+    return fits and (_json_ok(text) if ext == ".json" else _toml_ok(text))
 
 
 def check_files(files: DataFrame, file_id: str, path: str, content: str) -> DataFrame:
