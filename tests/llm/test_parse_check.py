@@ -50,3 +50,28 @@ def test_files(spark, monkeypatch):
     rows = [(1, "a.py", "x = 1"), (2, "b.PY", "x ="), (3, "c.md", "("), (4, "d.json", None), (5, "e.py", None), (6, "f.js", "a("), (6, "f.js", "a("), (None, "g.py", "("), (7, None, "("), (8, "h.py", long_good), (9, "i.py", long_bad), (10, "noext", "(")]
     got = {(r["file_id"], r["parses"]) for r in check_files(spark.createDataFrame([(*r, "q") for r in rows], "id long, path string, content string, ext string"), "id", "path", "content").collect()}
     assert got == {(1, True), (2, False), (4, False), (5, True), (6, False), (8, True), (9, False)}
+
+
+SEEDS = {
+    ".json": ['{"a": [1, 2, {"b": null}], "c": "x\\"y", "d": -1.5e3}', '[1, "a,b", {}, []]', '"x"', "{}", "[]"],
+    ".toml": ['a = 1\n[b]\nc = "x"\n[[d]]\ne = [1,\n 2]\n[b.c]\nf = {x = 1, y = "q"}\n', 'x.y = 1\n"k" = \'v\'\ns = """a\nb"""\n# c\n', "[a]\n[b]\nk=1\n"],
+    ".py": ['@d\ndef f(a, b=(1,2)):\n    """doc"""\n    return [a, b]\n\nclass A:\n    x = {1: "a"}\nif 1:\n    pass\nelse:\n    y = f"{x[1]}"\n', 'x = """a\n(b"""\ny = (1,\n 2)\nfor i in y: print(i)\nelse:\n  pass\nz = \'a\' \\\n  "b"\n', "from __future__ import annotations\nimport os\n"],
+}
+
+
+@pytest.mark.parametrize("ext", sorted(SEEDS))
+def test_parts_agree_with_readers_of_whole_texts(ext):
+    """Texts with a few signs lost, added or doubled."""
+    import json
+    import tomllib
+
+    import corpusloom.llm.parse_check as module
+
+    whole = {".json": lambda t: module._reads(lambda x: json.loads(x, parse_constant=module._no_constant), t), ".toml": lambda t: module._reads(tomllib.loads, t), ".py": module._compiles}[ext]
+    rng = random.Random(5)
+    for _ in range(3000):
+        t = rng.choice(SEEDS[ext])
+        for _ in range(rng.randrange(1, 4)):
+            i, kind = rng.randrange(len(t) + 1), rng.random()
+            t = t[:i] + t[i + 1 :] if kind < 0.4 else t[:i] + rng.choice("\"'[]{}(),:=\n #\\x1.f-@") + t[i:] if kind < 0.8 else t[:i] + t[i : i + 3] + t[i:]
+        assert parses(ext, t) == whole(t), t
