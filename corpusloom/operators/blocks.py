@@ -19,7 +19,7 @@ from corpusloom.runtime import cut
 #: A function or class becomes a block from this many lines on; fixed values of the job.
 LEAST_LINES = 5
 NEAR, STRUCTURAL = 0.85, 0.70
-LINES_SHARED, SHAPES_SHARED = 0.4, 0.6
+LINES_SHARED, SHAPES_SHARED = 0.4, 0.8
 BOILERPLATE = r"from fastapi import|from pydantic import|import uvicorn|if __name__ == [\"']__main__[\"']|app = FastAPI\(|@app\.(get|post|put|patch|delete)|HTTPException|status_code="
 
 
