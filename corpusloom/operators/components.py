@@ -7,10 +7,10 @@ share: the aggregate combines early and the join back is split by adaptive skew
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import cut, release
+from corpusloom.runtime import cut, cut_observed, release
 
 #: Each round at least halves the depth of the label trees; the bound only guards against a fault.
 MAX_ROUNDS = 60
@@ -35,9 +35,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("b")).first()
-    return row["n"], row["a"], row["b"]
+def _state() -> dict[str, Column]:
+    """Count and sums of two hashes: equal for equal tables, and hardly ever otherwise."""
+    return {"n": F.count(F.lit(1)), "a": F.sum(F.hash("u", "v").cast("decimal(38,0)")), "b": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
 
 
 def connected_components(pairs: DataFrame, left: str, right: str, vertex: str = "vertex", component: str = "component") -> DataFrame:
@@ -48,11 +48,9 @@ def connected_components(pairs: DataFrame, left: str, right: str, vertex: str =
     """
     sides = pairs.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u is not null and v is not null")
     sides = cut(sides.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    edges, table = sides.where("u <> v"), None
-    before = _state(edges)
+    edges, table, before = sides.where("u <> v"), None, None
     for _ in range(MAX_ROUNDS):
-        edges = cut(_small_star(_large_star(edges)))
-        after = _state(edges)
+        edges, after = cut_observed(_small_star(_large_star(edges)), **_state())
         if table is not None:  # the round before is not needed any more
             release(table)
         table = edges

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python; bounds a worker's memory when rows hold long texts.
@@ -59,6 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``cut``, and measures of the rows that were written, taken while they were written."""
+    seen = Observation()
+    out = cut(df.observe(seen, *(m.alias(n) for n, m in measures.items())))
+    return out, seen.get
+
+
 def release(df: DataFrame) -> None:
     """Removes a table that ``cut`` wrote, once nothing reads it any more."""
     path = getattr(df, "_stage_path", None)
