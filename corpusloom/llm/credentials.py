@@ -12,15 +12,19 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The dictionary keeps the words that are most frequent, at most so many; it is what is sent to the workers.
+from corpusloom.runtime import cut
+
+#: Words that are sent to the workers, the most frequent first; rarer words are joined to the literals that may hold them.
 DICTIONARY_WORDS = 20_000
 UNKNOWN_COST = 4.0
+LONGEST_WORD = 24
 REDACTED = "REDACTED"
 
 # Names that hold a credential; fixed values.
@@ -66,8 +70,17 @@ class Segmenter:
 
     def __init__(self, costs: dict[str, float]) -> None:
         self.costs = costs
-        self.longest = max(map(len, costs), default=0)
+        self.longest = LONGEST_WORD
         self.seen: dict[str, int] = {}
+        self.extra: dict[str, float] = {}
+
+    def with_words(self, extra: dict[str, float]) -> Segmenter:
+        """The same dictionary with a literal's rare words."""
+        if not extra:
+            return self
+        other = Segmenter(self.costs)
+        other.extra = extra
+        return other
 
     def residual(self, run: str) -> int:
         """How many letters of the run no word explains."""
@@ -79,7 +92,7 @@ class Segmenter:
                 cost, left = best[end - 1]
                 pick = (cost + UNKNOWN_COST, left + 1)
                 for begin in range(max(0, end - self.longest), end - 2):
-                    word = self.costs.get(low[begin:end])
+                    word = self.costs.get(low[begin:end]) or self.extra.get(low[begin:end])
                     if word is not None and best[begin][0] + word < pick[0]:
                         pick = (best[begin][0] + word, best[begin][1])
                 best.append(pick)
@@ -139,13 +152,17 @@ def is_secret(value: str, segmenter: Segmenter) -> bool:
     return odd >= 6 and (digits > 0 or odd >= 10) or odd >= 2 and digits > 0 and symbols > 0 and len(value) >= 8 or odd >= 5 and symbols > 0
 
 
-def find_credentials(text: str, segmenter: Segmenter) -> list[tuple[int, int]]:
-    """Spans (start, end) of the credentials in a text, in order, without overlaps."""
-    found: list[tuple[int, int]] = []
+#: (start, end, value, kind); kinds are judged by ``accepted``
+Candidate = tuple[int, int, str, str]
+
+
+def candidates_in(text: str) -> list[Candidate]:
+    """Literals, remarks, addresses with a login and private keys that may be credentials, by context alone."""
+    found: list[Candidate] = []
     for m in _PEM.finditer(text):
         end = _PEM_END.search(text, m.end())
         nxt = text.find("-----BEGIN", m.end())
-        found.append((m.start(), end.end() if end and (nxt < 0 or end.start() < nxt) else m.end()))
+        found.append((m.start(), end.end() if end and (nxt < 0 or end.start() < nxt) else m.end(), "", "key"))
     done = -1
     low = text.lower()
     for hit in _CANDIDATE.finditer(low) if len(low) == len(text) else _CANDIDATE_ANY.finditer(text):
@@ -158,7 +175,7 @@ def find_credentials(text: str, segmenter: Segmenter) -> list[tuple[int, int]]:
         for m in _URL.finditer(line):
             v = m["v"]
             if not _TEMPLATE.search(v) and len(v) >= 3 and v.lower() not in _FILLER and v.lower() not in _LAST and not set(v) <= set("*x.-"):
-                found.append((begin + m.start("v"), begin + m.end("v")))
+                found.append((begin + m.start("v"), begin + m.end("v"), v, "login"))
         for pattern in (_KEYED, _ENV, _JSENV, _ORELSE):
             for m in pattern.finditer(line):
                 if not names_credential(m["key"]) or (m.start("q") and line[m.start("q") - 1] in "fF" and "{" in m["v"]):
@@ -171,22 +188,38 @@ def find_credentials(text: str, segmenter: Segmenter) -> list[tuple[int, int]]:
                 rest = line[at:].lstrip()
                 if rest[:1] in ("+", "%") or rest.startswith((".format", "in ", "]")) or (rest[:1] == ":" and pattern is not _ENV):
                     continue
-                if is_secret(value, segmenter):
-                    found.append((begin + m.start("v"), begin + end - 1))
+                found.append((begin + m.start("v"), begin + end - 1, value, "literal"))
         for m in _REMARK.finditer(line):
-            if not _mentions_credential(m["head"]):
-                continue
-            v = m["v"].rstrip(".,;)")
-            odd, digits, _ = segmenter.unexplained(v)
-            if is_secret(v, segmenter) and odd >= 6 and digits and "(" not in v:
-                found.append((begin + m.start("v"), begin + m.start("v") + len(v)))
+            if _mentions_credential(m["head"]):
+                v = m["v"].rstrip(".,;)")
+                found.append((begin + m.start("v"), begin + m.start("v") + len(v), v, "remark"))
+    return found
+
+
+def accepted(value: str, kind: str, segmenter: Segmenter) -> bool:
+    """Whether a candidate is a credential: keys and logins by their form, literals and remarks by their residual."""
+    if kind in ("key", "login"):
+        return True
+    if kind == "literal":
+        return is_secret(value, segmenter)
+    odd, digits, _ = segmenter.unexplained(value)
+    return odd >= 6 and digits > 0 and "(" not in value and is_secret(value, segmenter)
+
+
+def apart(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order; of overlapping ones the first."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted(set(found)):
+    for s, e in sorted(set(spans)):
         if not out or s >= out[-1][1]:
             out.append((s, e))
     return out
 
 
+def find_credentials(text: str, segmenter: Segmenter) -> list[tuple[int, int]]:
+    """Spans (start, end) of the credentials in a text, in order, without overlaps."""
+    return apart((s, e) for s, e, value, kind in candidates_in(text) if accepted(value, kind, segmenter))
+
+
 def redact(text: str, spans: list[tuple[int, int]]) -> str:
     """The text with each span replaced; quotes, brackets and line structure around it stay."""
     parts, at = [], 0
@@ -196,13 +229,29 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def word_costs(names: DataFrame, column: str, most: int = DICTIONARY_WORDS) -> dict[str, float]:
-    """Viterbi costs of the most frequent words in all names; counted over every row, ``most`` words are kept."""
+@dataclass
+class Words:
+    """Costs of the words that are sent to the workers, and the rarer words as a table ``(w, cost)``, None where there are
+    none."""
+
+    costs: dict[str, float]
+    rest: DataFrame | None = None
+
+
+def word_costs(names: DataFrame, column: str, most: int = DICTIONARY_WORDS) -> Words:
+    """Viterbi costs of all words that stand more than once in the names; counted over every row. ``most`` bounds what is
+    broadcast, not what is known."""
     spaced = F.regexp_replace(F.regexp_replace(F.col(column), r"([a-z])([A-Z])", "$1 $2"), r"[^A-Za-z]+", " ")
-    words = names.select(F.explode(F.split(F.lower(spaced), " ")).alias("w")).where(F.length("w").between(3, 24))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()
-    total = sum(r["n"] for r in top) or 1
-    return {r["w"]: min(11.0, -math.log(r["n"] / total)) for r in top}
+    words = names.select(F.explode(F.split(F.lower(spaced), " ")).alias("w")).where(F.length("w").between(3, LONGEST_WORD))
+    counted = cut(words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"))
+    sums = counted.agg(F.count("*").alias("k"), F.sum("n").alias("total")).first()
+    total = sums["total"] or 1
+    cost = lambda n: min(11.0, -math.log(n / total)) or 1e-9
+    top = {r["w"]: cost(r["n"]) for r in counted.orderBy(F.desc("n"), "w").limit(most).collect()}
+    if sums["k"] <= most:
+        return Words(top)
+    rare = counted.withColumn("r", F.least(F.lit(11.0), -F.log(F.col("n") / F.lit(total))))
+    return Words(top, rare.select("w", F.greatest("r", F.lit(1e-9)).alias("cost")))
 
 
 # Words that occur in the addresses, paths and remarks of any code; fixed values.
@@ -213,13 +262,10 @@ def segmenter_of(costs: dict[str, float]) -> Segmenter:
     return Segmenter({**dict.fromkeys(_COMMON, 7.0), **costs})
 
 
-def credentials(rows: DataFrame, row_id: str, text: str, costs: dict[str, float]) -> DataFrame:
-    """``(row_id, line_no, start, length)`` of every credential; positions count code points, lines from 1.
-
-    Null ids and texts are left out; an empty text has no credentials; repeated rows give repeated equal rows.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(costs)  # at most DICTIONARY_WORDS entries
-    usable = rows.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(text).alias("text")).where("row_id is not null and text is not null")
+def _spans(usable: DataFrame, words: Words) -> DataFrame:
+    """``(row_id, line_no, start, length)`` of every credential of ``(row_id, text)``."""
+    shared = usable.sparkSession.sparkContext.broadcast(words.costs)  # at most DICTIONARY_WORDS entries
+    shape = "row_id bigint, line_no int, start int, length int"
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segmenter = segmenter_of(shared.value)
@@ -230,17 +276,75 @@ def credentials(rows: DataFrame, row_id: str, text: str, costs: dict[str, float]
             if out:
                 yield pd.DataFrame(out, columns=["row_id", "line_no", "start", "length"])
 
-    return usable.mapInPandas(search, "row_id bigint, line_no int, start int, length int")
+    if words.rest is None:
+        return usable.mapInPandas(search, shape)
+
+    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, t in zip(pdf["row_id"].tolist(), pdf["text"].tolist(), strict=True):
+                out.extend((i, t.count("\n", 0, s) + 1, s, e - s, v, kind) for s, e, v, kind in candidates_in(t))
+            if out:
+                yield pd.DataFrame(out, columns=["row_id", "line_no", "start", "length", "value", "kind"])
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Every part of a literal's runs of letters that could be a word the workers don't have."""
+        for pdf in batches:
+            out = set()
+            for v in pdf["value"].tolist():
+                for run in re.findall(r"[^\W\d_]+", v.lower()):
+                    out.update((v, run[b : b + n]) for b in range(len(run) - 2) for n in range(3, min(LONGEST_WORD, len(run) - b) + 1) if run[b : b + n] not in shared.value)
+            if out:
+                yield pd.DataFrame(list(out), columns=["value", "w"])
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segmenter = segmenter_of(shared.value)
+        for pdf in batches:
+            good = [accepted(v, k, segmenter.with_words({x["w"]: x["cost"] for x in own} if own is not None else {})) for v, k, own in zip(pdf["value"], pdf["kind"], pdf["own"], strict=True)]
+            yield pdf[["row_id", "line_no", "start", "length"]][good]
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, own in zip(pdf["row_id"].tolist(), pdf["own"].tolist(), strict=True):
+                lines = {x["start"]: x["line_no"] for x in own}
+                out.extend((i, lines[s], s, e - s) for s, e in apart((x["start"], x["start"] + x["length"]) for x in own))
+            yield pd.DataFrame(out, columns=["row_id", "line_no", "start", "length"])
+
+    found = cut(usable.mapInPandas(collect, shape + ", value string, kind string"))
+    told = found.select("value").distinct().mapInPandas(pieces, "value string, w string").join(words.rest, "w").groupBy("value").agg(F.collect_list(F.struct("w", "cost")).alias("own"))
+    judged = found.join(told, "value", "left").mapInPandas(judge, shape)
+    return judged.groupBy("row_id").agg(F.collect_list(F.struct("line_no", "start", "length")).alias("own")).mapInPandas(first, shape)
+
+
+def _usable(rows: DataFrame, row_id: str, text: str) -> DataFrame:
+    return rows.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(text).alias("text")).where("row_id is not null")
+
+
+def credentials(rows: DataFrame, row_id: str, text: str, words: Words) -> DataFrame:
+    """``(row_id, line_no, start, length)`` of every credential; positions count code points, lines from 1.
+
+    Null ids and texts are left out; an empty text has no credentials; repeated rows may give repeated equal rows.
+    """
+    return _spans(_usable(rows, row_id, text).where("text is not null"), words)
 
 
-def redacted(rows: DataFrame, row_id: str, text: str, costs: dict[str, float]) -> DataFrame:
+def redacted(rows: DataFrame, row_id: str, text: str, words: Words) -> DataFrame:
     """``(row_id, text, credentials)``: every row's text with its credentials replaced, and their number."""
-    shared = rows.sparkSession.sparkContext.broadcast(costs)
+    usable = _usable(rows, row_id, text)
+    if words.rest is not None:
+        usable = usable.dropDuplicates(["row_id"])
+        spans = _spans(usable.where("text is not null"), words).groupBy("row_id").agg(F.collect_list(F.struct("start", "length")).alias("own"))
+        usable = usable.join(spans, "row_id", "left")
+    shared = rows.sparkSession.sparkContext.broadcast(words.costs)
 
     def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segmenter = segmenter_of(shared.value)
         for pdf in batches:
-            spans = [find_credentials(t, segmenter) if t else [] for t in pdf["text"]]
+            if "own" in pdf:
+                spans = [sorted((x["start"], x["start"] + x["length"]) for x in own) if own is not None else [] for own in pdf["own"]]
+            else:
+                spans = [find_credentials(t, segmenter) if t else [] for t in pdf["text"]]
             yield pd.DataFrame({"row_id": pdf["row_id"], "text": [redact(t, s) if s else t for t, s in zip(pdf["text"], spans, strict=True)], "credentials": [len(s) for s in spans]})
 
-    return rows.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(text).alias("text")).where("row_id is not null").mapInPandas(replace, "row_id bigint, text string, credentials int")
+    return usable.mapInPandas(replace, "row_id bigint, text string, credentials int")

@@ -64,6 +64,8 @@ _NOTICE = re.compile(r"\(c\)|©|copyright|licen[cs]ed? |licen[cs]e\b|spdx-", re.
 _BANNER_BELOW = re.compile(r"@generated|auto-?generated|machine[- ]generated|\bgenerated (?:by|from|with|using|automatically|file|code)\b|\bproduced (?:from|by)\b.*\bby\b|(?:datei|fichier|archivo).*(?:erzeugt|generiert|généré|generado|autogenerad)|changes will be (?:lost|overwritten)", re.I)
 _SHOUTED = re.compile(r"DO NOT (?:EDIT|MODIFY|TOUCH)")
 _NOTICE_BELOW = re.compile(r"(?:\(c\)|©|copyright(?: \(c\)| ©)? \d{4})|spdx-license", re.I)
+#: What each of the three patterns holds one of, in lower case.
+_ORIGIN = ("generated", "produced", "erzeugt", "generiert", "généré", "generado", "changes will be", "do not ", "(c)", "©", "copyright", "spdx")
 _LOCK = re.compile(r"(?:^|/)(?:[\w-]+[.-])?(?:package-lock|lock|shrinkwrap|npm-shrinkwrap)\.(?:json|toml|yaml)$", re.I)
 _MIGRATION = re.compile(r"(?:^|/)migrations/\d{3,}_\w+\.py$")
 
@@ -155,7 +157,10 @@ def _comments(text: str) -> str:
 
 
 def _comments_below(text: str, tokens: list[str], masked: np.ndarray) -> list[str]:
-    """The lines of all comments that begin at the left margin."""
+    """The lines of all comments that begin at the left margin, of texts that tell something about their origin at all."""
+    low = text.lower()
+    if not any(word in low for word in _ORIGIN):
+        return []
     margin = [tokens[i] for i in np.flatnonzero(masked == COMMENT).tolist()]
     return [line for c in margin if text.startswith(c) or f"\n{c}" in text for line in c.split("\n")]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.credentials import credentials, redacted, word_costs
+from corpusloom.llm.credentials import Words, credentials, redacted, word_costs
 from corpusloom.llm.function_docs import pair_functions
 from corpusloom.llm.knn import nearest_vectors
 from corpusloom.llm.leakage import leaked_items
@@ -37,7 +37,7 @@ def p1_repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("scan_id").agg(F.count("path").alias("listed"), F.count("reason").alias("unwritten"))
 
 
-def _code_texts(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, float]]:
+def _code_texts(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], Words]:
     files, blocks = read_table(spark, sf_dir, "file_embedding"), read_table(spark, sf_dir, "code_block")
     texts = {"file": files.select(F.col("file_id").alias("id"), F.col("top_level_code").alias("text")), "block": blocks.select(F.col("block_id").alias("id"), F.col("code").alias("text"))}
     return texts, word_costs(blocks.select("name"), "name")

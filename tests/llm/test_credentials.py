@@ -26,3 +26,17 @@ def test_long_lines_take_linear_time():
     for unit in ("a1b2", "a.b-", " ", "//x", "x='", "x: a, ", "a = b || "):
         find_credentials("password " + unit * 50_000, SEG)
     assert time.time() - began < 20
+
+
+def test_words_beyond_the_broadcast_are_joined(spark):
+    from corpusloom.llm.credentials import credentials, redacted, word_costs
+
+    names = spark.createDataFrame([(f"{a}_{b}",) for a in ("solid", "lantern", "harbor", "quiet", "meadow") for b in ("reader", "writer", "ledger")] * 3 + [(None,)], "name string")
+    lines = [f"password = '{VALUE}'", "password = 'solidlanternmeadowledger9'", "# token: quietreaderxk7q9zz", "api_key = 'x'", "token = 'harborwriter42!'", f"a = 'postgres://u:{VALUE}@h/x'", None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lines)] + [(0, lines[0]), (None, lines[0]), (50, "\n".join(t or "" for t in lines))], "id long, text string")
+    whole, few = word_costs(names, "name"), word_costs(names, "name", most=2)
+    assert whole.rest is None and few.rest is not None and len(few.costs) == 2 and {**few.costs, **{r["w"]: r["cost"] for r in few.rest.collect()}}.keys() == whole.costs.keys()
+    a, b = ({tuple(r) for r in credentials(rows, "id", "text", w).collect()} for w in (whole, few))
+    assert a == b and {(0, 1), (50, 1)} <= {(r[0], r[1]) for r in a} and not any(r[0] in (1, 3, 6, 7) for r in a)
+    a, b = ({tuple(r) for r in redacted(rows, "id", "text", w).collect()} for w in (whole, few))
+    assert a == b and (0, "password = 'REDACTED'", 1) in a
