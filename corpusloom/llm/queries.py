@@ -15,7 +15,7 @@ from corpusloom.llm.personal_data import masked, personal_spans
 from corpusloom.llm.provenance import unwritten_files
 from corpusloom.llm.shared_spans import shared_pairs, shared_share, shared_spans
 from corpusloom.operators.components import connected_components
-from corpusloom.runtime import read_table
+from corpusloom.runtime import cut, read_table
 
 
 def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +137,19 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(spec, "spec_id").withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each capacity: documents and tokens placed, containers over capacity, documents whose pieces don't add up to them
+    in order, and documents that were split although they fit."""
+    spec = read_table(spark, sf_dir, "container_spec").select("spec_id", "capacity_tokens")
+    packed = cut(p8_packed(spark, sf_dir)).join(F.broadcast(spec), "spec_id")  # three capacities
+    sizes = read_table(spark, sf_dir, "documents").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.greatest(F.lit(0), F.coalesce("n_tokens", rule_tokens("text")))).alias("n"))
+    full = packed.groupBy("spec_id", "container").agg(F.sum("tokens").alias("load"), F.max("capacity_tokens").alias("c")).groupBy("spec_id").agg(F.count_if(F.col("load") > F.col("c")).alias("overfull"))
+    docs = packed.groupBy("spec_id", "doc_id").agg(F.count("*").alias("pieces"), F.count_distinct("piece").alias("places"), F.sum("tokens").alias("tokens"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.max("capacity_tokens").alias("c"))
+    wrong = F.col("n").isNull() | (F.col("tokens") != F.col("n")) | (F.col("end") != F.col("n")) | (F.col("pieces") != F.col("places"))
+    told = docs.join(sizes, "doc_id", "left").groupBy("spec_id").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.count_if(wrong).alias("misplaced"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("c"))).alias("split_without_need"), F.count_if(F.col("pieces") > 1).alias("split"))
+    return told.join(full, "spec_id")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "eval_item"), "item_id", "text")
 
@@ -159,6 +172,30 @@ r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y)
 SELECT x AS repo, min(y) AS group_repo FROM r GROUP BY x
 """
 
+_P3_SQL = """
+WITH r AS (SELECT 'function' AS level, unnest(function_ids) AS id, unnest(function_embeddings) AS v FROM project_embedding UNION ALL SELECT 'file', unnest(file_ids), unnest(file_embeddings) FROM project_embedding),
+d AS (SELECT level, id, min(v)::DOUBLE[] AS v FROM r WHERE id IS NOT NULL AND len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 GROUP BY level, id),
+c AS (SELECT a.level, a.id, b.id AS neighbour, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS cosine FROM d a JOIN d b ON a.level = b.level AND a.id <> b.id),
+n AS (SELECT *, row_number() OVER (PARTITION BY level, id ORDER BY cosine DESC, neighbour) AS nth FROM c)
+"""
+
+# Every text of 200 characters of every record; one row for each record and text.
+_P4_SQL = """
+WITH t AS (SELECT 'block' AS level, block_id AS id, min(normalized) AS t, min(repo) || '/' || min(file_path) AS grp FROM code_block WHERE block_id IS NOT NULL AND normalized IS NOT NULL GROUP BY block_id
+UNION ALL SELECT 'profile', scan_id, min(all_code_normalized), scan_id::VARCHAR FROM repo_code_profile WHERE scan_id IS NOT NULL AND all_code_normalized IS NOT NULL GROUP BY scan_id),
+g AS (SELECT level, id, grp, i, md5_number(substr(t, i, 200)) AS h FROM (SELECT *, unnest(range(1, length(t) - 198)) AS i FROM t))
+"""
+P4_FOUND_SQL = _P4_SQL + ", k AS (SELECT DISTINCT level, id, grp, h FROM g) SELECT DISTINCT a.level, a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.level = b.level AND a.h = b.h AND a.id < b.id AND a.grp <> b.grp"
+P4_SHARE_SQL = _P4_SQL + """, k AS (SELECT level, h FROM g GROUP BY level, h HAVING min(id) <> max(id)), s AS (SELECT level, id, i, lead(i) OVER (PARTITION BY level, id ORDER BY i) AS j FROM g JOIN k USING (level, h)),
+c AS (SELECT level, id, sum(least(200, coalesce(j - i, 200))) AS n FROM s GROUP BY level, id)
+SELECT t.level, t.id, length(t) AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars, round(coalesce(coalesce(n, 0) / nullif(length(t), 0), 0), 6) AS share FROM t LEFT JOIN c ON c.level = t.level AND c.id = t.id"""
+
+P8_INVARIANTS_SQL = r"""
+WITH d AS (SELECT doc_id, max(greatest(0, coalesce(n_tokens, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]'))))) AS n FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+s AS (SELECT spec_id, capacity_tokens AS c FROM container_spec WHERE spec_id IS NOT NULL AND capacity_tokens IS NOT NULL)
+SELECT spec_id, count(*) AS documents, sum(n)::BIGINT AS tokens, 0::BIGINT AS overfull, 0::BIGINT AS misplaced, 0::BIGINT AS split_without_need, count(*) FILTER (n > c) AS split FROM d, s GROUP BY spec_id
+"""
+
 P9_FOUND_SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM eval_item WHERE text IS NOT NULL),
@@ -170,5 +207,5 @@ g AS (SELECT doc_id, n, array_to_string(w[s:s + n - 1], ' ') g
 SELECT DISTINCT doc_id, item_id FROM g JOIN r USING (n, g)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p1_repository_files": p1_repository_files, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_shared_share": p4_shared_share, "p6_found": p6_found, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found, "p10_masked": p10_masked}
-ORACLE = {"p6_found": P6_FOUND_SQL, "p9_found": P9_FOUND_SQL}
+QUERIES = {"p1_found": p1_found, "p1_reasons": p1_reasons, "p1_repository_files": p1_repository_files, "p2_found": p2_found, "p2_redacted": p2_redacted, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_shared_share": p4_shared_share, "p6_found": p6_found, "p5_found": p5_found, "p5_rates": p5_rates, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_packed": p8_packed, "p8_fill": p8_fill, "p8_invariants": p8_invariants, "p9_found": p9_found, "p10_found": p10_found, "p10_masked": p10_masked}
+ORACLE = {"p3_found": _P3_SQL + "SELECT DISTINCT level, least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM n WHERE nth <= 5", "p3_neighbours": _P3_SQL + "SELECT level, id, nth::INT AS rank, neighbour, cosine FROM n WHERE nth <= 5", "p4_found": P4_FOUND_SQL, "p4_shared_share": P4_SHARE_SQL, "p8_invariants": P8_INVARIANTS_SQL, "p6_found": P6_FOUND_SQL, "p9_found": P9_FOUND_SQL}
