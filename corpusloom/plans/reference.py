@@ -1,4 +1,4 @@
-"""Queries of the similarity, assessment and reporting families, declared as SQL over whole tables.
+"""The catalogue: queries declared as SQL here, and those of ``features``, ``pairs``, ``replies`` and ``reports``.
 
 ``SHARED`` is text that both engines read alike; where dialects differ the Spark plan has a text or a DataFrame of its
 own. Weights, bands and thresholds are fixed values of the job.
@@ -16,7 +16,7 @@ from corpusloom.operators.blocks import BOILERPLATE, code_fingerprint, distinct_
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.setsim import jaccard_classes, linked_entities
 from corpusloom.plans import features, features_sql, pairs, pairs_sql, replies, reports, reports_sql
-from corpusloom.runtime import cut, read_table
+from corpusloom.runtime import read_table
 
 _TABLES = "code_block code_match customer documents embeddings events file_embedding function_embedding lineitem nation orders region repo_analysis submission supplier".split()
 
@@ -138,14 +138,6 @@ def intra_cluster_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.join(groups, table["a"] == groups["repo"]).groupBy("cluster").agg(F.count("*").alias("matches"), F.round(F.avg("similarity"), 6).alias("mean_similarity"))
 
 
-def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symmetric matrix of pooled label cosines with a unit diagonal."""
-    half = cut(pooled_label_cosine(spark, sf_dir))
-    labels = half.select("label_a").union(half.select("label_b")).distinct()
-    full = half.union(half.select("label_b", "label_a", "cosine")).union(labels.select("label_a", F.col("label_a"), F.lit(1.0)))
-    return full.groupBy(F.col("label_a").alias("label")).pivot("label_b").agg(F.round(F.first("cosine"), 3))
-
-
 def block_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised text and fingerprint computed anew from every block's code."""
     table = read_table(spark, sf_dir, "code_block").where("block_id is not null").dropDuplicates(["block_id"])
@@ -181,7 +173,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pooled_label_cosine": pooled_label_cosine,
     "match_clusters": match_clusters,
     "intra_cluster_mean": intra_cluster_mean,
-    "similarity_matrix": similarity_matrix,
     "block_fingerprints": block_fingerprints,
     "ast_blocks": ast_blocks,
     "near_copy_blocks": near_copy_blocks,
