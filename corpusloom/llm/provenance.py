@@ -119,17 +119,35 @@ class Tokens(dict):
 _SEEDS = (mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """MinHash values of a set of shingle hashes; 16 bits of each are kept, enough to compare and to band. The hashes are
-    mixed already, so a multiplication for each value tells as much as independent functions do (see the tests)."""
+def least_values(shingles: np.ndarray) -> np.ndarray:
+    """The smallest value of a set of shingle hashes under each function. The hashes are mixed already, so a
+    multiplication for each value tells as much as independent functions do (see the tests)."""
     least = np.full(len(_SEEDS), 0xFFFFFFFF, dtype=np.uint32)
     high = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
     with np.errstate(over="ignore"):
         for at in range(0, len(high), 1024):
             np.minimum(least, (high[at : at + 1024] * _SEEDS[None]).min(0), out=least)
+    return least
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """MinHash values of a set of shingle hashes; 16 bits of each are kept, enough to compare and to band."""
+    return _kept(least_values(shingles))
+
+
+def _kept(least: np.ndarray) -> np.ndarray:
     return (mix(least.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
+def windows_of(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """The hashes of each part's shingles; all parts are hashed at once."""
+    if not parts:
+        return []
+    hashes = window_hashes(np.concatenate(parts), SHINGLE)
+    ends = np.cumsum([len(p) for p in parts]).tolist()
+    return [hashes[e - len(p) : max(e - len(p), e - SHINGLE + 1)] for p, e in zip(parts, ends, strict=True)]
+
+
 def shingle_set(hashes: np.ndarray) -> bytes:
     """The distinct shingles of sorted hashes, by their upper 32 bits."""
     high = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -239,26 +257,32 @@ def file_marks(files: DataFrame, file_id: str, repo: str, path: str, content: st
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = Tokens()
         for pdf in batches:
-            out = []
+            files = []
             for i, r, p, t in zip(pdf["file_id"].tolist(), pdf["repo"].tolist(), pdf["path"].tolist(), pdf["text"].tolist(), strict=True):
                 p, t = (p or "").replace("\\", "/"), t or ""
                 low = p.lower()
-                if low.endswith(".md"):
-                    continue
-                tokens = _TOKEN.findall(t)
-                rows = table.rows(tokens)
-                masked = table.kinds[rows]
-                hashes = window_hashes(masked, SHINGLE)
+                if not low.endswith(".md"):
+                    tokens = _TOKEN.findall(t)
+                    rows = table.rows(tokens)
+                    masked = table.kinds[rows]
+                    files.append((i, r, p, low, t, tokens, masked, table.hashes[rows[masked != COMMENT]]))
+            every, own = windows_of([f[6] for f in files]), windows_of([f[7] for f in files])
+            out, kept, least = [], [], []
+            for (i, r, p, low, t, tokens, masked, _), hashes, plain in zip(files, every, own, strict=True):
                 shown = evidence(p, t, tokens, masked, hashes)
-                raw = alike = raw_set = masked_set = raw_key = masked_key = None
-                if len(tokens) >= LEAST_TOKENS and low.endswith((".py", ".js")) and t.lstrip()[:1] != "<":
-                    own = np.unique(window_hashes(table.hashes[rows[masked != COMMENT]], SHINGLE))
-                    if len(own):
-                        every = np.unique(hashes)
-                        raw, alike, raw_set, masked_set = signature(own).tobytes(), signature(every).tobytes(), shingle_set(own), shingle_set(every)
-                        raw_key, masked_key = xxhash.xxh3_128_digest(raw), xxhash.xxh3_128_digest(alike)
-                if shown or raw:
-                    out.append((i, r, low[: low.rfind("/") + 1] + low[low.rfind(".") :], bool(raw) and _literal_only(masked), shown, raw_key, masked_key, raw, alike, raw_set, masked_set))
+                clustered = len(plain) > 0 and len(tokens) >= LEAST_TOKENS and low.endswith((".py", ".js")) and t.lstrip()[:1] != "<"
+                sets = (None, None)
+                if clustered:
+                    one, two = np.unique(plain), np.unique(hashes)
+                    sets = shingle_set(one), shingle_set(two)
+                    kept.append(len(out))
+                    least += [least_values(one), least_values(two)]
+                if shown or clustered:
+                    out.append([i, r, low[: low.rfind("/") + 1] + low[low.rfind(".") :], clustered and _literal_only(masked), shown, None, None, None, None, *sets])
+            signatures = _kept(np.stack(least)) if least else []
+            for n, at in enumerate(kept):
+                raw, alike = signatures[2 * n].tobytes(), signatures[2 * n + 1].tobytes()
+                out[at][5:9] = xxhash.xxh3_128_digest(raw), xxhash.xxh3_128_digest(alike), raw, alike
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _SHAPE.split(", ")])
 
     return usable.mapInPandas(mark, _SHAPE)
