@@ -72,20 +72,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("level", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-def _spans(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, DataFrame]]:
+def _spans(spark: SparkSession, sf_dir: str, pairs: bool) -> dict[str, dict[str, DataFrame]]:
     return {
-        "block": shared_spans(read_table(spark, sf_dir, "code_block"), "block_id", "normalized", ["repo", "file_path"]),
-        "profile": shared_spans(read_table(spark, sf_dir, "repo_code_profile"), "scan_id", "all_code_normalized"),
+        "block": shared_spans(read_table(spark, sf_dir, "code_block"), "block_id", "normalized", ["repo", "file_path"], pairs=pairs),
+        "profile": shared_spans(read_table(spark, sf_dir, "repo_code_profile"), "scan_id", "all_code_normalized", pairs=pairs),
     }
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (shared_pairs(parts).select(F.lit(level).alias("level"), "id_a", "id_b") for level, parts in _spans(spark, sf_dir).items())
+    a, b = (shared_pairs(parts).select(F.lit(level).alias("level"), "id_a", "id_b") for level, parts in _spans(spark, sf_dir, True).items())
     return a.unionByName(b)
 
 
 def p4_shared_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (shared_share(parts).select(F.lit(level).alias("level"), "id", "n_chars", "shared_chars", "share") for level, parts in _spans(spark, sf_dir).items())
+    a, b = (shared_share(parts).select(F.lit(level).alias("level"), "id", "n_chars", "shared_chars", "share") for level, parts in _spans(spark, sf_dir, False).items())
     return a.unionByName(b)
 
 

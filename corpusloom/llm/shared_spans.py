@@ -159,12 +159,14 @@ def _batched(pdf: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def shared_spans(records: DataFrame, id_col: str, text_col: str, group_cols: list[str] | None = None, *, min_len: int = 200) -> dict[str, DataFrame]:
+def shared_spans(records: DataFrame, id_col: str, text_col: str, group_cols: list[str] | None = None, *, min_len: int = 200, pairs: bool = True) -> dict[str, DataFrame]:
     """Exact spans of ``min_len`` or more characters that stand in more than one record.
 
     Returns ``members`` (id, cls, grp, n_chars): every record and the class of its text; ``spans`` (a, b, a_start, a_end,
     b_start, b_end): matches between two classes, a < b, at least one row for every stretch of ``min_len`` characters
-    the two share; matches reach at most ``min_len - GRAM`` beyond their anchor, so longer spans are unions of rows.
+    the two share; matches reach at most ``min_len - GRAM`` beyond their anchor, so longer spans are unions of rows. Without
+    ``pairs`` what stands around anchors too common to compare all their holders is not paired but marked: ``marks``
+    (cls, s, e) tells stretches that stand in another class too, whichever that is; else it is empty.
 
     Null ids and null texts are left out; repeated rows of an id count once (of different texts the one with the
     smallest digest stays). Texts shorter than ``min_len`` have no spans. An empty table gives empty results.
@@ -235,7 +237,9 @@ def shared_spans(records: DataFrame, id_col: str, text_col: str, group_cols: lis
 
     shape = "h bigint, b1 int, b2 int, own int, cls bigint, pos int, ctx string, at int, exact boolean"
     placed = texts.join(by_class(shared.where(F.col("n") <= BLOCK), F.lit(1)), "cls").mapInPandas(contexts_of(False), shape)
-    placed = placed.unionAll(texts.join(by_class(hot, F.ceil(F.col("n") / BLOCK)), "cls").mapInPandas(contexts_of(True), shape))
+    if pairs:
+        placed = placed.unionAll(texts.join(by_class(hot, F.ceil(F.col("n") / BLOCK)), "cls").mapInPandas(contexts_of(True), shape))
+    marks = hot.where(F.lit(not pairs)).select("cls", F.col("pos").alias("s"), (F.col("pos") + min_len).alias("e"))
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, group = None, []
@@ -274,7 +278,7 @@ def shared_spans(records: DataFrame, id_col: str, text_col: str, group_cols: lis
             yield pd.DataFrame(done, columns=names)
 
     spans = placed.repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2", "exact").mapInPandas(match, "a bigint, b bigint, a_start int, a_end int, b_start int, b_end int")
-    return {"members": members, "spans": cut(spans)}
+    return {"members": members, "spans": cut(spans), "marks": marks}
 
 
 def shared_pairs(parts: dict[str, DataFrame], *, min_len: int = 200) -> DataFrame:
@@ -295,7 +299,7 @@ def shared_share(parts: dict[str, DataFrame], *, min_len: int = 200) -> DataFram
     by gaps and islands. Groups do not matter here.
     """
     spans = parts["spans"]
-    sides = spans.select(F.col("a").alias("cls"), F.col("a_start").alias("s"), F.col("a_end").alias("e")).unionAll(spans.select("b", "b_start", "b_end")).groupBy("cls", "s").agg(F.max("e").alias("e"))
+    sides = spans.select(F.col("a").alias("cls"), F.col("a_start").alias("s"), F.col("a_end").alias("e")).unionAll(spans.select("b", "b_start", "b_end")).unionAll(parts["marks"]).groupBy("cls", "s").agg(F.max("e").alias("e"))
     order = W.partitionBy("cls").orderBy("s", "e")
     before = sides.withColumn("top", F.coalesce(F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     merged = before.groupBy("cls").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "top"))).alias("covered"))

@@ -36,6 +36,8 @@ def test_matches_brute_force(spark, monkeypatch, block):
     pairs, shares = brute(rows, 50)
     assert {(r["id_a"], r["id_b"]) for r in shared_pairs(parts, min_len=50).collect()} == pairs
     assert {r["id"]: r["shared_chars"] for r in shared_share(parts, min_len=50).collect()} == shares
+    marked = shared_spans(df, "id", "text", min_len=50, pairs=False)
+    assert {r["id"]: r["shared_chars"] for r in shared_share(marked, min_len=50).collect()} == shares
 
 
 def test_empty(spark):
