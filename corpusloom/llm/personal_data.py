@@ -39,6 +39,7 @@ _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punto|punkt|point)\s?[\])}]\s?|\s(?:dot|DOT|pu
 _AT = r"(?:\s?[\[({]\s?(?:at|AT|arroba|arobase)\s?[\])}]\s?|\s(?:at|AT|arroba|arobase)\s)"
 _EMAIL = re.compile(r"(?<![\w.+%@/-])[\w+%-]+(?:\.[\w+%-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w(-])(?!:[\w/])")
 _EMAIL_SPELT = re.compile(rf"(?<![\w.+%@/-])[\w+%-]+(?:\.[\w+%-]+)*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w-])")
+_AT_WORD = re.compile(r"[\s\[({](?:at|AT|arroba|arobase)[\s\])}]")
 # --- telephone ---
 _EXT = r"(?:\s?(?:ext\.?|x|extension|Durchwahl|poste)\s?\d{1,5})?"
 _PHONE = re.compile(
@@ -80,7 +81,25 @@ _TOKEN = re.compile(rf"{_W}+(?:['’-]{_W}+)*\.?")
 
 
 def _name_parts(token: str) -> list[str]:
-    return [p for p in re.split(r"['’-]", token.rstrip(".").lower()) if p]
+    token = token.rstrip(".").lower()
+    if "-" in token or "'" in token or "’" in token:
+        return [p for p in re.split(r"['’-]", token) if p]
+    return [token] if token else []
+
+
+#: What a greeting, a title or a cue for a name ends with, less its signs; fixed values.
+_CUES = frozenset(
+    "dear hi hello hey hallo liebe lieber liebes tag hola querido querida estimado estimada bonjour salut cher chère ciao prof dr mr mrs ms miss herr herrn frau sr sra don doña mme mlle m cc to you a à an author owner maintainer assignee reviewer contact from name signed-off-by co-authored-by reviewed-by by with von student alumno alumna l'élève l’élève bitte shows met ask tell call user regards grüße saludos cordialement cheers best".split()
+)
+
+
+def _may_be_cued(left: str) -> bool:
+    """Whether what stands before a word can be a cue at all; cheaper than the patterns, and never narrower."""
+    chunks = left.split()
+    if not chunks:
+        return False
+    last = chunks[-1].lower().strip(".,:;\"'()[]{}|=<>-*#_/")
+    return not last or last in _CUES or chunks[-1][-1] == ";" or "=" in chunks[-1] or '"' in chunks[-1]
 
 
 # Lower-case words, but for parts of addresses, paths and identifiers, which say nothing about how a word is written.
@@ -99,6 +118,8 @@ def word_places(text: str, counts: Counter) -> None:
         if len(token) < 3:
             continue
         left = text[max(0, m.start() - 40) : m.start()]
+        if not _may_be_cued(left):
+            continue
         greeted = _GREETING.search(left)
         if not (greeted or _TITLE.search(left) or (not left.endswith(("; ", "\n")) and _NAME_BEFORE.search(left))):
             continue
@@ -184,8 +205,10 @@ def _names(text: str, votes: dict[str, int], missing: set[str] | None) -> Iterat
         m = tokens[n]
         lone = is_initial(m)
         left = text[max(0, m.start() - 40) : m.start()]
-        greeted, titled = bool(_GREETING.search(left)), bool(_TITLE.search(left))
-        cue = greeted or titled or bool(_NAME_BEFORE.search(left))
+        greeted = titled = cue = False
+        if _may_be_cued(left):
+            greeted, titled = bool(_GREETING.search(left)), bool(_TITLE.search(left))
+            cue = greeted or titled or bool(_NAME_BEFORE.search(left))
         plain = not lone and not may_be(m)  # an ordinary word: a candidate only where something points at it, or in a run
         if plain and not cue and not (n + 1 < len(tokens) and text[m.end() : tokens[n + 1].start()] == " " and len(m.group()) > 2 and len(tokens[n + 1].group()) > 2 and not may_be(tokens[n + 1])):
             n += 1
@@ -229,7 +252,7 @@ def _names(text: str, votes: dict[str, int], missing: set[str] | None) -> Iterat
 def _candidates(text: str, votes: dict[str, int], missing: set[str] | None = None) -> Iterator[tuple[bool, Candidate]]:
     """Candidates and whether they come from the wide patterns."""
     for spelt, pattern in enumerate((_EMAIL, _EMAIL_SPELT)):
-        for m in pattern.finditer(text) if spelt or "@" in text else ():
+        for m in pattern.finditer(text) if (_AT_WORD.search(text) if spelt else "@" in text) else ():
             left, after = text[max(0, m.start() - 12) : m.start()], text[m.end() : m.end() + 2]
             remote = left.endswith(("://", "ssh ", "clone ", "remote ", "origin "))
             path = after[:1] in (":", "/") and after[1:].isalnum()

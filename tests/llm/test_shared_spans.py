@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from corpusloom.operators import shared_spans as module
+from corpusloom.llm import shared_spans as module
 from corpusloom.llm.shared_spans import SuffixAutomaton, shared_pairs, shared_share, shared_spans
 
 
