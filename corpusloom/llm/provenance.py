@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,9 +34,9 @@ SHINGLE = 5
 SIMILAR = 0.8
 #: Values of a signature; BANDS bands of ROWS values: a pair at 0.8 shares a band with probability 0.9999.
 ROWS, BANDS = 5, 24
-#: Pairs whose signatures agree in a smaller share are not looked at; a pair at 0.8 falls below with probability 2e-5.
-AGREE = 0.64
-#: The first values of a signature are compared first; a pair at 0.8 agrees in fewer of FIRST than LEAST with probability 2e-5.
+#: Pairs are compared by four bits of each value, which agree by chance in a sixteenth of the others. A pair at 0.8 agrees
+#: in fewer than AGREE of all values with probability 2e-5, in fewer than LEAST of the FIRST with probability 8e-6.
+AGREE = 79
 FIRST, LEAST = 40, 21
 #: Counts of a file's shingles by hash, which bound from above how many two files share.
 COUNTS = 64
@@ -322,7 +323,7 @@ def shared_band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
         def similar_of(met: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
             x, y = (np.concatenate(z) for z in zip(*met, strict=True))
-            keep = np.count_nonzero(brief[x, :-COUNTS] == brief[y, :-COUNTS], axis=1) >= AGREE * ROWS * BANDS
+            keep = np.count_nonzero(brief[x, :-COUNTS] == brief[y, :-COUNTS], axis=1) >= AGREE
             x, y = x[keep], y[keep]
             most = np.minimum(brief[x, -COUNTS:], brief[y, -COUNTS:])
             most = np.where((most == 15).any(1), size[y], most.sum(1, dtype=np.int64))
@@ -377,9 +378,9 @@ def brief_of(signatures: np.ndarray, sets: list[np.ndarray]) -> list[bytes]:
     return [x.tobytes() for x in whole[:, ::2] | whole[:, 1::2] << 4]
 
 
-def _clusters(marks: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """``(file_id, cls)`` and ``(cls, cluster)``: files of equal signatures are one class, named by its smallest file; any
-    two classes that share a band are linked if the exact Jaccard similarity of their shingle sets is SIMILAR."""
+def _links(marks: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``(file_id, cls)`` and ``(a, b)``: files of equal signatures are one class, named by its smallest file; any two
+    classes that share a band are linked if the exact Jaccard similarity of their shingle sets is SIMILAR."""
     keys = marks.where(F.col(column).isNotNull()).select("file_id", F.col(f"{column}_key").alias("key"))
     classes = cut(keys.join(keys.groupBy("key").agg(F.min("file_id").alias("cls")), "key").select("file_id", "cls"))
     copies = classes.where("file_id <> cls").select("file_id").distinct()
@@ -412,7 +413,7 @@ def _clusters(marks: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     members = pairs.select("band", "p", "q", F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls").select("band", "p", "q", F.col("cls").alias("a"), F.lit(None).cast("bigint").alias("b"), "set")
     both = members.unionByName(pairs.withColumn("set", F.lit(None).cast("binary")))
     good = both.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", F.col("b").isNotNull()).mapInPandas(verified, "a bigint, b bigint")
-    return classes, connected_components(good, "a", "b", "cls", "cluster")
+    return classes, good
 
 
 def unwritten_files(files: DataFrame, file_id: str, repo: str, path: str, content: str) -> DataFrame:
@@ -425,11 +426,16 @@ def unwritten_files(files: DataFrame, file_id: str, repo: str, path: str, conten
     shown = marks.where("shown is not null").select("file_id", F.col("shown").alias("reason"))
     named = marks.where("raw is not null").select("file_id", "repo", "place", "listed", "shown").dropDuplicates(["file_id"])
 
-    def clustered(column: str, name: str) -> DataFrame:
-        classes, joined = _clusters(marks, column)
-        return classes.join(joined, "cls", "left").groupBy("file_id").agg(F.min(F.coalesce("cluster", "cls")).alias(name))
+    # The links of both kinds are joined into clusters in one go; a class is numbered 2 * file + kind.
+    classes, links = zip(*(_links(marks, column) for column in ("raw", "masked")), strict=True)
+    number = lambda c, kind: F.col(c) * 2 + kind
+    joined = cut(connected_components(reduce(DataFrame.unionAll, (x.select(number("a", k).alias("a"), number("b", k).alias("b")) for k, x in enumerate(links))), "a", "b", "v", "cluster"))
 
-    alike = cut(named.join(clustered("raw", "c"), "file_id").join(clustered("masked", "f"), "file_id"))
+    def clustered(kind: int, name: str) -> DataFrame:
+        told = classes[kind].withColumn("v", number("cls", kind)).join(joined, "v", "left")
+        return told.groupBy("file_id").agg(F.min(F.coalesce("cluster", "v")).alias(name))
+
+    alike = cut(named.join(clustered(0, "c"), "file_id").join(clustered(1, "f"), "file_id"))
     # Copies across repositories, equal signatures included.
     spread = alike.groupBy("c").agg(F.min("repo").alias("r1"), F.max("repo").alias("r2"), F.max(F.when(F.col("shown") == "vendored", 1).otherwise(0)).alias("noted"))
     vendored = alike.join(spread.where("r1 <> r2 or noted = 1").select("c"), "c").select("file_id", F.lit("vendored").alias("reason"))

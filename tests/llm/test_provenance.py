@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 
 from corpusloom.functions.rolling import window_hashes
-from corpusloom.llm.provenance import BANDS, COUNTS, ROWS, SHINGLE, SIMILAR, _TOKEN, Tokens, _clusters, evidence, shared_band, shingle_set, signature, unwritten_files
+from corpusloom.operators.components import connected_components
+from corpusloom.llm.provenance import BANDS, COUNTS, ROWS, SHINGLE, SIMILAR, _TOKEN, Tokens, _links, evidence, shared_band, shingle_set, signature, unwritten_files
 
 SHAPE = "file_id long, repo string, path string, content string"
 FORMS = ["{0} = {1}({2}, {3})", "if {0} > {3}:\n        {1} = {2}", "for {0} in {1}:\n        {2}.append({0})", "{0} = [{1} for {1} in {2} if {1}]", "assert {0}, '{1}'", "with open({0}) as {1}:\n        {2} = {1}.read()", "{0} = {{'{1}': {2}}}", "try:\n        {0} = int({1})\n    except ValueError:\n        {2} = None", "{0}.{1} += {3}", "while {0}:\n        {0} = {1} - {3}", "return {0} or {1}", "del {0}[{3}]"]
@@ -48,7 +49,8 @@ def test_every_pair_of_a_band_is_compared_exactly(spark):
     sets, groups = _sets(np.random.default_rng(4))
     rows = [(i, bytearray(signature(s).tobytes()), bytearray(shingle_set(s))) for i, s in enumerate(sets)]
     marks = spark.createDataFrame([(*r, r[1]) for r in rows] + [(*rows[0], rows[0][1]), (99, *rows[3][1:], rows[3][1])], "file_id long, raw binary, raw_set binary, raw_key binary")
-    classes, joined = _clusters(marks, "raw")
+    classes, links = _links(marks, "raw")
+    joined = connected_components(links, "a", "b", "cls", "cluster")
     cluster = {r["file_id"]: r["c"] for r in classes.join(joined, "cls", "left").selectExpr("file_id", "coalesce(cluster, cls) c").distinct().collect()}
     got = [cluster[i] for i in range(36)]
     assert cluster[99] == got[3]
