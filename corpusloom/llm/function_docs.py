@@ -281,25 +281,52 @@ def informs(doc: str | None, name: str | None, signature: str | None) -> bool:
     return len(set(left)) >= 2 or (len(words) <= 2 and len(left) == 1 and len(left[0]) > 5)
 
 
-def pair_functions(functions: DataFrame, files: DataFrame) -> DataFrame:
+def delimited(lines: list[str], line: int, end_line: int, python: bool) -> str:
+    """The text of a function from its header to the line that ends it; in Python that is the next statement further out,
+    which is left off with the blank lines, remarks and decorators before it."""
+    kept = lines[line - 1 : end_line]
+    if python and kept:
+        indent = len(kept[0]) - len(kept[0].lstrip())
+        while len(kept) > 1 and (not kept[-1].strip() or len(kept[-1]) - len(kept[-1].lstrip()) <= indent and kept[-1].strip()[0] not in ")]}\"'"):
+            kept.pop()
+    return "\n".join(kept)
+
+
+def function_texts(files: DataFrame, found: DataFrame) -> DataFrame:
+    """``(s_repo, s_path, s_name, s_line, text)`` of every delimited function; a file's spots are as many as its functions."""
+    spots = found.groupBy("file_id").agg(F.collect_list(F.struct("name", "line", "end_line")).alias("spots"))
+
+    def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for repo, path, text, own in zip(pdf["repo"], pdf["path"], pdf["content"], pdf["spots"], strict=True):
+                lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+                out.extend((repo, path, x["name"], x["line"], delimited(lines, x["line"], x["end_line"], path.lower().endswith(".py"))) for x in own)
+            yield pd.DataFrame(out, columns=["s_repo", "s_path", "s_name", "s_line", "text"])
+
+    return files.join(spots, "file_id").select("repo", "path", "content", "spots").mapInPandas(cut_out, "s_repo string, s_path string, s_name string, s_line int, text string")
+
+
+def pair_functions(functions: DataFrame, files: DataFrame, *, texts: bool = False) -> DataFrame:
     """``(function_id, repo, file_path, name, signature, code, doc)``: functions with documentation that informs.
 
     The function's own docstring counts; where it is null or blank, the docstring or the comment directly above the
     function in the file's content does. A function is found in its file by name, nearest to ``start_line``. Repeated
-    rows of an id count once, null ids are left out; functions without a file keep their own docstring.
+    rows of an id count once, null ids are left out; functions without a file keep their own docstring. With ``texts`` the
+    code is what the file holds between the function's delimiters, and the given body only where it is not found there.
     """
     own = functions.select("function_id", "repo", "file_path", "name", "signature", "normalized_body", "docstring", "start_line").where("function_id is not null")
     blank = F.coalesce(F.trim(F.regexp_replace("docstring", r"\s+", " ")), F.lit("")) == ""
     stated = own.where(~blank).withColumn("doc", F.array("docstring"))
     silent = own.where(blank).withColumn("plain", F.element_at(F.split("name", r"\."), -1))
     files = files.select("file_id", "repo", "path", "content").where("file_id is not null").groupBy("file_id").agg(F.min_by(F.struct("repo", "path", "content"), "content").alias("f")).select("file_id", "f.*")
-    found = delimit_functions(function_tokens(files, "file_id", "path", "content"))
+    found = every = delimit_functions(function_tokens(files, "file_id", "path", "content"))
     placed = files.select("file_id", F.col("repo").alias("f_repo"), F.col("path").alias("f_path"))
     found = found.where("docstring is not null or comment is not null").join(placed, "file_id").select("f_repo", "f_path", F.col("name").alias("f_name"), "line", "end_line", F.col("docstring").alias("f_doc"), "comment")
     near = silent.join(found, (silent["repo"] == found["f_repo"]) & (silent["file_path"] == found["f_path"]) & (silent["plain"] == found["f_name"]))
     rank = W.partitionBy("function_id").orderBy(F.abs(F.coalesce(F.col("start_line"), F.lit(0)) - F.col("line")), "line", "f_doc", "comment")
     near = near.withColumn("nth", F.row_number().over(rank)).where("nth = 1").withColumn("doc", F.array("f_doc", "comment"))
-    names = ["function_id", "repo", "file_path", "name", "signature", "normalized_body", "doc"]
+    names = ["function_id", "repo", "file_path", "name", "signature", "normalized_body", "start_line", "doc"]
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -308,4 +335,11 @@ def pair_functions(functions: DataFrame, files: DataFrame) -> DataFrame:
             yield out[out["doc"].notna()].rename(columns={"normalized_body": "code"})
 
     both = stated.select(*names).unionAll(near.select(*names))
-    return both.mapInPandas(choose, "function_id bigint, repo string, file_path string, name string, signature string, code string, doc string")
+    columns = ["function_id", "repo", "file_path", "name", "signature", "code", "doc"]
+    paired = both.mapInPandas(choose, "function_id bigint, repo string, file_path string, name string, signature string, code string, start_line int, doc string")
+    if not texts:
+        return paired.select(columns)
+    spots = function_texts(files, every)
+    met = paired.dropDuplicates(["function_id"]).join(spots, (F.col("repo") == F.col("s_repo")) & (F.col("file_path") == F.col("s_path")) & (F.element_at(F.split("name", r"\."), -1) == F.col("s_name")), "left")
+    rank = W.partitionBy("function_id").orderBy(F.abs(F.coalesce(F.col("start_line"), F.lit(0)) - F.col("s_line")), "s_line")
+    return met.withColumn("nth", F.row_number().over(rank)).where("nth = 1").withColumn("code", F.coalesce("text", "code")).select(columns)

@@ -114,8 +114,8 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = pair_functions(read_table(spark, sf_dir, "function_embedding"), read_table(spark, sf_dir, "file_embedding"))
-    return pairs.dropDuplicates(["function_id"])
+    """Code, as the files hold it, and its documentation."""
+    return pair_functions(read_table(spark, sf_dir, "function_embedding"), read_table(spark, sf_dir, "file_embedding"), texts=True)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,8 @@ def test_functions_are_delimited(spark):
     functions = spark.createDataFrame([(1, "r", "a.py", "foo", "def foo(a, b={})", "x", None, 99, 5), (2, "r", "a.py", "A.n", "def n(self, b)", "x", "  ", 18, 5), (3, "r", "a.py", "A.m", "async def m(self)", None, None, None, 5), (4, "q", None, "z", None, None, "Keeps the oldest entry.", 1, 5), (4, "q", None, "z", None, None, "Keeps the oldest entry.", 1, 5), (5, "r", "a.py", "bar", "def bar()", "x", "Bar.", 8, 5)], "function_id long, repo string, file_path string, name string, signature string, normalized_body string, docstring string, start_line int, line int")
     found = {r["function_id"]: r["doc"] for r in pair_functions(functions, files).collect()}
     assert set(found) == {1, 2, 4} and found[1] == "Reads x in order." and found[2].startswith("Counts the")
+    code = {r["function_id"]: r["code"] for r in pair_functions(functions, files, texts=True).collect()}
+    assert code == {1: PY.split("1}\n")[0].split("     2)\n")[1] + '1}\n    def bar():\n        """Doc of bar, kept short."""\n        return 1', 2: PY[PY.index("    def n(self") : PY.index("\nx = 1")], 4: None}
 
 
 def test_unwritten_files(spark):
