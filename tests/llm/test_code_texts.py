@@ -26,7 +26,7 @@ def test_credentials_of_a_table(spark):
     rows = [(1, "a = 1\n" + SECRET[0]), (1, "a = 1\n" + SECRET[0]), (2, None), (None, SECRET[0]), (3, ""), (4, PLAIN[0]), (5, "x" * 30_000 + "\n" + SECRET[1])]
     df = spark.createDataFrame([(i, t, 9) for i, t in rows], "id long, text string, line_no int")
     costs = word_costs(spark.createDataFrame([("solid_orchard",), ("SolidOrchard",), (None,)], "n string"), "n")
-    assert set(costs) == {"solid", "orchard"}
+    assert set(costs.costs) == {"solid", "orchard"} and costs.rest is None
     assert {(r["row_id"], r["line_no"]) for r in credentials(df, "id", "text", costs).collect()} == {(1, 2), (5, 2)}
     assert {r["row_id"]: r["credentials"] for r in redacted(df, "id", "text", costs).collect()} == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
 
