@@ -77,6 +77,9 @@ NAME, NUMBER, STRING, COMMENT = 1, 2, 3, 4
 _LIST_SIGNS = {c: 6 + n for n, c in enumerate(",[](){}-")}
 _DEFINES = {w: 20 + n for n, w in enumerate("def class function return if for while import lambda async await try raise throw new switch with".split())}
 LISTED_END, DEFINES_FROM, DEFINES_END = 20, 20, 40
+#: Other keywords and signs stand for themselves.
+OTHER = 63
+#: Tokens whose hashes a task remembers.
 TABLE = 1 << 20
 
 
@@ -84,37 +87,34 @@ def _kind(token: str) -> int:
     """The number of what stands in a token's place once identifiers, numbers, strings and comments are masked."""
     c = token[0]
     if c.isalpha() or c == "_":
-        if token.lower() not in _KEYWORDS:
-            return NAME
-        return _DEFINES.get(token) or 100 + (xxhash.xxh64_intdigest(token) >> 2)
+        return NAME if token.lower() not in _KEYWORDS else _DEFINES.get(token, OTHER)
     if c.isdigit():
         return NUMBER
     if c in "'\"`" and len(token) > 1:
         return STRING
     if c == "#" or (c == "/" and len(token) > 1):
         return COMMENT
-    return _LIST_SIGNS.get(token) or 100 + (xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) >> 2)
+    return _LIST_SIGNS.get(token, OTHER)
 
 
 class Tokens(dict):
-    """Token -> row of two tables: the token's hash and its kind. Begins anew when the tables are full."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.hashes, self.kinds = np.zeros(TABLE, dtype=np.uint64), np.zeros(TABLE, dtype=np.uint64)
+    """Token -> its hash, with its kind in the lowest six bits. Begins anew when it holds TABLE tokens."""
 
     def __missing__(self, token: str) -> int:
-        row = self[token] = len(self)
-        if row >= len(self.hashes):  # one text alone has more tokens than the tables have rows
-            self.hashes, self.kinds = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.kinds))
-        self.hashes[row] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) >> 1
-        self.kinds[row] = _kind(token)
-        return row
-
-    def rows(self, tokens: list[str]) -> np.ndarray:
-        if len(self) + len(tokens) > TABLE:
+        try:
+            value = xxhash.xxh64_intdigest(token)
+        except UnicodeEncodeError:
+            value = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+        value = self[token] = value & ~63 | _kind(token)
+        return value
+
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens' hashes, and what is left of them once masked: the kind, or the hash of OTHER."""
+        if len(self) > TABLE:
             self.clear()
-        return np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        values = np.fromiter(map(self.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+        kinds = values & np.uint64(63)
+        return values, np.where(kinds == OTHER, values, kinds)
 
 
 _SEEDS = (mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -264,9 +264,8 @@ def file_marks(files: DataFrame, file_id: str, repo: str, path: str, content: st
                 low = p.lower()
                 if not low.endswith(".md"):
                     tokens = _TOKEN.findall(t)
-                    rows = table.rows(tokens)
-                    masked = table.kinds[rows]
-                    files.append((i, r, p, low, t, tokens, masked, table.hashes[rows[masked != COMMENT]]))
+                    values, masked = table.of(tokens)
+                    files.append((i, r, p, low, t, tokens, masked, values[masked != COMMENT]))
             every, own = windows_of([f[6] for f in files]), windows_of([f[7] for f in files])
             out, kept, least = [], [], []
             for (i, r, p, low, t, tokens, masked, _), hashes, plain in zip(files, every, own, strict=True):

@@ -73,8 +73,7 @@ def test_bands_go_on_over_batches(held):
 
 def _shown(path, text):
     tokens = _TOKEN.findall(text)
-    table = Tokens()
-    masked = table.kinds[table.rows(tokens)]
+    masked = Tokens().of(tokens)[1]
     return evidence(path, text, tokens, masked, window_hashes(masked, SHINGLE))
 
 
