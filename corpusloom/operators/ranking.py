@@ -21,8 +21,10 @@ def global_rank(rows: DataFrame, *order: Column, name: str = "position") -> Data
 
 def min_max(rows: DataFrame, value: str, usable: Column, low: float, high: float, name: str = "normalized") -> DataFrame:
     """Adds ``name``: the value scaled to [low, high] between the least and the largest usable value; others get 0, and all
-    get ``high`` where there is but one value. The bounds are one row, not a window over the table."""
-    bounds = rows.where(usable).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    scaled = F.round(low + (high - low) * F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), 2)
-    out = F.when(~usable | F.col(value).isNull(), 0.0).when(F.col("_hi") == F.col("_lo"), float(high)).otherwise(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), scaled)))
-    return rows.join(F.broadcast(bounds)).withColumn(name, F.coalesce(out, F.lit(0.0))).drop("_lo", "_hi")
+    get ``high`` where there is but one value. The bounds are two numbers of one aggregation, not a window over the table."""
+    least, most = rows.where(usable).agg(F.min(value), F.max(value)).first()
+    if least is None or least == most:
+        return rows.withColumn(name, F.when(usable & F.col(value).isNotNull(), float(high)).otherwise(0.0))
+    scaled = F.round(low + (high - low) * (F.col(value) - least) / (most - least), 2)
+    out = F.when(usable, F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), scaled)))
+    return rows.withColumn(name, F.coalesce(out, F.lit(0.0)))

@@ -63,7 +63,7 @@ SHARED: dict[str, str] = {
     # Fixed bands.
     "score_band_histogram": "SELECT CASE WHEN s >= 9.5 THEN '9.5' WHEN s >= 8.5 THEN '8.5' WHEN s >= 7.5 THEN '7.5' WHEN s >= 6.5 THEN '6.5' WHEN s >= 5.5 THEN '5.5' ELSE 'below' END AS band, count(*) AS orders FROM (SELECT least(10, o_totalprice / 20000) AS s FROM orders) q GROUP BY 1",
     # Twenty equal bins, the last one closed.
-    "equal_width_histogram": "WITH r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), b AS (SELECT least(19, CAST(floor(20 * (o_totalprice - lo) / (hi - lo)) AS INT)) AS bin FROM orders CROSS JOIN r) SELECT bin, count(*) AS orders FROM b GROUP BY bin",
+    "equal_width_histogram": "WITH b AS (SELECT least(19, CAST(floor(20 * (o_totalprice - (SELECT min(o_totalprice) FROM orders)) / ((SELECT max(o_totalprice) FROM orders) - (SELECT min(o_totalprice) FROM orders))) AS INT)) AS bin FROM orders) SELECT bin, count(*) AS orders FROM b GROUP BY bin",
     # Letters and pass.
     "letter_bands_passfail": "WITH s AS (SELECT c_custkey, greatest(0, least(10, (c_acctbal + 1000) / 1100)) AS score FROM customer) SELECT CASE WHEN score >= 9.5 THEN 'A+' WHEN score >= 9 THEN 'A' WHEN score >= 8.5 THEN 'A-' WHEN score >= 8 THEN 'B+' WHEN score >= 7.5 THEN 'B' WHEN score >= 7 THEN 'B-' WHEN score >= 6.5 THEN 'C+' WHEN score >= 6 THEN 'C' WHEN score >= 5.5 THEN 'C-' WHEN score >= 5 THEN 'D' ELSE 'F' END AS letter, score >= 6 AS passed, count(*) AS entries FROM s GROUP BY 1, 2",
     # Averages of a category, missing values ignored.

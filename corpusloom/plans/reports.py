@@ -108,9 +108,9 @@ def similarity_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def framework_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repositories of each framework, their number and share."""
     t = read_table(spark, sf_dir, "repo_analysis").where("repo is not null").select("repo", F.explode("frameworks").alias("framework")).distinct()
-    n = read_table(spark, sf_dir, "repo_analysis").agg(F.count_distinct("repo").alias("n"))
+    n = read_table(spark, sf_dir, "repo_analysis").agg(F.count_distinct("repo")).first()[0] or 1
     g = t.groupBy("framework").agg(F.count("*").alias("repos"))
-    return t.join(g.join(F.broadcast(n)), "framework").select("framework", "repo", "repos", F.round(F.col("repos") * 100 / F.col("n"), 4).alias("percent"))
+    return t.join(g, "framework").select("framework", "repo", "repos", F.round(F.col("repos") * 100 / n, 4).alias("percent"))
 
 
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
