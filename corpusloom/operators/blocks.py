@@ -19,7 +19,7 @@ from corpusloom.runtime import cut
 #: A function or class becomes a block from this many lines on; fixed values of the job.
 LEAST_LINES = 5
 NEAR, STRUCTURAL = 0.85, 0.70
-LINES_SHARED, SHAPES_SHARED = 0.4, 0.8
+LINES_SHARED, SHAPES_SHARED = 0.4, 0.65
 BOILERPLATE = r"from fastapi import|from pydantic import|import uvicorn|if __name__ == [\"']__main__[\"']|app = FastAPI\(|@app\.(get|post|put|patch|delete)|HTTPException|status_code="
 
 
@@ -126,8 +126,8 @@ def near_copies(blocks: DataFrame, block_id: str, repo: str, code: str) -> DataF
     """``(id_a, id_b, similarity, match_type)``, id_a < id_b: different texts that stand in different repositories and are
     alike; an id stands for all blocks of its text (``distinct_blocks`` has the membership), so copies are not spelt out.
 
-    Candidates share lines to a Jaccard similarity of ``LINES_SHARED``, as they stand or with names and numbers masked
-    (``SHAPES_SHARED``), exact by prefix filtering, and differ by at most three tenths of the longer one's lines, five at
+    Candidates share lines to a Jaccard similarity of ``LINES_SHARED``, or pairs of neighbouring lines with names and
+    numbers masked (``SHAPES_SHARED``), exact by prefix filtering, and differ by at most three tenths of the longer one's lines, five at
     least. Similarity and kind follow the job's rules: ``near_exact`` from a text ratio of 0.85 on, ``structural`` from 0.7
     on where the ratio with neutral names reaches 0.85. The ratio is the sequence matcher's, from the smaller id on.
     """
@@ -136,9 +136,11 @@ def near_copies(blocks: DataFrame, block_id: str, repo: str, code: str) -> DataF
     texts = cut(norm.groupBy("t").agg(F.min("repo").alias("first"), F.max("repo").alias("last"), F.min_by("n", "id").alias("n"), F.min_by("code", "id").alias("code")).withColumn("lines", F.size(F.split("n", "\n"))))
     lines = cut(texts.select("t", F.posexplode(F.split("n", "\n")).alias("pos", "line")))
     shape = F.regexp_replace("line", r"[A-Za-z_]\w*|\d+", "v")
-    # Of equal masked lines of a text the second is another element than the first, so that few shapes don't make all alike.
+    # Two neighbouring masked lines are an element, since single ones are too common to tell; of equal elements of a text
+    # the second is another than the first.
+    shaped = lines.select("t", "pos", shape.alias("s")).withColumn("shape", F.concat_ws("\n", "s", F.lead("s").over(W.partitionBy("t").orderBy("pos"))))
     nth = F.row_number().over(W.partitionBy("t", "shape").orderBy("pos"))
-    shapes = lines.withColumn("shape", shape).select("t", F.concat_ws("#", "shape", nth.cast("string")).alias("line"))
+    shapes = shaped.select("t", F.concat_ws("#", "shape", nth.cast("string")).alias("line"))
     near = _alike(lines, LINES_SHARED).unionByName(_alike(shapes, SHAPES_SHARED)).distinct()
     facts = texts.select("t", "first", "last", "lines")
     pairs = near.join(facts.toDF("a", "fa", "la", "na"), "a").join(facts.toDF("b", "fb", "lb", "nb"), "b")
