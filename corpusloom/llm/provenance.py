@@ -23,27 +23,28 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.rolling import mix, window_hashes
 from corpusloom.operators.components import connected_components
-from corpusloom.runtime import cut
+from corpusloom.runtime import cut, release
 
 SHINGLE = 5
 SIMILAR = 0.8
 #: Values of a signature; BANDS bands of ROWS values: a pair at 0.8 shares a band with probability 0.9999.
 ROWS, BANDS = 5, 24
 #: Pairs are compared by four bits of each value, which agree by chance in a sixteenth of the others. A pair at 0.8 agrees
-#: in fewer than AGREE of all values with probability 2e-5, in fewer than LEAST of the FIRST with probability 8e-6.
+#: in fewer than AGREE of all values with probability 2e-5, in fewer than LEAST of the FIRST (large bands) with 8e-6.
 AGREE = 79
 FIRST, LEAST = 40, 21
-#: Counts of a file's shingles by hash, which bound from above how many two files share.
-COUNTS = 64
+#: Half-bytes that tell of 4 * COUNTS buckets of a file's shingles whether each holds an odd number. Buckets that differ
+#: between two files bound from below how many shingles only one of them has.
+COUNTS = 96
 #: Files of one band that meet all others of it by columns of their signatures at once; smaller bands go together.
 STRIP = 64
-#: Pairs that are looked at together.
-PAIRS = 100_000
+#: Pairs that are looked at together, and rows that come together.
+PAIRS, ROWS_HELD = 100_000, 8192
 #: Files whose shingle sets are held at a time while the pairs of one band are verified.
 BLOCK = 16_384
 #: Fewer tokens say too little to tell a family or a copy.
@@ -57,7 +58,13 @@ REPEATED = 0.35
 _KEYWORDS = frozenset(
     "and as assert async await break case catch class const continue debugger def default del delete do elif else except export extends finally for from function global if import in instanceof is lambda let new nonlocal not of or pass raise return super switch this throw true try typeof var void while with yield none false null undefined self".split()
 )
-_TOKEN = re.compile(r"[^\W\d][\w$]*|\d[\w.]*|\"\"\"(?:[^\"]|\"(?!\"\"))*\"\"\"|'''(?:[^']|'(?!''))*'''|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|#[^\n]*|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|[^\s\w]")
+# Names and signs come first, since most tokens are such; quotes, slashes and hashes begin longer tokens.
+_TOKEN = re.compile(
+    r"[A-Za-z_][\w$]*+|[(),.:=\[\]{}+*<>!;&|%?@^~-]|[^\W\d][\w$]*+|\d[\w.]*+|\"\"\"(?:[^\"]|\"(?!\"\"))*\"\"\"|'''(?:[^']|'(?!''))*'''"
+    r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|`[^`\\]*+(?:\\.[^`\\]*+)*+`|#[^\n]*|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|[^\s\w]"
+)
+#: The same with the blanks before it; at the end there may be blanks alone.
+_SPACED = re.compile(rf"\s*+({_TOKEN.pattern}|\Z)")
 _BANNER = re.compile(r"\bgenerated\b|auto-?generated|@generated|machine[- ]generated|do not (?:edit|modify|touch)|\bproduced (?:from|by)\b.*\bby\b|erzeugt|generiert|généré|generado|autogenerad|nicht (?:bearbeiten|ändern)|code generator|changes will be (?:lost|overwritten)", re.I)
 _BY_HAND = re.compile(r"used to be|no longer|by hand|hand-?(?:written|maintained|made)|maintained|without (?:telling|asking)|was (?:once|formerly)|not generated|von hand|formerly", re.I)
 _NOTICE = re.compile(r"\(c\)|©|copyright|licen[cs]ed? |licen[cs]e\b|spdx-", re.I)
@@ -81,6 +88,8 @@ LISTED_END, DEFINES_FROM, DEFINES_END = 20, 20, 40
 OTHER = 63
 #: Tokens whose hashes a task remembers.
 TABLE = 1 << 20
+#: Shingles whose values are found together.
+TOGETHER = 1 << 14
 
 
 def _kind(token: str) -> int:
@@ -120,20 +129,26 @@ class Tokens(dict):
 _SEEDS = (mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def least_values(shingles: np.ndarray) -> np.ndarray:
-    """The smallest value of a set of shingle hashes under each function. The hashes are mixed already, so a
+def least_values(sets: list[np.ndarray]) -> np.ndarray:
+    """The smallest value of each set of shingles under each function. The hashes are mixed already, so a
     multiplication for each value tells as much as independent functions do (see the tests)."""
-    least = np.full(len(_SEEDS), 0xFFFFFFFF, dtype=np.uint32)
-    high = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
-    with np.errstate(over="ignore"):
-        for at in range(0, len(high), 1024):
-            np.minimum(least, (high[at : at + 1024] * _SEEDS[None]).min(0), out=least)
-    return least
+    least = np.empty((len(_SEEDS), len(sets)), dtype=np.uint32)
+    ends = np.cumsum([len(x) for x in sets])
+    at = 0
+    while at < len(sets):
+        begin = int(ends[at]) - len(sets[at])
+        to = max(at + 1, int(np.searchsorted(ends, begin + TOGETHER, "right")))
+        joined, starts = np.concatenate(sets[at:to]), np.concatenate(([0], ends[at : to - 1] - begin))
+        value = np.empty_like(joined)
+        for seed, row in zip(_SEEDS, least, strict=True):
+            np.minimum.reduceat(np.multiply(joined, seed, out=value), starts, out=row[at:to])
+        at = to
+    return least.T
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """MinHash values of a set of shingle hashes; 16 bits of each are kept, enough to compare and to band."""
-    return _kept(least_values(shingles))
+    return _kept(least_values([upper(shingles)])[0])
 
 
 def _kept(least: np.ndarray) -> np.ndarray:
@@ -149,10 +164,15 @@ def windows_of(parts: list[np.ndarray]) -> list[np.ndarray]:
     return [hashes[e - len(p) : max(e - len(p), e - SHINGLE + 1)] for p, e in zip(parts, ends, strict=True)]
 
 
+def upper(hashes: np.ndarray) -> np.ndarray:
+    """The distinct shingles of hashes by their upper 32 bits, in order."""
+    high = np.sort((hashes >> np.uint64(32)).astype(np.uint32))
+    return high[np.concatenate(([True], high[1:] != high[:-1]))]
+
+
 def shingle_set(hashes: np.ndarray) -> bytes:
-    """The distinct shingles of sorted hashes, by their upper 32 bits."""
-    high = (hashes >> np.uint64(32)).astype(np.uint32)
-    return high[np.concatenate(([True], high[1:] != high[:-1]))].tobytes()
+    """The same as bytes."""
+    return upper(hashes).tobytes()
 
 
 def similar(common, sizes):  # noqa: ANN001, ANN201
@@ -160,6 +180,14 @@ def similar(common, sizes):  # noqa: ANN001, ANN201
     return common * (1 + SIMILAR) >= SIMILAR * sizes - 1e-9
 
 
+def tokens_of(text: str) -> list[str]:
+    """All tokens of a text, as _TOKEN finds them."""
+    tokens = _SPACED.findall(text)
+    while tokens and not tokens[-1]:
+        tokens.pop()
+    return tokens
+
+
 def _comments(text: str) -> str:
     """The comment lines at the head of a file."""
     kept, inside = [], False
@@ -190,16 +218,18 @@ def _defines(masked: np.ndarray) -> bool:
 
 def _literal_only(masked: np.ndarray) -> bool:
     """Whether a file is literals, the signs of lists and hardly a name."""
-    code = masked[masked != COMMENT]
-    literals, names = int(((code == NUMBER) | (code == STRING)).sum()), int((code == NAME).sum())
-    return literals > 0 and names <= 3 + 0.1 * literals and not _defines(code)
+    literals, names = np.count_nonzero(masked == NUMBER) + np.count_nonzero(masked == STRING), np.count_nonzero(masked == NAME)
+    return literals > 0 and names <= 3 + 0.1 * literals and not _defines(masked)
 
 
 def _repeats_a_unit(masked: np.ndarray, hashes: np.ndarray) -> bool:
     """Whether a file is one masked unit over and over; stretches of a mere list of literals don't count."""
     plain = np.concatenate(([0], np.cumsum((masked < LISTED_END) & (masked != NAME) & (masked != COMMENT))))
     worded = hashes[(plain[SHINGLE:] - plain[:-SHINGLE])[: len(hashes)] < SHINGLE]
-    return len(worded) >= LEAST_TOKENS and len(np.unique(worded)) <= REPEATED * len(worded)
+    if len(worded) < LEAST_TOKENS:
+        return False
+    worded = np.sort(worded)
+    return 1 + np.count_nonzero(worded[1:] != worded[:-1]) <= REPEATED * len(worded)
 
 
 def evidence(path: str, text: str, tokens: list[str], masked: np.ndarray, hashes: np.ndarray) -> str | None:
@@ -221,9 +251,8 @@ def evidence(path: str, text: str, tokens: list[str], masked: np.ndarray, hashes
         return "tool"
     if _MIGRATION.search(path) and ("Migration" in text or "upgrade(" in text):
         return "tool"
-    lines = [line for line in stripped.split("\n") if line.strip()]
-    longest = [len(line) for line in lines]
-    if program or ext == ".json":
+    if (program or ext == ".json") and len(stripped) > 400 and max(map(len, stripped.split("\n"))) > 400:
+        longest = [len(line) for line in stripped.split("\n") if line.strip()]
         packed = sum(n for n in longest if n > 400)
         if packed > (0.5 if program else 0.9) * sum(longest) and stripped.count(" ") + stripped.count("\n") < 0.2 * len(stripped):
             literal = int(((masked == NUMBER) | (masked == STRING)).sum())
@@ -263,23 +292,22 @@ def file_marks(files: DataFrame, file_id: str, repo: str, path: str, content: st
                 p, t = (p or "").replace("\\", "/"), t or ""
                 low = p.lower()
                 if not low.endswith(".md"):
-                    tokens = _TOKEN.findall(t)
+                    tokens = tokens_of(t)
                     values, masked = table.of(tokens)
                     files.append((i, r, p, low, t, tokens, masked, values[masked != COMMENT]))
             every, own = windows_of([f[6] for f in files]), windows_of([f[7] for f in files])
-            out, kept, least = [], [], []
+            out, kept, distinct = [], [], []
             for (i, r, p, low, t, tokens, masked, _), hashes, plain in zip(files, every, own, strict=True):
                 shown = evidence(p, t, tokens, masked, hashes)
                 clustered = len(plain) > 0 and len(tokens) >= LEAST_TOKENS and low.endswith((".py", ".js")) and t.lstrip()[:1] != "<"
                 sets = (None, None)
                 if clustered:
-                    one, two = np.unique(plain), np.unique(hashes)
-                    sets = shingle_set(one), shingle_set(two)
+                    distinct += [upper(plain), upper(hashes)]
+                    sets = distinct[-2].tobytes(), distinct[-1].tobytes()
                     kept.append(len(out))
-                    least += [least_values(one), least_values(two)]
                 if shown or clustered:
                     out.append([i, r, low[: low.rfind("/") + 1] + low[low.rfind(".") :], clustered and _literal_only(masked), shown, None, None, None, None, *sets])
-            signatures = _kept(np.stack(least)) if least else []
+            signatures = _kept(least_values(distinct)) if distinct else []
             for n, at in enumerate(kept):
                 raw, alike = signatures[2 * n].tobytes(), signatures[2 * n + 1].tobytes()
                 out[at][5:9] = xxhash.xxh3_128_digest(raw), xxhash.xxh3_128_digest(alike), raw, alike
@@ -307,52 +335,79 @@ def shared_band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``(a, b, band, n)``: pairs of a band that may be similar. The rows of a band come together, by size; every row
     meets all earlier ones until their size alone forbids SIMILAR, across batches too. Only such rows of one band are held."""
     band, cls, size, n = (np.empty(0, np.int64) for _ in range(4))
-    brief = np.empty((0, ROWS * BANDS + COUNTS), np.uint8)  # four bits of each value, and the counts up to 15
-    for pdf in batches:
-        if not len(pdf):
-            continue
+    brief, odd = np.empty((0, 8), np.uint64), np.empty((COUNTS // 16, 0), np.uint64)  # four bits of each value; the buckets, by words
+    for pdf in _gathered(batches):
         new = [pdf[c].to_numpy(np.int64) for c in ("band", "cls", "size", "n")]
         told = np.frombuffer(b"".join(pdf["brief"]), dtype=np.uint8).reshape(len(pdf), -1)
-        told = np.stack((told & 15, told >> 4), axis=2).reshape(len(pdf), -1)
+        values = np.zeros((len(pdf), 64), np.uint8)
+        values[:, : ROWS * BANDS // 2] = told[:, : ROWS * BANDS // 2]
+        buckets = np.ascontiguousarray(told[:, ROWS * BANDS // 2 :]).view(np.uint64).T
         keep = (band == new[0][0]) & (size >= SIMILAR * new[2][0])
         old = int(keep.sum())
         band, cls, size, n = (np.concatenate((x[keep], y)) for x, y in zip((band, cls, size, n), new, strict=True))
-        brief = np.concatenate((brief[keep], told))
-        first = np.ascontiguousarray(brief[:, :FIRST])
+        brief, odd = np.concatenate((brief[keep], values.view(np.uint64))), np.concatenate((odd[:, keep], buckets), axis=1)
+
+        def near_by(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The pairs that may be similar by their buckets."""
+            both = size[x] + size[y]
+            apart = np.bitwise_count(odd.take(x, 1) ^ odd.take(y, 1)).sum(0, dtype=np.int64)
+            keep = similar((both - apart) / 2, both)
+            return x[keep], y[keep]
 
         def similar_of(met: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+            """The pairs that agree in AGREE values by their four bits."""
             x, y = (np.concatenate(z) for z in zip(*met, strict=True))
-            keep = np.count_nonzero(brief[x, :-COUNTS] == brief[y, :-COUNTS], axis=1) >= AGREE
-            x, y = x[keep], y[keep]
-            most = np.minimum(brief[x, -COUNTS:], brief[y, -COUNTS:])
-            most = np.where((most == 15).any(1), size[y], most.sum(1, dtype=np.int64))
-            keep = similar(most, size[x] + size[y])
+            differ = brief.take(x, 0) ^ brief.take(y, 0)
+            differ |= differ >> np.uint64(2)
+            differ |= differ >> np.uint64(1)
+            differ &= np.uint64(0x1111111111111111)
+            keep = np.bitwise_count(differ).sum(1, dtype=np.int64) <= ROWS * BANDS - AGREE
             x, y = x[keep], y[keep]
             return pd.DataFrame({"a": np.minimum(cls[x], cls[y]), "b": np.maximum(cls[x], cls[y]), "band": band[x], "n": n[x]})
 
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            edges = np.concatenate(([0], np.flatnonzero(band[1:] != band[:-1]) + 1, [len(band)]))
+            large = np.flatnonzero(n[edges[:-1]] > STRIP)
+            for s, e in zip(edges[large].tolist(), edges[large + 1].tolist(), strict=True):
+                first = brief[s:e].view(np.uint8)[:, : FIRST // 2]
+                first = np.concatenate((first & 15, first >> 4), axis=1)
+                for x, y in _earlier(first, size[s:e], max(0, old - s)):
+                    yield x + s, y + s
+            near, d = np.arange(old, len(band)), 0
+            near = near[n[near] <= STRIP]
+            while True:
+                d += 1
+                near = near[near >= d]
+                near = near[(band[near - d] == band[near]) & (size[near - d] >= SIMILAR * size[near])]
+                if not len(near):
+                    break
+                yield near, near - d
+
         met, held = [], 0
-        edges = [0, *(np.flatnonzero(band[1:] != band[:-1]) + 1).tolist(), len(band)]
-        for s, e in zip(edges, edges[1:], strict=False):
-            for x, y in _earlier(first[s:e], size[s:e], max(0, old - s)) if n[s] > STRIP else ():
-                met.append((x + s, y + s))
-                held += len(x)
+        for x, y in pairs():
+            for at in range(0, len(x), PAIRS):
+                met.append(near_by(x[at : at + PAIRS], y[at : at + PAIRS]))
+                held += len(met[-1][0])
                 if held > PAIRS:
                     yield similar_of(met)
                     met, held = [], 0
-        near, d = np.arange(old, len(band)), 0
-        near = near[n[near] <= STRIP]
-        while True:
-            d += 1
-            near = near[near >= d]
-            near = near[(band[near - d] == band[near]) & (size[near - d] >= SIMILAR * size[near])]
-            if not len(near):
-                break
-            x = near[np.count_nonzero(first[near] == first[near - d], axis=1) >= LEAST]
-            met.append((x, x - d))
-        if met:
+        if held:
             yield similar_of(met)
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of ROWS_HELD rows or more, but for the last."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if len(pdf):
+            held.append(pdf)
+        if sum(map(len, held)) >= ROWS_HELD:
+            yield pd.concat(held)
+            held = []
+    if held:
+        yield pd.concat(held)
+
+
 def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The pairs whose exact Jaccard similarity is SIMILAR. A group's sets come before its pairs and are held."""
     key, sets = None, {}
@@ -371,10 +426,12 @@ def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def brief_of(signatures: np.ndarray, sets: list[np.ndarray]) -> list[bytes]:
-    """Four bits of each signature value and the counts of the shingles by hash, two to a byte."""
-    counts = np.stack([np.minimum(np.bincount(x % COUNTS, minlength=COUNTS), 15) for x in sets]).astype(np.uint8)
-    whole = np.concatenate(((signatures & np.uint16(15)).astype(np.uint8), counts), axis=1)
-    return [x.tobytes() for x in whole[:, ::2] | whole[:, 1::2] << 4]
+    """Four bits of each signature value, two to a byte, and a bit for each bucket of shingles."""
+    buckets = 4 * COUNTS
+    place = np.concatenate(sets) % np.uint32(buckets) + np.repeat(np.arange(len(sets)) * buckets, [len(x) for x in sets])
+    odd = np.packbits((np.bincount(place, minlength=len(sets) * buckets) & 1).astype(np.uint8).reshape(len(sets), buckets), axis=1)
+    low = (signatures & np.uint16(15)).astype(np.uint8)
+    return [x.tobytes() for x in np.concatenate((low[:, ::2] | low[:, 1::2] << 4, odd), axis=1)]
 
 
 def _links(marks: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
@@ -401,14 +458,14 @@ def _links(marks: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
 
     own = heads.join(F.broadcast(copies) if few else copies, "file_id", "left_anti")
     told = cut(own.mapInPandas(tell, "cls bigint, bands array<bigint>, brief binary, size int"))
-    banded = told.select("cls", F.explode("bands").alias("band"))
-    common = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = banded.join(common, "band").join(told.select("cls", "brief", "size"), "cls")
+    banded = told.select("cls", F.explode("bands").alias("band")).withColumn("n", F.count("*").over(Window.partitionBy("band")))
+    met = banded.where("n > 1").join(told.select("cls", "brief", "size"), "cls")
     pairs = met.repartition("band").sortWithinPartitions("band", "size", "cls").mapInPandas(shared_band, "a bigint, b bigint, band bigint, n bigint")
     # A pair is verified once, in the largest of its bands, so that a file's shingle set travels with few bands.
-    pairs = pairs.where("a <> b").groupBy("a", "b").agg(F.max(F.struct("n", "band")).alias("m"))
-    block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("m.n") / BLOCK))
-    pairs = cut(pairs.select("a", "b", "m.band", F.least(block("a"), block("b")).alias("p"), F.greatest(block("a"), block("b")).alias("q")))
+    pairs = pairs.where("a <> b").groupBy("a", "b").agg(F.max("n").alias("n"), F.max_by("band", "n").alias("band"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("n") / BLOCK))
+    pairs = cut(pairs.select("a", "b", "band", F.least(block("a"), block("b")).alias("p"), F.greatest(block("a"), block("b")).alias("q")))
+    release(told)  # its disk is needed for the other kind
     members = pairs.select("band", "p", "q", F.explode(F.array("a", "b")).alias("cls")).distinct().join(sets, "cls").select("band", "p", "q", F.col("cls").alias("a"), F.lit(None).cast("bigint").alias("b"), "set")
     both = members.unionByName(pairs.withColumn("set", F.lit(None).cast("binary")))
     good = both.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", F.col("b").isNotNull()).mapInPandas(verified, "a bigint, b bigint")

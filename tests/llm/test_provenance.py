@@ -6,7 +6,8 @@ import pytest
 
 from corpusloom.functions.rolling import window_hashes
 from corpusloom.operators.components import connected_components
-from corpusloom.llm.provenance import BANDS, COUNTS, ROWS, SHINGLE, SIMILAR, _TOKEN, Tokens, _links, evidence, shared_band, shingle_set, signature, unwritten_files
+from corpusloom.llm import provenance
+from corpusloom.llm.provenance import BANDS, COUNTS, ROWS, SHINGLE, SIMILAR, _TOKEN, Tokens, _links, brief_of, evidence, least_values, shared_band, shingle_set, signature, tokens_of, unwritten_files, upper
 
 SHAPE = "file_id long, repo string, path string, content string"
 FORMS = ["{0} = {1}({2}, {3})", "if {0} > {3}:\n        {1} = {2}", "for {0} in {1}:\n        {2}.append({0})", "{0} = [{1} for {1} in {2} if {1}]", "assert {0}, '{1}'", "with open({0}) as {1}:\n        {2} = {1}.read()", "{0} = {{'{1}': {2}}}", "try:\n        {0} = int({1})\n    except ValueError:\n        {2} = None", "{0}.{1} += {3}", "while {0}:\n        {0} = {1} - {3}", "return {0} or {1}", "del {0}[{3}]"]
@@ -98,3 +99,40 @@ def test_signatures_estimate_the_exact_similarity():
         shared += (x == y).reshape(BANDS, ROWS).all(1).any()
     assert abs(np.mean(agree) - 0.8) < 0.01 and np.std(agree) < 1.15 * (0.8 * 0.2 / (ROWS * BANDS)) ** 0.5
     assert shared == 400 and min(agree) >= 0.64
+
+
+def test_few_pairs_below_the_threshold_are_verified(monkeypatch):
+    """Pairs of 0.65 to 0.75 have signatures much like those of 0.8; the buckets tell them apart and lose no pair."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    sets, want, other = [], set(), set()
+    for k in range(300):
+        core, own = fresh(150), (k % 3) * 9 + 16  # 0.82, 0.75 and 0.69
+        (want if k % 3 == 0 else other).add((2 * k, 2 * k + 1))
+        sets += [upper(np.concatenate((core, fresh(own)))) for _ in range(2)]
+    briefs = brief_of(np.stack([signature(s.astype(np.uint64) << np.uint64(32)) for s in sets]), sets)
+    rows = pd.DataFrame({"band": np.arange(600) // 2, "cls": np.arange(600), "size": [len(s) for s in sets], "brief": briefs, "n": 2})
+    jaccard = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    assert all(jaccard(*p) >= SIMILAR for p in want) and all(0.65 < jaccard(*p) < 0.77 for p in other)
+    got = set(map(tuple, pd.concat(list(shared_band(iter([rows]))))[["a", "b"]].values.tolist()))
+    assert want <= got and len(got & other) < 0.3 * len(other)
+    monkeypatch.setattr(provenance, "ROWS_HELD", 1)  # bands go on over batches
+    parts = pd.concat(list(shared_band(rows[i : i + 7] for i in range(0, 600, 7))))
+    assert set(map(tuple, parts[["a", "b"]].values.tolist())) == got
+    whole = rows.assign(band=1, n=600).sort_values(["size", "cls"])
+    assert want <= set(map(tuple, pd.concat(list(shared_band(whole[i : i + 50] for i in range(0, 600, 50))))[["a", "b"]].values.tolist()))
+
+
+def test_values_of_many_sets_at_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [upper(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1, 40, 7, 300, 2, 2, 90)]
+    want = [(s[:, None] * provenance._SEEDS[None]).min(0).tolist() for s in sets]
+    for together in (1, 50, 1 << 14):
+        monkeypatch.setattr(provenance, "TOGETHER", together)
+        assert least_values(sets).tolist() == want
+
+
+def test_tokens_of_blanks_and_ends():
+    for text in ("", " \n ", "a", "a # b  ", "x = 'it''s'  \n\n", "`a\\`b` /* c */\t", "'open\n\"\"\"a\"\"\" é_1$ 1.5e3 ²// end "):
+        assert tokens_of(text) == _TOKEN.findall(text)
+    assert tokens_of("if (a1) { return 'b\\'' } // c ") == ["if", "(", "a1", ")", "{", "return", "'b\\''", "}", "// c "]
