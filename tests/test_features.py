@@ -97,6 +97,39 @@ def test_average_linkage_merges_by_means():
     assert average_linkage_order(names, near) == groups[0]
 
 
+def test_linkage_leaves_with_ties_and_parts():
+    import random
+    from fractions import Fraction
+    from itertools import combinations
+
+    from corpusloom.operators.linkage import linkage_leaves
+
+    rng = random.Random(5)
+    for _ in range(200):
+        n, most = rng.randrange(12), rng.choice([1, 2, 1000])
+        near = {p: rng.randint(0, most) / most for p in combinations(range(n), 2) if rng.random() < 0.4}
+        groups = {i: [i] for i in range(n)}
+        mean = lambda x, y: Fraction(sum(round(near.get((min(a, b), max(a, b)), 0) * 10**12) for a in x for b in y), len(x) * len(y))
+        while len(groups) > 1:
+            a, b = min(combinations(sorted(groups), 2), key=lambda p: (-mean(groups[p[0]], groups[p[1]]), p))
+            groups[a] += groups.pop(b)
+        assert linkage_leaves(n, [(a, b, s) for (a, b), s in near.items()]) == groups.get(0, [])
+
+
+def test_linkage_order_of_more_than_a_picture_shows(spark, tmp_path):
+    from pathlib import Path
+
+    for table in Path("/root/testdata/sf0.001").iterdir():
+        if table.name != "code_match.parquet":
+            (tmp_path / table.name).symlink_to(table)
+    match = spark.read.parquet("/root/testdata/sf0.001/code_match.parquet")
+    more = match.limit(1).drop("match_id", "repo1", "repo2").crossJoin(spark.range(2100).selectExpr("id + 1000000 as match_id", "concat('r', id) as repo1", "concat('r', id + 1) as repo2"))
+    match.unionByName(more).write.parquet(str(tmp_path / "code_match.parquet"))
+    got = [(r["position"], r["repo"]) for r in reports.linkage_order(spark, str(tmp_path)).collect()]
+    names = {n for r in pairs.matched_pairs(spark, str(tmp_path)).collect() for n in r}
+    assert len(names) > 2100 and sorted(p for p, _ in got) == list(range(1, len(names) + 1)) and {n for _, n in got} == names
+
+
 def test_global_rank_and_bounds(spark):
     import random
 
