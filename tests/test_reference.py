@@ -76,6 +76,50 @@ def test_near_copies(spark):
     assert {(r["id"], r["t"]) for r in distinct_blocks(df, "id", "repo", "code").collect()} == {(1, 1), (2, 2), (3, 1), (6, 6), (7, 7), (9, 9)}
 
 
+def test_bound_of_the_ratio():
+    import random
+
+    from corpusloom.operators.blocks import may_match, string_ratio
+
+    rng = random.Random(4)
+    for _ in range(300):
+        x = "".join(rng.choice("abc \n") for _ in range(rng.randrange(90)))
+        y = "".join(rng.choice([c, c, c, "d", c + "e", ""]) for c in x)[rng.randrange(5) :]
+        row = [0] * (len(y) + 1)
+        for c in x:
+            old, row = row, [0]
+            for j, d in enumerate(y):
+                row.append(old[j] + 1 if c == d else max(old[j + 1], row[j]))
+        assert may_match(x, y, row[-1]) and not may_match(x, y, row[-1] + 1)
+        want = difflib.SequenceMatcher(None, x, y).ratio()
+        assert string_ratio(x, y, 0.7) in ((want,) if want >= 0.7 else (want, 0.0)) and string_ratio(x, y) == want
+
+
+@pytest.mark.parametrize(("threshold", "together", "pairs_from", "singles_from"), [(0.65, 3, 64, 256), (0.4, 1, 64, 256), (0.65, 3, 6, 12), (0.4, 3, 9, 15)])
+def test_alike_classes_against_all_pairs(spark, monkeypatch, threshold, together, pairs_from, singles_from):
+    import random
+
+    from corpusloom.operators import setsim
+
+    monkeypatch.setattr(setsim, "PAIRS_FROM", pairs_from)
+    monkeypatch.setattr(setsim, "SINGLES_FROM", singles_from)
+    rng = random.Random(2)
+    sets: dict[int, set] = {}
+    for i in range(300):  # few distinct elements, some very frequent
+        own = {min(int(rng.expovariate(0.08)), 60) for _ in range(rng.randrange(1, 25))}
+        if sets and rng.random() < 0.6:
+            own = sets[rng.randrange(i)] ^ {min(int(rng.expovariate(0.08)), 60) for _ in range(rng.randrange(4))}
+        sets[i] = own
+    first: dict[frozenset, int] = {}
+    for i, own in sets.items():
+        first.setdefault(frozenset(own), i)
+    classes = [(c, own) for own, c in first.items() if own]
+    want = sorted((a, b) for a, x in classes for b, y in classes if a < b and len(x & y) / len(x | y) >= threshold)
+    pairs, owners = setsim.alike_classes(spark.createDataFrame([(i, str(v)) for i, own in sets.items() for v in own], "e long, v string"), "e", "v", threshold, together)
+    assert want and sorted(map(tuple, pairs.collect())) == want
+    assert {tuple(r) for r in owners.collect()} == {(i, first[frozenset(own)]) for i, own in sets.items() if own}
+
+
 def test_near_copies_of_nothing(spark):
     assert near_copies(spark.createDataFrame([], "id long, repo string, code string"), "id", "repo", "code").collect() == []
 
